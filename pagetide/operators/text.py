@@ -8,6 +8,8 @@ table bucketed by page needs none at all.  A group is never more than one page.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,11 +109,8 @@ def filtered_text(pages: DataFrame, key: str = "page_id", html: str = "html", ou
     return plain.unionByName(structural_filtered_text(rows.filter(noisy), key, out))
 
 
-def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") -> DataFrame:
-    """Text of the first main, else article, else body, else the whole page.
-
-    An unclosed one of these runs to the end of the page.
-    """
+def structural_main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") -> DataFrame:
+    """`main_text` by element structure, for pages of any shape."""
     marked = without_noise(with_element_end(page_tokens(pages, key), key), noise_element(False), key)
     whole = Window.partitionBy(key)
     order = F.array_position(F.array(*[F.lit(t) for t in MAIN_TAGS]), F.col("tag"))
@@ -122,6 +121,27 @@ def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") ->
     return _join_text(ranged, ~F.col("covered") & inside, out, key)
 
 
+def _open_tag(tag: str) -> str:
+    return rf"(?i)<{tag}(?:\s[^>]*)?>"
+
+
+def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") -> DataFrame:
+    """Text of the first main, else article, else body, else the whole page.
+
+    An unclosed one of these runs to the end of the page.  Where each occurs at
+    most once its text is cut out in place; only other pages are tokenised.
+    """
+    rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
+    repeated = reduce(lambda a, b: a | b, [F.regexp_count("html", F.lit(_open_tag(t))) > 1 for t in MAIN_TAGS])
+    content = H.drop_elements(F.col("html"), H.NOISE_TAGS)
+    region = content
+    for tag in reversed(MAIN_TAGS):
+        body = F.regexp_extract(content, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
+        region = F.when(content.rlike(_open_tag(tag)), body).otherwise(region)
+    simple = rows.filter(~repeated).select(key, H.markup_to_text(region).alias(out))
+    return simple.unionByName(structural_main_text(rows.filter(repeated), key, out))
+
+
 def page_sentences(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, pos, sentence) of the snippet text, sentences of 10 characters up."""
     text = H.clean_text(F.col("html"), H.SNIPPET_NOISE_TAGS)
