@@ -1,6 +1,6 @@
 """Named queries and the SQL each one is checked against."""
 
-from pagetide.checks import watch_checks  # noqa: F401
+from pagetide.checks import monitor_checks, table_checks, watch_checks  # noqa: F401
 from pagetide.checks.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
