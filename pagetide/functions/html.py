@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Markers of a page that is filled in by a script.
@@ -139,16 +139,26 @@ def collapse_ends(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
-def keyword_snippets(sents: Column, keywords: Column, limit: int = 50) -> Column:
-    """First `limit` sentences holding a keyword, repeats dropped ignoring case.
+def with_snippets(rows: DataFrame, sents: Column, keywords: Column, out: str = "snippets", limit: int = 50) -> DataFrame:
+    """Adds the first `limit` sentences holding a keyword, repeats dropped ignoring case.
 
-    The first spelling of a repeated sentence is kept.  `array_distinct` keeps
-    first occurrences in order, so only the kept ones are looked up again.
+    `keywords` are in lower case.  The first spelling of a repeated sentence is
+    kept: `array_distinct` keeps first occurrences in order, and only the kept
+    ones are looked up again.  Done in steps, each used twice by the next, so
+    that no step is folded into a lambda and evaluated once per element.
     """
-    hit = F.filter(sents, lambda s: F.exists(keywords, lambda k: F.contains(F.lower(s), F.lower(k))))
-    lowered = F.transform(hit, F.lower)
-    wanted = F.slice(F.array_distinct(lowered), 1, limit)
-    return F.transform(wanted, lambda low: F.get(hit, F.array_position(lowered, low).cast("int") - 1))
+    both = F.transform(sents, lambda s: F.struct(s.alias("as_is"), F.lower(s).alias("low")))
+    hits = F.filter("_both", lambda p: F.exists(keywords, lambda k: F.contains(p["low"], k)))
+    steps = (
+        rows.withColumn("_both", both)
+        .withColumn("_hits", F.when(F.size("_both") > 0, hits).otherwise(F.col("_both")))
+        .withColumn("_low", F.transform("_hits", lambda p: p["low"]))
+    )
+    found = F.transform(
+        F.slice(F.array_distinct("_low"), 1, limit),
+        lambda low: F.get(F.col("_hits"), F.array_position(F.col("_low"), low).cast("int") - 1)["as_is"],
+    )
+    return steps.withColumn(out, found).drop("_both", "_hits", "_low")
 
 
 def truncate(text: Column, chars: int) -> Column:

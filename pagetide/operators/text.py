@@ -151,7 +151,7 @@ def page_sentences(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def page_snippets(pages: DataFrame, keywords: Column, key: str = "page_id", limit: int = 50) -> DataFrame:
     """(key, snippets): the first sentences that hold a keyword."""
     text = H.clean_text(F.col("html"), H.SNIPPET_NOISE_TAGS)
-    return pages.select(key, H.keyword_snippets(H.sentences(text), keywords, limit).alias("snippets"))
+    return H.with_snippets(pages.select(key, "html"), H.sentences(text), keywords, limit=limit).select(key, "snippets")
 
 
 def anchor_contexts(pages: DataFrame, key: str = "page_id") -> DataFrame:
