@@ -100,17 +100,15 @@ def excluded(spark, d):
 @query("d3_parsed_dates", f"""WITH {SENTENCES}
 SELECT doc_id, sentence, coalesce(CAST(meant AS VARCHAR), 'none') AS day, CAST(CASE WHEN meant IS NULL THEN 0 ELSE base END AS DOUBLE) AS base FROM sentences""")
 def parsed(spark, d):
-    day, base = D.parse_date(F.col("sentence"), as_of())
-    return worded(spark, d).select(
-        "doc_id", "sentence", F.coalesce(day.cast("string"), F.lit("none")).alias("day"), F.coalesce(base, F.lit(0.0)).alias("base")
+    return D.with_date(worded(spark, d), as_of()).select(
+        "doc_id", "sentence", F.coalesce(F.col("date").cast("string"), F.lit("none")).alias("day"), F.coalesce("base", F.lit(0.0)).alias("base")
     )
 
 
 @query("d4_valid_window", f"""WITH {SENTENCES}
 SELECT doc_id, CAST(meant AS VARCHAR) AS day FROM sentences WHERE meant BETWEEN {FIRST} AND {LAST}""")
 def window(spark, d):
-    day, _ = D.parse_date(F.col("sentence"), as_of())
-    rows = worded(spark, d).select("doc_id", day.alias("day"))
+    rows = D.with_date(worded(spark, d), as_of()).select("doc_id", F.col("date").alias("day"))
     return plain(rows.filter(D.in_window(F.col("day"), as_of(), F.date_add(as_of(), D.WINDOW_DAYS))))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.functions.once import once
+
 # Wording of a deadline, most specific first.
 TYPE_PATTERNS = (
     ("abstract", r"\b(abstract|extended abstract)\s+(submission|deadline|due)"),
@@ -46,7 +48,6 @@ MONTH_DAY = rf"\b{MONTH_WORD}\.?\s+{DAY}\b"
 DAY_MONTH = rf"\b{DAY}\s+(?:of\s+)?{MONTH_WORD}\b"
 IN_DAYS = r"\bin\s+(\d{1,4})\s+days?\b"
 IN_WEEKS = r"\bin\s+(\d{1,3})\s+weeks?\b"
-MAY_HOLD_DATE = r"\d|\b(?:today|tomorrow)\b"
 
 
 def excluded(sentence: Column) -> Column:
@@ -86,35 +87,42 @@ def _month_year(lowered: Column, as_of: Column) -> Column:
     return F.least(last, F.date_add(first, F.dayofmonth(as_of) - 1))
 
 
-def parse_date(sentence: Column, as_of: Column) -> tuple[Column, Column]:
-    """(date, base confidence) of a sentence; both NULL if it names no date.
+def with_date(rows: DataFrame, as_of: Column, sentence: str = "sentence") -> DataFrame:
+    """Adds `date` and `base`, its confidence; both NULL if the sentence names none.
 
     At most one date per sentence: the first format of the list that occurs
     decides.  Missing parts are taken from `as_of`.
     """
-    low = F.lower(sentence)
+    lowered = once(rows, F.lower(sentence).alias("_low"))
+    both = once(lowered, _explicit(F.col("_low"), as_of).alias("_explicit"), _relative(F.col("_low"), as_of).alias("_relative"))
+    base = F.when(F.col("_explicit").isNotNull(), F.lit(EXPLICIT_CONFIDENCE)).when(F.col("_relative").isNotNull(), F.lit(RELATIVE_CONFIDENCE))
+    out = both.withColumn("date", F.coalesce("_explicit", "_relative")).withColumn("base", base)
+    return out.drop("_low", "_explicit", "_relative")
+
+
+def _explicit(low: Column, as_of: Column) -> Column:
     g = F.regexp_extract
     this_year = F.year(as_of)
-    explicit = (
+    return F.when(
+        low.rlike(r"\d"),
         F.when(low.rlike(ISO), _date(g(low, ISO, 1), g(low, ISO, 2), g(low, ISO, 3)))
         .when(low.rlike(MONTH_DAY_YEAR), _date(g(low, MONTH_DAY_YEAR, 3), month_number(g(low, MONTH_DAY_YEAR, 1)), g(low, MONTH_DAY_YEAR, 2)))
         .when(low.rlike(DAY_MONTH_YEAR), _date(g(low, DAY_MONTH_YEAR, 3), month_number(g(low, DAY_MONTH_YEAR, 2)), g(low, DAY_MONTH_YEAR, 1)))
         .when(low.rlike(SLASHED), _slashed(low))
         .when(low.rlike(MONTH_YEAR), _month_year(low, as_of))
         .when(low.rlike(MONTH_DAY), _date(this_year, month_number(g(low, MONTH_DAY, 1)), g(low, MONTH_DAY, 2)))
-        .when(low.rlike(DAY_MONTH), _date(this_year, month_number(g(low, DAY_MONTH, 2)), g(low, DAY_MONTH, 1)))
+        .when(low.rlike(DAY_MONTH), _date(this_year, month_number(g(low, DAY_MONTH, 2)), g(low, DAY_MONTH, 1))),
     )
-    relative = (
+
+
+def _relative(low: Column, as_of: Column) -> Column:
+    g = F.regexp_extract
+    return (
         F.when(low.rlike(r"\btomorrow\b"), F.date_add(as_of, 1))
         .when(low.rlike(r"\btoday\b"), F.to_date(as_of))
         .when(low.rlike(IN_DAYS), F.date_add(as_of, g(low, IN_DAYS, 1).try_cast("int")))
         .when(low.rlike(IN_WEEKS), F.date_add(as_of, g(low, IN_WEEKS, 1).try_cast("int") * 7))
     )
-    worth = low.rlike(MAY_HOLD_DATE)
-    explicit = F.when(worth, explicit)
-    relative = F.when(worth, relative)
-    confidence = F.when(explicit.isNotNull(), F.lit(EXPLICIT_CONFIDENCE)).when(relative.isNotNull(), F.lit(RELATIVE_CONFIDENCE))
-    return F.coalesce(explicit, relative), confidence
 
 
 def boosted(base: Column, is_snippet: Column, sentence: Column) -> Column:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.functions.once import let
+
 # Markers of a page that is filled in by a script.
 JS_MARKERS = (
     '<div id="root"',
@@ -39,6 +41,7 @@ RAW_TEXT_TAGS = ("script", "style")
 
 # Whitespace as Unicode sees it; plain \s covers only ASCII in Java and RE2.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 TAG = r"<[a-zA-Z/!?][^>]*>"
 
 # Named character references that occur in running text.  `amp`
@@ -90,8 +93,10 @@ def _decode_numeric(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and decimal character references, skipped for text without '&'."""
-    named = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES, _decode_numeric(text))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+    def named(t: Column) -> Column:
+        return reduce(lambda c, e: F.replace(c, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES, t)
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), named(_decode_numeric(t))).otherwise(t))
 
 
 def collapse_space(text: Column) -> Column:
@@ -136,7 +141,7 @@ def sentences(text: Column, pattern: str = r"[.!?]\s+", min_chars: int = 10) ->
 
 
 def collapse_ends(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def with_snippets(rows: DataFrame, sents: Column, keywords: Column, out: str = "snippets", limit: int = 50) -> DataFrame:

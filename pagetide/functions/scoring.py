@@ -38,17 +38,20 @@ def _points(condition: Column, value: float) -> Column:
     return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
 
 
+def link_words(text: Column, title: Column, context: Column) -> Column:
+    """The lower-case text in which the words are looked for."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (text, title, context)]))
+
+
 def link_score(
     url: Column,
     text: Column,
-    title: Column,
-    context: Column,
+    words: Column,
     custom_words: Column | None = None,
     year: int = DEFAULT_YEAR,
 ) -> Column:
-    text, title, context = (F.coalesce(c, F.lit("")) for c in (text, title, context))
-    words = F.lower(F.concat_ws(" ", text, title, context))
-    low_url = F.lower(url)
+    """Score of a link from its url, its text and its `link_words`."""
+    low_url, text = F.lower(url), F.coalesce(text, F.lit(""))
     terms = [_points(low_url.rlike(p), v) for p, v in URL_POINTS]
     terms += [_points(F.contains(words, F.lit(w)), HIGH_POINTS) for w in HIGH_WORDS]
     terms += [_points(F.contains(words, F.lit(w)), MEDIUM_POINTS) for w in MEDIUM_WORDS]

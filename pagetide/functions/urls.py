@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagetide.functions.once import let
+
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 ABSOLUTE = r"^(https?)://([^/?#]*)([^?#]*)"
 
@@ -22,12 +24,14 @@ def squash_dots(path: Column) -> Column:
             .otherwise(F.concat(done, F.array(seg)))
         )
 
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    empty = F.array().cast("array<string>")
-    kept = F.aggregate(segments, empty, step)
-    trailing = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), trailing)
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(joined, "//$", "/")).otherwise(path)
+    def squash(path: Column) -> Column:
+        segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+        kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+        trailing = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+        joined = F.concat(F.lit("/"), F.array_join(kept, "/"), trailing)
+        return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(joined, "//$", "/")).otherwise(path)
+
+    return let(path, squash)
 
 
 def resolve(base: Column, href: Column) -> Column:

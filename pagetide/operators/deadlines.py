@@ -12,7 +12,9 @@ SENTENCE_BREAK = r"[.!?\n]+"
 SOURCE_CHARS = 200
 
 
-def split_sources(pages: DataFrame, key: str, snippets: str = "snippets", main: str = "main_text") -> DataFrame:
+def split_sources(
+    pages: DataFrame, key: str, snippets: str = "snippets", main: str = "main_text", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """(key, seq, is_snippet, sentence): snippet sentences first, then the main text.
 
     `seq` orders the sentences of a page as they are processed.
@@ -26,8 +28,8 @@ def split_sources(pages: DataFrame, key: str, snippets: str = "snippets", main:
     none = F.array().cast("array<string>")
     from_snippets = F.flatten(F.transform(F.coalesce(F.col(snippets), none), lambda s, n: cut(s, n, F.lit(True))))
     from_main = cut(F.coalesce(F.col(main), F.lit("")), F.lit(2**31 - 1), F.lit(False))
-    return pages.select(key, F.inline(F.concat(from_snippets, from_main))).select(
-        key, F.struct("part", "i").alias("seq"), "is_snippet", "sentence"
+    return pages.select(key, *carry, F.inline(F.concat(from_snippets, from_main))).select(
+        key, *carry, F.struct("part", "i").alias("seq"), "is_snippet", "sentence"
     )
 
 
@@ -37,14 +39,13 @@ def candidate_deadlines(
     """Adds date, type, confidence and source_text; rows without a valid date drop out."""
     first = F.to_date(as_of) if first is None else first
     last = F.date_add(as_of, D.WINDOW_DAYS) if last is None else last
-    day, base = D.parse_date(F.col("sentence"), as_of)
     kept = sentences.filter(~D.excluded(F.col("sentence")))
-    dated = kept.withColumn("date", day).withColumn("_base", base).filter(D.in_window(F.col("date"), first, last))
+    dated = D.with_date(kept, as_of).filter(D.in_window(F.col("date"), first, last))
     return (
         dated.withColumn("type", D.classify(F.col("sentence")))
-        .withColumn("confidence", F.round(D.boosted(F.col("_base"), F.col("is_snippet"), F.col("sentence")), 4))
+        .withColumn("confidence", F.round(D.boosted(F.col("base"), F.col("is_snippet"), F.col("sentence")), 4))
         .withColumn("source_text", F.substring("sentence", 1, SOURCE_CHARS))
-        .drop("_base")
+        .drop("base")
     )
 
 
@@ -68,5 +69,6 @@ def deadline_lists(deduped: DataFrame, key: str) -> DataFrame:
 
 def extract_deadlines(pages: DataFrame, key: str, as_of: Column, first: Column | None = None, last: Column | None = None) -> DataFrame:
     """(key, deadlines) of the pages that show any, from `snippets` and `main_text`."""
-    found = candidate_deadlines(split_sources(pages, key), as_of, first, last)
+    dated = pages.withColumn("_as_of", F.to_date(as_of))
+    found = candidate_deadlines(split_sources(dated, key, carry=("_as_of",)), F.col("_as_of"), first, last)
     return deadline_lists(dedup_deadlines(found, key), key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetide.functions import html as H
 from pagetide.functions import scoring as S
 from pagetide.functions import urls as U
+from pagetide.functions.once import once
 from pagetide.operators.text import anchor_contexts
 
 MAX_LINKS = 10
@@ -31,15 +32,19 @@ def page_anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     open_tag = F.concat(F.lit(" "), F.regexp_extract("piece", r"^([^>]*)>", 1))
     inner = F.regexp_extract("piece", r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)", 1)
     text = H.collapse_ends(F.regexp_replace(inner, rf"{H.SPACE}*{H.TAG}{H.SPACE}*", ""))
-    return rows.select(
-        key, url, "pos", _attribute(open_tag, "href").alias("href"),
-        H.decode_entities(text).alias("text"), F.coalesce(_attribute(open_tag, "title"), F.lit("")).alias("title"),
-    ).filter("href IS NOT NULL")
+    parsed = once(
+        once(rows, open_tag.alias("_tag"), text.alias("_text")),
+        _attribute(F.col("_tag"), "href").alias("href"),
+        H.decode_entities(F.col("_text")).alias("text"),
+        F.coalesce(_attribute(F.col("_tag"), "title"), F.lit("")).alias("title"),
+    )
+    return parsed.filter("href IS NOT NULL").select(key, url, "pos", "href", "text", "title")
 
 
 def resolved(anchors: DataFrame, base: str = "url", href: str = "href") -> DataFrame:
     """Adds `link`, the normalised absolute url; other schemes drop out."""
-    return anchors.withColumn("link", U.normalise(U.resolve(F.col(base), F.col(href)))).filter("link <> ''")
+    absolute = once(anchors, U.resolve(F.col(base), F.col(href)).alias("_absolute"))
+    return once(absolute, U.normalise(F.col("_absolute")).alias("link")).drop("_absolute").filter("link <> ''")
 
 
 def first_per_link(anchors: DataFrame, key: str) -> DataFrame:
@@ -70,7 +75,9 @@ def passes_filters(
 
 def scored(links: DataFrame, custom_words: Column | None = None, year: int = S.DEFAULT_YEAR) -> DataFrame:
     """Adds `score` from link, text, title and context."""
-    return links.withColumn("score", S.link_score(F.col("link"), F.col("text"), F.col("title"), F.col("context"), custom_words, year))
+    worded = once(links, S.link_words(F.col("text"), F.col("title"), F.col("context")).alias("_words"))
+    score = S.link_score(F.col("link"), F.col("text"), F.col("_words"), custom_words, year)
+    return once(worded, score.alias("score")).drop("_words")
 
 
 def above(links: DataFrame, threshold: float = MIN_SCORE) -> DataFrame:

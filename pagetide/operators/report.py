@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import modes as M
+from pagetide.functions.html import collapse_ends
 
 # Section, icon, label; most important first.
 SECTIONS = (
@@ -29,7 +30,7 @@ def _of_section(section: Column, part: int) -> Column:
 
 def summary_paragraphs(summary: Column) -> Column:
     """Paragraphs split at blank lines, each wrapped, empty ones dropped."""
-    parts = F.filter(F.transform(F.split(summary, "\n\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(summary, "\n\n"), collapse_ends), lambda p: p != "")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n")
 
 

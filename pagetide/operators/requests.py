@@ -122,7 +122,7 @@ def budget_gate(calls: DataFrame, monthly_limit_usd: float, chunk_seconds: int =
     out = running(monthly, ["month"], ["requested_at", "request_id"], time_chunk(F.col("requested_at"), chunk_seconds), [spent])
     limit = F.lit(str(monthly_limit_usd)).cast("decimal(18,6)") * 1_000_000
     return out.select(
-        *monthly.columns, (F.col("_spent") / 1_000_000).cast("double").alias("spent_before"), (F.col("_spent") < limit).alias("allowed")
+        *monthly.columns, (F.col("_spent").cast("double") / 1_000_000).alias("spent_before"), (F.col("_spent") < limit).alias("allowed")
     )
 
 
@@ -167,10 +167,10 @@ def parse_reply(reply: Column) -> Column:
 
 def usage_stats(calls: DataFrame, monthly_limit_usd: float) -> DataFrame:
     """One row per month: calls made, money spent and left."""
-    spent = F.sum(cost(F.col("tokens"))) / 1_000_000
+    spent = F.sum(cost(F.col("tokens"))).cast("double") / 1_000_000
     return calls.groupBy(F.date_trunc("month", "requested_at").alias("month")).agg(
         F.count(F.lit(1)).alias("call_count"),
-        F.round(spent, 4).cast("double").alias("monthly_cost"),
-        F.lit(monthly_limit_usd).alias("cost_limit"),
-        F.round(F.lit(str(monthly_limit_usd)).cast("decimal(18,6)") - spent, 4).cast("double").alias("remaining_budget"),
+        F.round(spent, 4).alias("monthly_cost"),
+        F.lit(float(monthly_limit_usd)).alias("cost_limit"),
+        F.round(F.lit(float(monthly_limit_usd)) - spent, 4).alias("remaining_budget"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
+from pagetide.functions.once import once
 
 TOKEN = r"<[a-zA-Z/!?][^>]*>|[^<]+|<"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9-]*)"
@@ -133,12 +134,12 @@ def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") ->
     """
     rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
     repeated = reduce(lambda a, b: a | b, [F.regexp_count("html", F.lit(_open_tag(t))) > 1 for t in MAIN_TAGS])
-    content = H.drop_elements(F.col("html"), H.NOISE_TAGS)
-    region = content
+    content = once(rows.filter(~repeated), H.drop_elements(F.col("html"), H.NOISE_TAGS).alias("_content"))
+    region = F.col("_content")
     for tag in reversed(MAIN_TAGS):
-        body = F.regexp_extract(content, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
-        region = F.when(content.rlike(_open_tag(tag)), body).otherwise(region)
-    simple = rows.filter(~repeated).select(key, H.markup_to_text(region).alias(out))
+        body = F.regexp_extract("_content", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
+        region = F.when(F.col("_content").rlike(_open_tag(tag)), body).otherwise(region)
+    simple = content.select(key, H.markup_to_text(region).alias(out))
     return simple.unionByName(structural_main_text(rows.filter(repeated), key, out))
 
 

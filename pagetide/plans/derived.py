@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from pagetide.functions import modes as M
 from pagetide.operators import watch
 from pagetide.sources import schemas
+from pagetide.sources.tables import spread
 
+# Tables whose rows are long texts.
+TEXT_TABLES = ("pages", "documents", "conversations")
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -24,7 +27,8 @@ def prepare(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def log_from_events(events: DataFrame) -> DataFrame:

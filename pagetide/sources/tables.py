@@ -124,24 +124,30 @@ class TableStore:
             if not fs.exists(path(f"{self.root}/{name}")):
                 self._append(self.spark.createDataFrame([], schemas.TABLES[name]), name)
 
-    def state(self, snapshot: int | None = None) -> DataFrame:
-        done = self._snapshots()
+    def state(self, before: int | None = None) -> DataFrame:
+        """The newest snapshot, or the newest one numbered below `before`."""
+        done = [n for n in self._snapshots() if before is None or n < before]
         if not done:
             return self.spark.createDataFrame([], schemas.STATE)
-        number = done[-1] if snapshot is None else snapshot
-        return self.spark.read.schema(schemas.STATE).parquet(f"{self.root}/state/snapshot={number}")
+        return self.spark.read.schema(schemas.STATE).parquet(f"{self.root}/state/snapshot={done[-1]}")
 
-    def write_state(self, rows: DataFrame) -> int:
-        """Write the next snapshot and return its number."""
-        done = self._snapshots()
-        number = done[-1] + 1 if done else 0
+    def write_state(self, rows: DataFrame, number: int | None = None) -> int:
+        """Write a snapshot, the next one if not numbered; returns its number.
+
+        Writing a number again replaces it: a repeated batch ends in the same
+        state if it starts from `state(before=number)`.
+        """
+        if number is None:
+            done = self._snapshots()
+            number = done[-1] + 1 if done else 0
         rows.select(*schemas.STATE.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/state/snapshot={number}")
         return number
 
     def _append(self, rows: DataFrame, name: str) -> None:
         day = {"audit": "scan_ts", "history": "started_at"}[name]
         shaped = rows.select(*schemas.TABLES[name].fieldNames()).withColumn("day", F.to_date(day))
-        shaped.write.mode("append").partitionBy("day").parquet(f"{self.root}/{name}")
+        # Few files per day, and several for a day too large for one task.
+        shaped.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(f"{self.root}/{name}")
 
     def append_audit(self, rows: DataFrame) -> None:
         self._append(rows, "audit")
@@ -149,6 +155,16 @@ class TableStore:
     def append_history(self, rows: DataFrame) -> None:
         self._append(rows, "history")
 
+    def append_once(self, rows: DataFrame, name: str) -> None:
+        """Append the rows whose key the table does not hold yet.
+
+        Only the days that occur in `rows` are read, by partition pruning.
+        """
+        column = {"audit": "scan_ts", "history": "started_at"}[name]
+        days = rows.select(F.to_date(column).alias("day")).distinct()
+        held = getattr(self, name)().join(days, "day", "left_semi").select(*schemas.KEYS[name])
+        self._append(rows.join(held, schemas.KEYS[name], "left_anti"), name)
+
     def _log(self, name: str) -> DataFrame:
         shape = StructType([*schemas.TABLES[name].fields, StructField("day", DateType())])
         return self.spark.read.schema(shape).parquet(f"{self.root}/{name}")
@@ -169,8 +185,18 @@ class TableStore:
         return self.spark.sql(sql)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over all cores when they come in fewer partitions than that.
+
+    For work that is heavy per row.  A table of many files is left as it is:
+    nothing is shuffled at scale.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Landed page snapshots; a missing page is an empty html with a flag."""
     pages = spark.read.parquet(path)
     html = F.coalesce(F.col("html"), F.lit(""))
-    return pages.withColumn("html", html).withColumn("is_empty", html == "")
+    return spread(pages).withColumn("html", html).withColumn("is_empty", html == "")
