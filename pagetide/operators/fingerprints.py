@@ -12,6 +12,7 @@ from pagetide.functions import hashing as X
 THRESHOLD = 5
 TUNED = range(1, 21)
 PAIR_MASK = 0x0000000100000001
+LOW_HALF = 0x00000000FFFFFFFF
 
 
 def simhash(
@@ -29,19 +30,11 @@ def simhash(
     """
     tokens = rows.select(*keys, F.explode_outer(F.split(F.lower(text), X.TOKEN_BREAK)).alias("_token"))
     hashed = tokens.select(*keys, F.when(F.col("_token") != "", token_hash(F.col("_token"))).alias("_h"))
-    pairs = [
-        F.coalesce(F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(PAIR_MASK))), F.lit(0)).alias(f"_c{k}")
-        for k in range(32)
-    ]
+    pairs = [F.expr(f"coalesce(sum(shiftrightunsigned(_h, {k}) & {PAIR_MASK}L), 0L) AS _c{k}") for k in range(32)]
     votes = hashed.groupBy(*keys).agg(F.count("_h").alias("_n"), *pairs)
-    signature = F.lit(0).cast("bigint")
-    for k in range(32):
-        low, high = F.col(f"_c{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_c{k}", 32)
-        for count, bit in ((low, k), (high, k + 32)):
-            one = 1 << bit
-            one = one - (1 << 64) if one >= 1 << 63 else one
-            signature = signature.bitwiseOR(F.when(count * 2 >= F.col("_n"), F.lit(one)).otherwise(F.lit(0)).cast("bigint"))
-    return votes.select(*keys, F.when(F.col("_n") > 0, signature).otherwise(F.lit(0).cast("bigint")).alias(out))
+    low = " | ".join(f"IF((_c{k} & {LOW_HALF}L) * 2 >= _n, {1 << k}L, 0L)" for k in range(32))
+    high = " | ".join(f"IF(shiftrightunsigned(_c{k}, 32) * 2 >= _n, {1 << k}L, 0L)" for k in range(32))
+    return votes.select(*keys, F.expr(f"IF(_n > 0, shiftleft({high}, 32) | ({low}), 0L)").alias(out))
 
 
 def fingerprints(pages: DataFrame, key: str = "page_id", html: str = "html", text: str = "filtered_text") -> DataFrame:

@@ -126,6 +126,20 @@ def _open_tag(tag: str) -> str:
     return rf"(?i)<{tag}(?:\s[^>]*)?>"
 
 
+def _repeated_main(html: str) -> Column:
+    """More than one element of a kind that may hold the main text."""
+    return reduce(lambda a, b: a | b, [F.regexp_count(html, F.lit(_open_tag(t))) > 1 for t in MAIN_TAGS])
+
+
+def _main_region(content: str) -> Column:
+    """Inner html of the first main, article or body, for pages with one of each at most."""
+    region = F.col(content)
+    for tag in reversed(MAIN_TAGS):
+        body = F.regexp_extract(content, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
+        region = F.when(F.col(content).rlike(_open_tag(tag)), body).otherwise(region)
+    return region
+
+
 def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") -> DataFrame:
     """Text of the first main, else article, else body, else the whole page.
 
@@ -133,16 +147,34 @@ def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") ->
     most once its text is cut out in place; only other pages are tokenised.
     """
     rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
-    repeated = reduce(lambda a, b: a | b, [F.regexp_count("html", F.lit(_open_tag(t))) > 1 for t in MAIN_TAGS])
+    repeated = _repeated_main("html")
     content = once(rows.filter(~repeated), H.drop_elements(F.col("html"), H.NOISE_TAGS).alias("_content"))
-    region = F.col("_content")
-    for tag in reversed(MAIN_TAGS):
-        body = F.regexp_extract("_content", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
-        region = F.when(F.col("_content").rlike(_open_tag(tag)), body).otherwise(region)
-    simple = content.select(key, H.markup_to_text(region).alias(out))
+    simple = content.select(key, H.markup_to_text(_main_region("_content")).alias(out))
     return simple.unionByName(structural_main_text(rows.filter(repeated), key, out))
 
 
+def page_texts(pages: DataFrame, keywords: Column, key: str = "page_id") -> DataFrame:
+    """(key, filtered_text, main_text, snippets): all a scan reads off a page.
+
+    The same texts as `filtered_text`, `main_text` and `page_snippets` give.
+    Plain pages go through one chain of steps that share the cleaned html; only
+    pages that need their structure are tokenised, shuffled and joined.
+    """
+    rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
+    complex_page = F.col("html").rlike(H.noise_attr_pattern()) | _repeated_main("html")
+    rest = tuple(t for t in H.NOISE_TAGS if t not in H.SNIPPET_NOISE_TAGS)
+    visible = once(rows.filter(~complex_page), H.drop_elements(F.col("html"), H.SNIPPET_NOISE_TAGS).alias("_shown"))
+    content = once(visible, F.regexp_replace("_shown", H.element_pattern(rest), " ").alias("_content"))
+    plain = H.with_snippets(content, H.sentences(H.markup_to_text(F.col("_shown"))), keywords).select(
+        key, H.markup_to_text(F.col("_content")).alias("filtered_text"),
+        H.markup_to_text(_main_region("_content")).alias("main_text"), "snippets",
+    )
+    others = rows.filter(complex_page)
+    noisy_text = filtered_text(others, key)
+    structured = noisy_text.join(main_text(others, key), key).join(page_snippets(others, keywords, key), key)
+    return plain.unionByName(structured)
+
+
 def page_sentences(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, pos, sentence) of the snippet text, sentences of 10 characters up."""
     text = H.clean_text(F.col("html"), H.SNIPPET_NOISE_TAGS)

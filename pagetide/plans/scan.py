@@ -14,6 +14,7 @@ from pagetide.operators import fingerprints as P
 from pagetide.operators import text as T
 from pagetide.operators.watch import ERROR_CHARS
 from pagetide.sources import schemas
+from pagetide.sources.scratch import cut
 
 STORED_TEXT_CHARS = 5000
 
@@ -64,7 +65,9 @@ def scan_batch(snapshots: DataFrame, state: DataFrame, keywords: Column, run_id:
     `snapshots` follows the snapshot schema, with at most one per target, and
     may carry `error`; a snapshot with an error is a failed scan.  Targets whose
     html is the same as last time keep their fingerprints, so their pages are
-    hashed once and not cleaned again.
+    hashed once and not cleaned again.  The texts of the others are written to
+    the checkpoint folder, as three later steps read them.  `keywords` are in
+    lower case.
     """
     error = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string")
     old = state.select(
@@ -80,15 +83,13 @@ def scan_batch(snapshots: DataFrame, state: DataFrame, keywords: Column, run_id:
     ok = F.col("error").isNull()
     same = F.coalesce(F.col("binary_hash") == F.col("old_binary"), F.lit(False))
     fresh = batch.filter(ok & ~same).select("target_id", "html")
-    texts = T.filtered_text(fresh, "target_id")
+    texts = cut(T.page_texts(fresh, keywords, "target_id").join(snapshots.select("target_id", "scan_ts"), "target_id"))
     prints = P.simhash(
         texts.select("target_id", "filtered_text", X.sha256_hex(F.col("filtered_text")).alias("filtered_hash")),
         ["target_id", "filtered_hash"], "filtered_text",
     )
-    sources = T.main_text(fresh, "target_id").join(T.page_snippets(fresh, keywords, "target_id"), "target_id")
-    when = batch.select("target_id", "scan_ts")
-    found = D.extract_deadlines(sources.join(when, "target_id"), "target_id", F.col("scan_ts"))
-    return _decide(batch.drop("html"), prints, sources, found, run_id, threshold)
+    found = D.extract_deadlines(texts, "target_id", F.col("scan_ts"))
+    return _decide(batch.drop("html"), prints, texts.select("target_id", "main_text", "snippets"), found, run_id, threshold)
 
 
 def _decide(batch: DataFrame, prints: DataFrame, sources: DataFrame, found: DataFrame, run_id: Column, threshold: int) -> DataFrame:
