@@ -147,6 +147,7 @@ def with_state(body: str) -> str:
 # ---- html and text ----------------------------------------------------------
 
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BREAK = "\ue000"
 TAG = r"<[a-zA-Z/!?][^>]*>"
 OPAQUE = r"(?is)<script(?:\s[^>]*)?>.*?(?:</script\s*>|\z)|<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 NOISE_TAGS = ("nav", "footer", "header", "aside", "iframe", "noscript")
@@ -163,6 +164,15 @@ def clean(html: str, tags: tuple[str, ...] = NOISE_TAGS) -> str:
     return squeeze(bare)
 
 
+def lines(html: str, tags: tuple[str, ...]) -> str:
+    """The same with the space inside text nodes left as it is."""
+    bare = f"regexp_replace(regexp_replace({html}, '{OPAQUE}', '<x>', 'g'), '{elements(tags)}', '<x>', 'g')"
+    for name, char in ENTITIES.items():
+        bare = f"replace({bare}, '&{name};', '{char}')" if name not in ("lt", "gt") else bare
+    nodes = f"string_split_regex({bare}, '{TAG}')"
+    return f"array_to_string(list_filter(list_transform({nodes}, lambda n: regexp_replace(n, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda n: n <> ''), ' ')"
+
+
 def squeeze(text: str) -> str:
     for name, char in ENTITIES.items():
         text = f"replace({text}, '&{name};', '{char}')"

@@ -43,10 +43,13 @@ RAW_TEXT_TAGS = ("script", "style")
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPACE_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 TAG = r"<[a-zA-Z/!?][^>]*>"
+# Stands for removed markup between two texts: a character for private use.
+BREAK = "\ue000"
+TAG_OR_BREAK = f"{TAG}|{BREAK}"
 
 # Named character references that occur in running text.
 ENTITIES = (
-    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
+    ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
     ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"),
     ("bull", "•"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"),
     ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"),
@@ -68,14 +71,31 @@ def element_pattern(tags: tuple[str, ...]) -> str:
     return "(?is)" + "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in tags)
 
 
+def balanced(html: Column, tags: tuple[str, ...]) -> Column:
+    """No element of the given names is unclosed or nested in one of its name.
+
+    `html` is free of comments, scripts and styles.  Only then does a pattern
+    find the same elements as the tree does.
+    """
+    rest = [t for t in tags if t not in RAW_TEXT_TAGS]
+    opened = F.regexp_count(html, F.lit(rf"(?i)<(?:{'|'.join(rest)})(?:\s[^>]*)?>"))
+    whole = reduce(lambda a, b: a + b, [F.regexp_count(html, F.lit(element_pattern((t,)))) for t in rest])
+    return opened == whole
+
+
 def drop_opaque(html: Column) -> Column:
-    return F.regexp_replace(html, OPAQUE, " ")
+    """Html with each comment, script and style turned into a BREAK."""
+    return F.regexp_replace(html, OPAQUE, BREAK)
 
 
 def drop_elements(html: Column, tags: tuple[str, ...]) -> Column:
     """Html without comments, scripts, styles and the given elements."""
+    return drop_closed(drop_opaque(html), tags)
+
+
+def drop_closed(html: Column, tags: tuple[str, ...]) -> Column:
     rest = tuple(t for t in tags if t not in RAW_TEXT_TAGS)
-    return F.regexp_replace(drop_opaque(html), element_pattern(rest), " ")
+    return F.regexp_replace(html, element_pattern(rest), BREAK)
 
 
 def _decode_numeric(text: Column) -> Column:
@@ -109,11 +129,22 @@ def collapse_space(text: Column) -> Column:
 
 def markup_to_text(html: Column) -> Column:
     """Text nodes joined by one space, tags gone."""
-    return collapse_space(decode_entities(F.regexp_replace(html, TAG, " ")))
+    return collapse_space(decode_entities(F.regexp_replace(html, TAG_OR_BREAK, " ")))
+
+
+def markup_to_lines(html: Column) -> Column:
+    """Text nodes, each trimmed, joined by one space; space inside them stays.
+
+    Tags become breaks first, so that space next to a tag can be told from
+    space inside a text.
+    """
+    marked = decode_entities(F.regexp_replace(html, TAG, BREAK))
+    before = F.regexp_replace(marked, rf"(?<!{SPACE}){SPACE}+{BREAK}", BREAK)
+    return collapse_ends(F.regexp_replace(before, rf"{BREAK}(?:{SPACE}|{BREAK})*+", " "))
 
 
 def clean_text(html: Column, tags: tuple[str, ...] = NOISE_TAGS) -> Column:
-    """Visible text with the given elements removed."""
+    """Visible text with the given elements removed, where none is nested in its like."""
     return markup_to_text(drop_elements(html, tags))
 
 

@@ -49,7 +49,7 @@ def resolve(base: Column, href: Column) -> Column:
     return (
         F.when(href.rlike(SCHEME), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href == "", no_fragment)
+        .when(href == "", base)
         .when(href.startswith("#"), F.concat(no_fragment, href))
         .when(href.startswith("?"), F.concat(no_query, href))
         .when(href.startswith("/"), F.concat(origin, squash_dots(own_path), tail))

@@ -31,11 +31,11 @@ def page_anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     rows = pages.select(key, url, F.posexplode(pieces).alias("pos", "piece")).filter("pos > 0")
     open_tag = F.concat(F.lit(" "), F.regexp_extract("piece", r"^([^>]*)>", 1))
     inner = F.regexp_extract("piece", r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)", 1)
-    text = H.collapse_ends(F.regexp_replace(inner, rf"{H.SPACE}*{H.TAG}{H.SPACE}*", ""))
+    text = H.collapse_ends(F.regexp_replace(inner, rf"{H.SPACE}*(?:{H.TAG_OR_BREAK}){H.SPACE}*", ""))
     parsed = once(
         once(rows, open_tag.alias("_tag"), text.alias("_text")),
         _attribute(F.col("_tag"), "href").alias("href"),
-        H.decode_entities(F.col("_text")).alias("text"),
+        H.collapse_ends(H.decode_entities(F.col("_text"))).alias("text"),
         F.coalesce(_attribute(F.col("_tag"), "title"), F.lit("")).alias("title"),
     )
     return parsed.filter("href IS NOT NULL").select(key, url, "pos", "href", "text", "title")

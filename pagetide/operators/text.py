@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagetide.functions import html as H
 from pagetide.functions.once import once
 
-TOKEN = r"<[a-zA-Z/!?][^>]*>|[^<]+|<"
+TOKEN = rf"{H.TAG}|[^<{H.BREAK}]+|<"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9-]*)"
 # Elements that never have an end tag.
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
@@ -85,29 +85,58 @@ def without_noise(marked: DataFrame, noise: Column, key: str = "page_id") -> Dat
     return marked.withColumn("covered", F.coalesce(reach >= F.col("pos"), F.lit(False)))
 
 
-def _join_text(marked: DataFrame, keep: Column, out: str, key: str) -> DataFrame:
+def _kept_nodes(keep: Column) -> Column:
     is_text = F.col("token").isNotNull() & ~F.col("token").rlike("^" + H.TAG)
     nodes = F.array_sort(F.collect_list(F.when(is_text & keep, F.struct("pos", "token"))))
-    text = F.array_join(F.transform(nodes, lambda n: n["token"]), " ")
-    return marked.groupBy(key).agg(H.collapse_space(H.decode_entities(text)).alias(out))
+    return F.transform(nodes, lambda n: n["token"])
 
 
-def structural_filtered_text(pages: DataFrame, key: str = "page_id", out: str = "filtered_text") -> DataFrame:
-    """Visible text without noise elements, found by tag name, class or id."""
-    marked = without_noise(with_element_end(page_tokens(pages, key), key), noise_element(True), key)
-    return _join_text(marked, ~F.col("covered"), out, key)
+def _one_line(nodes: Column) -> Column:
+    return H.collapse_space(H.decode_entities(F.array_join(nodes, " ")))
 
 
-def filtered_text(pages: DataFrame, key: str = "page_id", html: str = "html", out: str = "filtered_text") -> DataFrame:
-    """The text that is fingerprinted, per page.
+def _as_is(nodes: Column) -> Column:
+    trimmed = F.transform(nodes, lambda n: H.collapse_ends(H.decode_entities(n)))
+    return F.array_join(F.filter(trimmed, lambda n: n != ""), " ")
 
-    Pages without a noise class or id are cleaned in place by patterns; only
-    the others are split into tokens and shuffled.
+
+def structural_text(
+    pages: DataFrame, key: str, tags: tuple[str, ...], by_attribute: bool, out: str, as_is: bool = False
+) -> DataFrame:
+    """Text without noise elements, for pages of any shape."""
+    marked = without_noise(with_element_end(page_tokens(pages, key), key), noise_element(by_attribute, tags), key)
+    nodes = _kept_nodes(~F.col("covered"))
+    return marked.groupBy(key).agg((_as_is if as_is else _one_line)(nodes).alias(out))
+
+
+def visible_text(
+    pages: DataFrame, key: str, tags: tuple[str, ...], by_attribute: bool, out: str, as_is: bool = False
+) -> DataFrame:
+    """Text without noise elements, found by tag name and maybe by class or id.
+
+    Where patterns find the same elements as the tree does, the page is cleaned
+    in place; only the other pages are split into tokens and shuffled.
+    `as_is` keeps the space inside text nodes instead of squeezing it.
     """
-    rows = pages.select(key, F.col(html).alias("html"))
-    noisy = F.col("html").rlike(H.noise_attr_pattern())
-    plain = rows.filter(~F.coalesce(noisy, F.lit(False))).select(key, H.clean_text(F.coalesce("html", F.lit(""))).alias(out))
-    return plain.unionByName(structural_filtered_text(rows.filter(noisy), key, out))
+    rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
+    bare = once(rows, H.drop_opaque(F.col("html")).alias("_bare"))
+    flat = H.balanced(F.col("_bare"), tags)
+    if by_attribute:
+        flat = flat & ~F.col("_bare").rlike(H.noise_attr_pattern())
+    judged = once(bare, flat.alias("_flat"))
+    rest = H.drop_closed(F.col("_bare"), tags)
+    simple = judged.filter("_flat").select(key, (H.markup_to_lines if as_is else H.markup_to_text)(rest).alias(out))
+    return simple.unionByName(structural_text(judged.filter("NOT _flat"), key, tags, by_attribute, out, as_is))
+
+
+def filtered_text(pages: DataFrame, key: str = "page_id", out: str = "filtered_text") -> DataFrame:
+    """The text that is fingerprinted, per page."""
+    return visible_text(pages, key, H.NOISE_TAGS, True, out)
+
+
+def snippet_text(pages: DataFrame, key: str = "page_id", out: str = "snippet_text") -> DataFrame:
+    """The text that is searched for snippets, per page."""
+    return visible_text(pages, key, H.SNIPPET_NOISE_TAGS, False, out, as_is=True)
 
 
 def structural_main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") -> DataFrame:
@@ -119,7 +148,7 @@ def structural_main_text(pages: DataFrame, key: str = "page_id", out: str = "mai
     region = F.min(F.when(opens, F.struct(order.alias("o"), F.col("pos").alias("a"), F.col("end_pos").alias("b")))).over(whole)
     ranged = marked.withColumn("_r", region)
     inside = F.col("_r").isNull() | ((F.col("pos") > F.col("_r.a")) & (F.col("_r.b").isNull() | (F.col("pos") < F.col("_r.b"))))
-    return _join_text(ranged, ~F.col("covered") & inside, out, key)
+    return ranged.groupBy(key).agg(_one_line(_kept_nodes(~F.col("covered") & inside)).alias(out))
 
 
 def _open_tag(tag: str) -> str:
@@ -147,10 +176,11 @@ def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") ->
     most once its text is cut out in place; only other pages are tokenised.
     """
     rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
-    repeated = _repeated_main("html")
-    content = once(rows.filter(~repeated), H.drop_elements(F.col("html"), H.NOISE_TAGS).alias("_content"))
+    bare = once(rows, H.drop_opaque(F.col("html")).alias("_bare"))
+    judged = once(bare, (H.balanced(F.col("_bare"), H.NOISE_TAGS) & ~_repeated_main("_bare")).alias("_flat"))
+    content = once(judged.filter("_flat"), H.drop_closed(F.col("_bare"), H.NOISE_TAGS).alias("_content"))
     simple = content.select(key, H.markup_to_text(_main_region("_content")).alias(out))
-    return simple.unionByName(structural_main_text(rows.filter(repeated), key, out))
+    return simple.unionByName(structural_main_text(judged.filter("NOT _flat"), key, out))
 
 
 def page_texts(pages: DataFrame, keywords: Column, key: str = "page_id") -> DataFrame:
@@ -161,30 +191,29 @@ def page_texts(pages: DataFrame, keywords: Column, key: str = "page_id") -> Data
     pages that need their structure are tokenised, shuffled and joined.
     """
     rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
-    complex_page = F.col("html").rlike(H.noise_attr_pattern()) | _repeated_main("html")
-    rest = tuple(t for t in H.NOISE_TAGS if t not in H.SNIPPET_NOISE_TAGS)
-    visible = once(rows.filter(~complex_page), H.drop_elements(F.col("html"), H.SNIPPET_NOISE_TAGS).alias("_shown"))
-    content = once(visible, F.regexp_replace("_shown", H.element_pattern(rest), " ").alias("_content"))
-    plain = H.with_snippets(content, H.sentences(H.markup_to_text(F.col("_shown"))), keywords).select(
+    bare = once(rows, H.drop_opaque(F.col("html")).alias("_bare"))
+    flat = H.balanced(F.col("_bare"), H.NOISE_TAGS) & ~F.col("_bare").rlike(H.noise_attr_pattern()) & ~_repeated_main("_bare")
+    judged = once(bare, flat.alias("_flat"))
+    shown = H.markup_to_lines(H.drop_closed(F.col("_bare"), H.SNIPPET_NOISE_TAGS))
+    content = once(judged.filter("_flat"), H.drop_closed(F.col("_bare"), H.NOISE_TAGS).alias("_content"))
+    plain = H.with_snippets(content, H.sentences(shown), keywords).select(
         key, H.markup_to_text(F.col("_content")).alias("filtered_text"),
         H.markup_to_text(_main_region("_content")).alias("main_text"), "snippets",
     )
-    others = rows.filter(complex_page)
-    noisy_text = filtered_text(others, key)
-    structured = noisy_text.join(main_text(others, key), key).join(page_snippets(others, keywords, key), key)
+    others = judged.filter("NOT _flat").select(key, "html")
+    structured = filtered_text(others, key).join(main_text(others, key), key).join(page_snippets(others, keywords, key), key)
     return plain.unionByName(structured)
 
 
 def page_sentences(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, pos, sentence) of the snippet text, sentences of 10 characters up."""
-    text = H.clean_text(F.col("html"), H.SNIPPET_NOISE_TAGS)
-    return pages.select(key, F.posexplode(H.sentences(text)).alias("pos", "sentence"))
+    return snippet_text(pages, key).select(key, F.posexplode(H.sentences(F.col("snippet_text"))).alias("pos", "sentence"))
 
 
 def page_snippets(pages: DataFrame, keywords: Column, key: str = "page_id", limit: int = 50) -> DataFrame:
-    """(key, snippets): the first sentences that hold a keyword."""
-    text = H.clean_text(F.col("html"), H.SNIPPET_NOISE_TAGS)
-    return H.with_snippets(pages.select(key, "html"), H.sentences(text), keywords, limit=limit).select(key, "snippets")
+    """(key, snippets): the first sentences that hold one of the lower-case keywords."""
+    texts = snippet_text(pages, key)
+    return H.with_snippets(texts, H.sentences(F.col("snippet_text")), keywords, limit=limit).select(key, "snippets")
 
 
 def anchor_contexts(pages: DataFrame, key: str = "page_id") -> DataFrame:
