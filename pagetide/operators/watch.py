@@ -11,13 +11,17 @@ from pagetide.operators.running import Running, running, time_chunk
 ORDER = ("scan_ts", "event_id")
 
 
-def watch_history(log: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def watch_history(log: DataFrame, chunk_seconds: int = 3600, start: DataFrame | None = None) -> DataFrame:
     """Scan log plus the target's watch state before and after every scan.
 
     `log` has target_id, event_id, scan_ts, status, change_detected and
     deadlines_count.  Adds is_baseline, previous_watch_mode, new_watch_mode,
     transition_reason, no_change_streak, error_streak and scans_so_far.
 
+    `start` is the state the log begins from: target_id, watch_mode,
+    no_change_streak, error_streak and has_baseline, one row per target.
+    Targets it lacks, or all of them without it, begin as new ones.
+
     A mode only ever rises, so it is a running maximum of outcome ranks.  A
     streak is a running count less its value at the last reset, and that value
     is again a running maximum.  Both add up over time chunks, so that no task
@@ -66,17 +70,27 @@ def watch_history(log: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     )
     joined = rows.join(offsets, keys)
     zero = F.lit(0)
-    old_rank = F.coalesce(F.greatest("o_rank", "_rank_b"), zero)
+    rank0, quiet0, failed0, known = zero, zero, zero, F.lit(False)
+    if start is not None:
+        joined = joined.join(start.select(
+            "target_id", M.mode_rank(F.col("watch_mode")).alias("_rank0"), F.col("no_change_streak").alias("_quiet0"),
+            F.col("error_streak").alias("_failed0"), F.col("has_baseline").alias("_known"),
+        ), "target_id", "left")
+        rank0, quiet0, failed0 = (F.coalesce(c, zero) for c in ("_rank0", "_quiet0", "_failed0"))
+        known = F.coalesce("_known", F.lit(False))
+    old_rank = F.greatest(F.coalesce("o_rank", zero), F.coalesce("_rank_b", zero), rank0)
     new_rank = F.greatest(old_rank, F.col("_rank"))
-    quiet_at_reset = F.greatest(F.coalesce(F.greatest(F.col("o_qr"), F.col("o_q") + F.col("_qr")), zero), F.coalesce("o_fq", "_fq", zero))
-    failed_at_success = F.coalesce(F.greatest(F.col("o_fr"), F.col("o_f") + F.col("_fr")), zero)
+    # The running count at the last reset; NULL before the first one.
+    changed_at = F.greatest(F.col("o_qr"), F.col("o_q") + F.col("_qr"))
+    baseline_at = F.when(~known, F.coalesce("o_fq", "_fq"))
+    success_at = F.greatest(F.col("o_fr"), F.col("o_f") + F.col("_fr"))
     staged = joined.select(
         *log.columns,
-        (ok & (F.col("o_s") + F.col("_s") == 1)).alias("is_baseline"),
+        (ok & ~known & (F.col("o_s") + F.col("_s") == 1)).alias("is_baseline"),
         M.mode_name(old_rank).alias("previous_watch_mode"),
         M.mode_name(new_rank).alias("new_watch_mode"),
-        (F.col("o_q") + F.col("_q") - quiet_at_reset).alias("no_change_streak"),
-        (F.col("o_f") + F.col("_f") - failed_at_success).alias("error_streak"),
+        (F.col("o_q") + F.col("_q") - F.coalesce(F.greatest(changed_at, baseline_at), -quiet0)).alias("no_change_streak"),
+        (F.col("o_f") + F.col("_f") - F.coalesce(success_at, -failed0)).alias("error_streak"),
         (F.col("o_s") + F.col("_s")).alias("scans_so_far"),
     )
     reason = F.when(ok, M.transition_reason(F.col("previous_watch_mode"), F.col("change_detected"), F.col("deadlines_count")))

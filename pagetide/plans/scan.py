@@ -12,7 +12,8 @@ from pagetide.functions import modes as M
 from pagetide.operators import deadlines as D
 from pagetide.operators import fingerprints as P
 from pagetide.operators import text as T
-from pagetide.operators.watch import ERROR_CHARS
+from pagetide.operators.running import Running, running, time_chunk
+from pagetide.operators.watch import ERROR_CHARS, watch_history
 from pagetide.sources import schemas
 from pagetide.sources.scratch import cut
 
@@ -51,121 +52,151 @@ def changed_pages(pairs: DataFrame, key: str = "page_id", threshold: int = P.THR
 
 @dataclass(frozen=True)
 class ScanTables:
-    """What one scan adds: `state` rows to upsert, `audit` and `history` to append."""
+    """What a scan adds: `state` rows to upsert, `audit` and `history` rows to append."""
 
-    results: DataFrame
     state: DataFrame
     audit: DataFrame
     history: DataFrame
 
 
-def scan_batch(snapshots: DataFrame, state: DataFrame, keywords: Column, run_id: Column, threshold: int = P.THRESHOLD) -> DataFrame:
+SNAPSHOT = ["target_id", "scan_ts"]
+
+
+def scan_batch(
+    snapshots: DataFrame,
+    state: DataFrame,
+    keywords: Column,
+    run_id: Column,
+    threshold: int = P.THRESHOLD,
+    chunk_seconds: int = 3600,
+) -> DataFrame:
     """Scan results: one row per snapshot with its decision and next watch state.
 
-    `snapshots` follows the snapshot schema, with at most one per target, and
-    may carry `error`; a snapshot with an error is a failed scan.  Targets whose
-    html is the same as last time keep their fingerprints, so their pages are
-    hashed once and not cleaned again.  The texts of the others are written to
-    the checkpoint folder, as three later steps read them.  `keywords` are in
-    lower case.
+    `snapshots` follows the snapshot schema and may carry `error`; a snapshot
+    with an error is a failed scan.  A target may have any number of them, at
+    different times: each is compared to the one before it, the first to
+    `state`.  This is done for all at once, with running values over time
+    chunks, so a target that fills much of the batch is spread over tasks.
+
+    A snapshot whose html is that of the one before keeps its fingerprints and
+    is not cleaned.  The texts of the others are written to the checkpoint
+    folder, as three later steps read them.  `keywords` are in lower case.
     """
     error = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string")
-    old = state.select(
-        "target_id", F.col("binary_hash").alias("old_binary"), F.col("filtered_hash").alias("old_filtered"),
-        F.col("simhash").alias("old_simhash"), "watch_mode", "current_deadlines", "current_summary",
-        F.col("next_run_at").alias("old_next_run_at"), F.col("last_scan_at").alias("old_last_scan_at"),
-        "no_change_streak", "error_streak", "total_scans", "tracked_links", "is_active",
+    pages = snapshots.select(
+        *SNAPSHOT, "url", "fetch_method", error.alias("error"), F.coalesce("html", F.lit("")).alias("html")
+    ).withColumn("binary_hash", F.when(F.col("error").isNull(), X.sha256_hex(F.col("html"))))
+    known = state.select(
+        "target_id", F.col("binary_hash").alias("first_binary"), F.col("filtered_hash").alias("first_filtered"),
+        F.col("simhash").alias("first_simhash"),
     )
-    batch = snapshots.select(
-        "target_id", "url", "fetch_method", "scan_ts", error.alias("error"), F.coalesce("html", F.lit("")).alias("html")
-    ).withColumn("binary_hash", X.sha256_hex(F.col("html"))).join(old, "target_id", "left")
-
-    ok = F.col("error").isNull()
-    same = F.coalesce(F.col("binary_hash") == F.col("old_binary"), F.lit(False))
-    fresh = batch.filter(ok & ~same).select("target_id", "html")
-    texts = cut(T.page_texts(fresh, keywords, "target_id").join(snapshots.select("target_id", "scan_ts"), "target_id"))
+    scans = _with_last(pages.drop("html"), [("old_binary", F.col("binary_hash"), False)], chunk_seconds)
+    scans = cut(scans.join(known, "target_id", "left").withColumn("old_binary", F.coalesce("old_binary", "first_binary")))
+    changed_html = F.col("error").isNull() & ~F.coalesce(F.col("binary_hash") == F.col("old_binary"), F.lit(False))
+    fresh = scans.filter(changed_html).select(*SNAPSHOT)
+    sid = F.struct(*SNAPSHOT).alias("sid")
+    texts = cut(T.page_texts(pages.join(fresh, SNAPSHOT).select(sid, "html"), keywords, "sid").withColumn("scan_ts", F.col("sid.scan_ts")))
     prints = P.simhash(
-        texts.select("target_id", "filtered_text", X.sha256_hex(F.col("filtered_text")).alias("filtered_hash")),
-        ["target_id", "filtered_hash"], "filtered_text",
+        texts.select("sid", "filtered_text", X.sha256_hex(F.col("filtered_text")).alias("filtered_hash")),
+        ["sid", "filtered_hash"], "filtered_text",
     )
-    found = D.extract_deadlines(texts, "target_id", F.col("scan_ts"))
-    return _decide(batch.drop("html"), prints, texts.select("target_id", "main_text", "snippets"), found, run_id, threshold)
+    found = D.extract_deadlines(texts, "sid", F.col("scan_ts"))
+    stored = texts.select("sid", F.substring("main_text", 1, STORED_TEXT_CHARS).alias("main_text"), "snippets")
+    joined = scans.withColumn("sid", sid).join(prints, "sid", "left").join(found, "sid", "left").join(stored, "sid", "left").drop("sid")
+    return _watched(_decided(joined, threshold, chunk_seconds), state, run_id, chunk_seconds)
+
 
+def _with_last(rows: DataFrame, columns: list[tuple[str, Column, bool]], chunk_seconds: int) -> DataFrame:
+    """Adds per target the last non-NULL value of each column in time order."""
+    measures = [Running(name, "last", value, inclusive) for name, value, inclusive in columns]
+    return running(rows, ["target_id"], ["scan_ts"], time_chunk(F.col("scan_ts"), chunk_seconds), measures)
 
-def _decide(batch: DataFrame, prints: DataFrame, sources: DataFrame, found: DataFrame, run_id: Column, threshold: int) -> DataFrame:
+
+def _decided(scans: DataFrame, threshold: int, chunk_seconds: int) -> DataFrame:
+    """Adds fingerprints, the change decision and the deadlines that count."""
+    pair = F.when(F.col("filtered_hash").isNotNull(), F.struct("filtered_hash", "simhash"))
+    carried = _with_last(scans, [("_now", pair, True), ("_before", pair, False)], chunk_seconds)
+    first = F.when(F.col("first_filtered").isNotNull(), F.struct(F.col("first_filtered").alias("filtered_hash"), F.col("first_simhash").alias("simhash")))
     ok = F.col("error").isNull()
-    joined = (
-        batch.join(prints, "target_id", "left")
-        .join(sources.withColumn("main_text", F.substring("main_text", 1, STORED_TEXT_CHARS)), "target_id", "left")
-        .join(found, "target_id", "left")
-    )
-    joined = (
-        joined.withColumn("filtered_hash", F.coalesce("filtered_hash", "old_filtered"))
-        .withColumn("simhash", F.coalesce("simhash", "old_simhash"))
-        .withColumn("is_baseline", F.col("old_binary").isNull())
-    )
-    renamed = {"binary_hash": "old_binary", "filtered_hash": "old_filtered", "simhash": "old_simhash"}
-    verdict = P.decision(~F.col("is_baseline"), F.col, lambda c: F.col(renamed[c]), threshold)
-    decided = joined.withColumn("_v", verdict)
-    changed_first, kind_first = P.apply_baseline(
-        F.col("is_baseline"), F.coalesce(F.size("deadlines"), F.lit(0)), F.col("_v.change_detected"), F.col("_v.change_type")
+    scans = (
+        carried.withColumn("_before", F.coalesce("_before", first))
+        .withColumn("_now", F.coalesce("_now", "_before"))
+        .withColumn("filtered_hash", F.when(ok, F.col("_now.filtered_hash")))
+        .withColumn("simhash", F.when(ok, F.col("_now.simhash")))
+        .withColumn("is_baseline", ok & F.col("old_binary").isNull())
     )
+    old = {"binary_hash": F.col("old_binary"), "filtered_hash": F.col("_before.filtered_hash"), "simhash": F.col("_before.simhash")}
+    verdict = P.decision(F.col("old_binary").isNotNull(), F.col, old.__getitem__, threshold)
     empty = schemas.empty_list(schemas.DEADLINES)
-    decided = (
-        decided.withColumn("change_detected", ok & changed_first)
-        .withColumn("change_type", F.when(ok, kind_first).otherwise("NONE"))
+    judged = scans.withColumn("_v", verdict).withColumn("deadlines", F.coalesce("deadlines", empty))
+    changed, kind = P.apply_baseline(F.col("is_baseline"), F.size("deadlines"), F.col("_v.change_detected"), F.col("_v.change_type"))
+    return (
+        judged.withColumn("change_detected", ok & changed)
+        .withColumn("change_type", F.when(ok, kind).otherwise("NONE"))
         .withColumn("hamming_distance", F.when(ok & ~F.col("is_baseline"), F.col("_v.hamming_distance")))
-        .withColumn("deadlines_found", F.when(F.col("change_detected"), F.coalesce("deadlines", empty)).otherwise(empty))
-        .withColumn("previous_watch_mode", F.coalesce("watch_mode", F.lit("MONTHLY")))
+        .withColumn("deadlines_found", F.when(F.col("change_detected"), F.col("deadlines")).otherwise(empty))
+        .withColumn("deadlines_count", F.size("deadlines_found"))
+        .withColumn("status", F.when(ok, "succeeded").otherwise("failed"))
+        .withColumn("event_id", F.lit(0))
+        .drop("_v", "_now", "_before", "deadlines", "first_binary", "first_filtered", "first_simhash", "old_binary", "is_baseline")
     )
-    n = F.size("deadlines_found")
-    before, changed = F.col("previous_watch_mode"), F.col("change_detected")
+
+
+def _watched(scans: DataFrame, state: DataFrame, run_id: Column, chunk_seconds: int) -> DataFrame:
+    """Adds the watch state; a failed scan keeps the mode and the planned run."""
+    start = state.select("target_id", "watch_mode", "no_change_streak", "error_streak", F.col("binary_hash").isNotNull().alias("has_baseline"))
+    rows = watch_history(cut(scans), chunk_seconds, start)
+    ok = F.col("status") == "succeeded"
+    failure = F.substring(F.concat(F.lit("SCAN_FAILED: "), "error"), 1, ERROR_CHARS)
     return (
-        decided.withColumn("new_watch_mode", F.when(ok, M.next_mode(before, changed, n)).otherwise(before))
-        .withColumn(
-            "transition_reason",
-            F.when(ok, M.transition_reason(before, changed, n)).otherwise(F.substring(F.concat(F.lit("SCAN_FAILED: "), "error"), 1, ERROR_CHARS)),
-        )
-        .withColumn("next_run_at", F.when(ok, M.next_run(F.col("new_watch_mode"), F.col("scan_ts"))).otherwise(F.coalesce("old_next_run_at", "scan_ts")))
-        .withColumn("status", F.when(ok, "succeeded").otherwise("failed"))
+        rows.withColumn("transition_reason", F.when(ok, F.col("transition_reason")).otherwise(failure))
+        .withColumn("next_run_at", F.when(ok, M.next_run(F.col("new_watch_mode"), F.col("scan_ts"))))
         .withColumn("run_id", run_id)
-        .drop("_v", "deadlines")
     )
 
 
-def scan_tables(results: DataFrame) -> ScanTables:
-    """State rows and log rows of scan results."""
+def scan_tables(results: DataFrame, state: DataFrame) -> ScanTables:
+    """State rows and log rows of scan results that started from `state`."""
     ok = F.col("status") == "succeeded"
-    zero = F.lit(0).cast("bigint")
-    streak = F.coalesce("no_change_streak", zero)
-    errors = F.coalesce("error_streak", zero)
-    state = results.select(
-        "target_id", "url", F.col("new_watch_mode").alias("watch_mode"), "next_run_at",
-        F.when(ok, F.col("scan_ts")).otherwise(F.col("old_last_scan_at")).alias("last_scan_at"),
-        F.coalesce("is_active", F.lit(True)).alias("is_active"),
-        *[F.when(ok, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("binary_hash", "old_binary"), ("filtered_hash", "old_filtered"), ("simhash", "old_simhash"))],
-        F.when(F.size("deadlines_found") > 0, F.col("deadlines_found")).otherwise(
-            F.coalesce("current_deadlines", schemas.empty_list(schemas.DEADLINES))
-        ).alias("current_deadlines"),
-        "current_summary", F.coalesce("tracked_links", schemas.empty_list(schemas.LINKS)).alias("tracked_links"),
-        F.when(~ok, streak).when(F.col("change_detected") | F.col("is_baseline"), zero).otherwise(streak + 1).alias("no_change_streak"),
-        F.when(ok, zero).otherwise(errors + 1).alias("error_streak"),
-        (F.coalesce("total_scans", zero) + ok.cast("bigint")).alias("total_scans"),
-        F.when(~ok, F.substring("error", 1, ERROR_CHARS)).alias("last_error"),
-        F.col("scan_ts").alias("updated_at"),
+    good = F.when(ok, F.col("scan_ts"))
+    per_target = results.groupBy("target_id").agg(
+        F.max_by(F.struct("url", "new_watch_mode", "no_change_streak", "error_streak", "error", "scan_ts"), "scan_ts").alias("l"),
+        F.max_by(F.struct("scan_ts", "next_run_at", "binary_hash", "filtered_hash", "simhash"), good).alias("s"),
+        F.max_by("deadlines_found", F.when(F.size("deadlines_found") > 0, F.col("scan_ts"))).alias("found"),
+        F.count_if(ok).alias("scans"), F.min("scan_ts").alias("first_ts"),
     )
-    scan_id = F.sha2(F.concat_ws(":", "run_id", "target_id"), 256)
+    rows = per_target.join(state.alias("o"), "target_id", "left")
+    kept = {
+        "url": F.col("l.url"),
+        "watch_mode": F.col("l.new_watch_mode"),
+        "next_run_at": F.coalesce("s.next_run_at", "o.next_run_at", "first_ts"),
+        "last_scan_at": F.coalesce("s.scan_ts", "o.last_scan_at"),
+        "is_active": F.coalesce("o.is_active", F.lit(True)),
+        "current_deadlines": F.coalesce("found", "o.current_deadlines", schemas.empty_list(schemas.DEADLINES)),
+        "current_summary": F.col("o.current_summary"),
+        "tracked_links": F.coalesce("o.tracked_links", schemas.empty_list(schemas.LINKS)),
+        "no_change_streak": F.col("l.no_change_streak"),
+        "error_streak": F.col("l.error_streak"),
+        "total_scans": F.coalesce("o.total_scans", F.lit(0)) + F.col("scans"),
+        "last_error": F.substring("l.error", 1, ERROR_CHARS),
+        "updated_at": F.col("l.scan_ts"),
+    }
+    for c in ("binary_hash", "filtered_hash", "simhash"):
+        kept[c] = F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"o.{c}"))
+    new_state = rows.select("target_id", *[kept[c].alias(c) for c in schemas.STATE.fieldNames() if c != "target_id"])
+
+    scan_id = F.sha2(F.concat_ws(":", "run_id", "target_id", F.unix_micros("scan_ts").cast("string")), 256)
+    method = F.when(ok, F.col("fetch_method")).alias("fetch_method")
     audit = results.select(
         scan_id.alias("audit_id"), "target_id", "scan_ts", "change_detected", "change_type", "hamming_distance", "deadlines_found",
-        F.lit(None).cast("string").alias("summary"), "previous_watch_mode", "new_watch_mode", "transition_reason",
-        F.when(ok, F.col("fetch_method")).alias("fetch_method"), F.lit(0.0).alias("scan_duration_seconds"),
-        F.lit(False).alias("llm_api_called"), F.lit(False).alias("email_sent"),
+        F.lit(None).cast("string").alias("summary"), "previous_watch_mode", "new_watch_mode", "transition_reason", method,
+        F.lit(0.0).alias("scan_duration_seconds"), F.lit(False).alias("llm_api_called"), F.lit(False).alias("email_sent"),
     )
     history = results.select(
         scan_id.alias("run_id"), "target_id", "url", F.col("scan_ts").alias("started_at"), F.col("scan_ts").alias("completed_at"), "status",
-        F.when(ok, F.col("fetch_method")).alias("fetch_method"), F.lit(None).cast("bigint").alias("fetch_duration_ms"),
-        F.when(ok, F.col("change_detected")).alias("change_detected"), F.when(ok, F.size("deadlines_found")).alias("deadlines_count"),
-        F.when(ok, M.notification_class(F.col("change_detected"), F.size("deadlines_found"))).alias("email_type"),
+        method, F.lit(None).cast("bigint").alias("fetch_duration_ms"),
+        F.when(ok, F.col("change_detected")).alias("change_detected"), F.when(ok, F.col("deadlines_count")).alias("deadlines_count"),
+        F.when(ok, M.notification_class(F.col("change_detected"), F.col("deadlines_count"))).alias("email_type"),
         F.when(~ok, F.col("error")).alias("error_details"),
     )
-    return ScanTables(results, state, audit, history)
+    return ScanTables(new_state, audit, history)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,25 +28,18 @@ def scan_into(store: TableStore, keywords: Column):
     state before it, writes the same snapshot number, and appends only log rows
     that are not there yet, so the outcome is the same.
 
-    Scans of one target depend on one another; several snapshots of a target
-    in one batch are taken in rounds, the oldest first.
+    Redelivered snapshots, of the same target and time, count once.
     """
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        by_time = Window.partitionBy("target_id").orderBy("scan_ts")
-        rounds = cut(batch.withColumn("_round", F.row_number().over(by_time)))
         number = batch_id + 1
         state = store.state(before=number)
-        last = rounds.agg(F.coalesce(F.max("_round"), F.lit(0))).first()[0]
-        for turn in range(1, last + 1):
-            run = F.concat(F.lit(f"batch-{batch_id}-{turn}-"), F.date_format("scan_ts", "yyyyMMddHHmmss"))
-            results = cut(scan_batch(rounds.filter(F.col("_round") == turn).drop("_round"), state, keywords, run))
-            added = scan_tables(results)
-            state = upsert(state, added.state, ["target_id"])
-            state = cut(state) if turn < last else state
-            store.append_once(added.audit, "audit")
-            store.append_once(added.history, "history")
-        store.write_state(state, number)
+        run = F.lit(f"batch-{batch_id}")
+        results = cut(scan_batch(batch.dropDuplicates(["target_id", "scan_ts"]), state, keywords, run))
+        added = scan_tables(results, state)
+        store.append_once(added.audit, "audit")
+        store.append_once(added.history, "history")
+        store.write_state(upsert(state, added.state, ["target_id"]), number)
 
     return scan
 

@@ -32,7 +32,7 @@ class Run:
 
     def __call__(self, day, **pages):
         results = scan_batch(snapshots(self.spark, day, **pages), self.state, F.array(F.lit("deadline")), F.lit(f"run-{day}"))
-        tables = scan_tables(results)
+        tables = scan_tables(results, self.state)
         new = upsert(self.state, tables.state, ["target_id"])
         self.state = self.spark.createDataFrame(new.collect(), schemas.STATE)
         self.audit = {r["target_id"]: r for r in tables.audit.collect()}
