@@ -9,6 +9,7 @@ from pagetide.functions import html as H
 from pagetide.functions import scoring as S
 from pagetide.functions import urls as U
 from pagetide.functions.once import once
+from pagetide.operators.running import Running, running
 from pagetide.operators.text import anchor_contexts
 
 MAX_LINKS = 10
@@ -84,10 +85,17 @@ def above(links: DataFrame, threshold: float = MIN_SCORE) -> DataFrame:
     return links.filter(F.col("score") >= threshold)
 
 
-def ranked(links: DataFrame, seed: str) -> DataFrame:
-    """Adds `rank` within the seed: best score first, page order on ties."""
-    by_score = Window.partitionBy(seed).orderBy(F.desc("score"), "pos")
-    return links.withColumn("rank", F.row_number().over(by_score))
+def ranked(links: DataFrame, seed: str, chunk_links: int = 100_000) -> DataFrame:
+    """Adds `rank` within the seed: best score first, page order on ties.
+
+    The rank is a running count, taken over chunks of one score and a stretch
+    of positions, so that the links of one seed need not fit in one task.
+    `pos` must be unique within the seed.
+    """
+    keyed = links.withColumn("_low", -F.col("score"))
+    chunk = F.struct("_low", F.floor(F.col("pos") / chunk_links).alias("stretch"))
+    counted = running(keyed, [seed], ["_low", "pos"], chunk, [Running("rank", "sum", F.lit(1))])
+    return counted.withColumn("rank", F.col("rank").cast("int")).drop("_low")
 
 
 def top_links(links: DataFrame, seed: str, limit: int = MAX_LINKS) -> DataFrame:
@@ -96,7 +104,8 @@ def top_links(links: DataFrame, seed: str, limit: int = MAX_LINKS) -> DataFrame:
     The rank filter makes Spark keep only `limit` rows per seed and task before
     the shuffle, so one seed with very many links is no burden.
     """
-    return ranked(links.filter("score > 0"), seed).filter(F.col("rank") <= limit)
+    best = Window.partitionBy(seed).orderBy(F.desc("score"), "pos")
+    return links.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
 
 
 def discover(
