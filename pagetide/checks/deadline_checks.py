@@ -13,6 +13,7 @@ from pagetide.checks.registry import plain, query
 from pagetide.functions import dates as D
 from pagetide.operators import deadlines as L
 from pagetide.plans import derived as V
+from pagetide.sources.tables import spread
 
 AS_OF = "1997-01-31"
 FIRST, LAST = "DATE '1997-01-31'", "DATE '1997-01-31' + 730"
@@ -42,7 +43,7 @@ sentences AS (
 def worded(spark, d):
     """(doc_id, sentence) in the same wordings."""
     day = "cast(o_orderdate AS date)"
-    return V.table(spark, d, "orders").selectExpr(
+    return spread(V.table(spark, d, "orders")).selectExpr(
         "o_orderkey AS doc_id",
         f"""concat(CASE o_orderkey % 6 WHEN 0 THEN 'Abstract submission deadline: ' WHEN 1 THEN 'Full paper deadline: '
               WHEN 2 THEN 'Early bird registration closes: ' WHEN 3 THEN 'Camera-ready due: ' WHEN 4 THEN 'Last updated: '

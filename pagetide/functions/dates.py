@@ -46,6 +46,8 @@ SLASHED = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
 MONTH_YEAR = rf"\b{MONTH_WORD}\.?,?\s+(\d{{4}})\b"
 MONTH_DAY = rf"\b{MONTH_WORD}\.?\s+{DAY}\b"
 DAY_MONTH = rf"\b{DAY}\s+(?:of\s+)?{MONTH_WORD}\b"
+# Any of them; where several start at one place the longer form comes first.
+ANY_DATE = "|".join((ISO, MONTH_DAY_YEAR, DAY_MONTH_YEAR, SLASHED, MONTH_YEAR, MONTH_DAY, DAY_MONTH))
 IN_DAYS = r"\bin\s+(\d{1,4})\s+days?\b"
 IN_WEEKS = r"\bin\s+(\d{1,3})\s+weeks?\b"
 
@@ -90,21 +92,23 @@ def _month_year(lowered: Column, as_of: Column) -> Column:
 def with_date(rows: DataFrame, as_of: Column, sentence: str = "sentence") -> DataFrame:
     """Adds `date` and `base`, its confidence; both NULL if the sentence names none.
 
-    At most one date per sentence: the first format of the list that occurs
-    decides.  Missing parts are taken from `as_of`.
+    At most one date per sentence, the first one written out in it.  Missing
+    parts are taken from `as_of`.  The sentence is searched once; the parts are
+    then read off the few characters found.
     """
     lowered = once(rows, F.lower(sentence).alias("_low"))
-    both = once(lowered, _explicit(F.col("_low"), as_of).alias("_explicit"), _relative(F.col("_low"), as_of).alias("_relative"))
+    found = once(lowered, F.regexp_extract("_low", ANY_DATE, 0).alias("_found"))
+    both = once(found, _explicit(F.col("_found"), as_of).alias("_explicit"), _relative(F.col("_low"), as_of).alias("_relative"))
     base = F.when(F.col("_explicit").isNotNull(), F.lit(EXPLICIT_CONFIDENCE)).when(F.col("_relative").isNotNull(), F.lit(RELATIVE_CONFIDENCE))
     out = both.withColumn("date", F.coalesce("_explicit", "_relative")).withColumn("base", base)
-    return out.drop("_low", "_explicit", "_relative")
+    return out.drop("_low", "_found", "_explicit", "_relative")
 
 
 def _explicit(low: Column, as_of: Column) -> Column:
     g = F.regexp_extract
     this_year = F.year(as_of)
     return F.when(
-        low.rlike(r"\d"),
+        low != "",
         F.when(low.rlike(ISO), _date(g(low, ISO, 1), g(low, ISO, 2), g(low, ISO, 3)))
         .when(low.rlike(MONTH_DAY_YEAR), _date(g(low, MONTH_DAY_YEAR, 3), month_number(g(low, MONTH_DAY_YEAR, 1)), g(low, MONTH_DAY_YEAR, 2)))
         .when(low.rlike(DAY_MONTH_YEAR), _date(g(low, DAY_MONTH_YEAR, 3), month_number(g(low, DAY_MONTH_YEAR, 2)), g(low, DAY_MONTH_YEAR, 1)))

@@ -77,9 +77,30 @@ def _reported_once(difference: Column, gaps: Column, blocks: int) -> Column:
     return once
 
 
-def near_pairs(nodes: DataFrame, threshold: int = 5, blocks: int | None = None) -> DataFrame:
+def fullest_bucket(nodes: DataFrame, blocks: int, threshold: int) -> int:
+    """Size of the largest group of nodes that share a key."""
+    sizes = _keyed(nodes, blocks, threshold).groupBy("choice", "value").count()
+    return sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
+def fit_blocks(nodes: DataFrame, threshold: int, dense_bucket: int) -> int:
+    """Number of blocks whose keys are wide enough for these signatures.
+
+    Starts from the number that suits evenly spread signatures and widens the
+    keys, four steps at most, while a bucket holds more than `dense_bucket`.
+    """
+    blocks = choose_blocks(nodes.count(), threshold)
+    for wider in range(blocks, max(blocks, threshold + 4)):
+        if fullest_bucket(nodes, wider, threshold) <= dense_bucket:
+            return wider
+    return max(blocks, threshold + 4)
+
+
+def near_pairs(nodes: DataFrame, threshold: int = 5, blocks: int | None = None, dense_bucket: int = 512) -> DataFrame:
     """(lead_a, lead_b, distance) of distinct signatures, lead_a < lead_b."""
-    blocks = blocks or choose_blocks(nodes.count(), threshold)
+    if blocks is None:
+        nodes = cut(nodes.select("lead_id", "signature"))
+        blocks = fit_blocks(nodes, threshold, dense_bucket)
     keyed = _keyed(nodes.select("lead_id", "signature"), blocks, threshold)
     a, b = keyed.alias("a"), keyed.alias("b")
     difference = F.col("a.signature").bitwiseXOR(F.col("b.signature"))
@@ -119,50 +140,44 @@ def _pivot_round(open_nodes: DataFrame, blocks: int, threshold: int) -> DataFram
     return leaders.withColumn("leads", F.lit(True)).unionByName(members.withColumn("leads", F.lit(False)))
 
 
-def _pair_round(open_nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lead_id, leads): the same step on explicit pairs of open nodes."""
-    has_earlier = pairs.select(F.col("lead_b").alias("lead_id")).distinct()
-    leaders = open_nodes.select("lead_id").join(has_earlier, "lead_id", "left_anti")
-    members = (
-        pairs.join(leaders.withColumnRenamed("lead_id", "lead_a"), "lead_a", "left_semi")
-        .select(F.col("lead_b").alias("lead_id")).distinct()
-    )
-    return leaders.withColumn("leads", F.lit(True)).unionByName(members.withColumn("leads", F.lit(False)))
+def _members_of_pairs(pairs: DataFrame) -> DataFrame:
+    """(lead_id) of the nodes that follow another one, by rounds over the pairs.
+
+    A node that is never second in a pair leads, and its partners follow it;
+    both leave, which lets others lead in the next round.
+    """
+    members = pairs.limit(0).select(F.col("lead_b").alias("lead_id"))
+    while not pairs.isEmpty():
+        second = pairs.select(F.col("lead_b").alias("lead_a")).distinct()
+        of_leaders = pairs.join(second, "lead_a", "left_anti")
+        settled = cut(of_leaders.select(F.col("lead_b").alias("lead_id")).distinct())
+        members = members.unionByName(settled)
+        pairs = cut(
+            pairs.join(second, "lead_a", "left_semi")
+            .join(settled.withColumnRenamed("lead_id", "lead_a"), "lead_a", "left_anti")
+            .join(settled.withColumnRenamed("lead_id", "lead_b"), "lead_b", "left_anti")
+        )
+    return members
 
 
 def greedy_leaders(nodes: DataFrame, threshold: int = 5, blocks: int | None = None, dense_bucket: int = 512) -> DataFrame:
     """(lead_id, signature) of the nodes a pass in id order would let lead.
 
-    While a bucket holds more than `dense_bucket` open nodes, rounds compare
-    nodes to bucket firsts only.  After that few nodes share a bucket, and the
+    While a bucket holds more than `dense_bucket` open nodes although the keys
+    are wide, which takes that many near duplicates, rounds compare nodes to
+    bucket firsts only.  After that few nodes share a bucket, and the
     rest is settled on their explicit pairs.  Both kinds of round are exact.
     """
     nodes = cut(nodes.select("lead_id", "signature"))
-    blocks = blocks or choose_blocks(nodes.count(), threshold)
-    open_nodes, leaders = nodes, nodes.limit(0).select("lead_id")
-
-    def settle(settled: DataFrame) -> None:
-        nonlocal open_nodes, leaders
-        settled = cut(settled)
-        leaders = leaders.unionByName(settled.filter("leads").select("lead_id"))
+    blocks = blocks or fit_blocks(nodes, threshold, dense_bucket)
+    open_nodes, members = nodes, nodes.limit(0).select("lead_id")
+    while fullest_bucket(open_nodes, blocks, threshold) > dense_bucket:
+        settled = cut(_pivot_round(open_nodes, blocks, threshold))
+        members = members.unionByName(settled.filter("NOT leads").select("lead_id"))
         open_nodes = cut(open_nodes.join(settled.select("lead_id"), "lead_id", "left_anti"))
 
-    def fullest() -> int:
-        sizes = _keyed(open_nodes, blocks, threshold).groupBy("choice", "value").count()
-        return sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-
-    while fullest() > dense_bucket:
-        settle(_pivot_round(open_nodes, blocks, threshold))
-
-    pairs = cut(near_pairs(open_nodes, threshold, blocks))
-    while not pairs.isEmpty():
-        settle(_pair_round(open_nodes, pairs))
-        still = open_nodes.select("lead_id")
-        pairs = cut(
-            pairs.join(still.withColumnRenamed("lead_id", "lead_a"), "lead_a", "left_semi")
-            .join(still.withColumnRenamed("lead_id", "lead_b"), "lead_b", "left_semi")
-        )
-    return nodes.join(cut(leaders.unionByName(open_nodes.select("lead_id"))), "lead_id", "left_semi")
+    members = members.unionByName(_members_of_pairs(cut(near_pairs(open_nodes, threshold, blocks))))
+    return nodes.join(members, "lead_id", "left_anti")
 
 
 def greedy_groups(
@@ -182,7 +197,7 @@ def greedy_groups(
     """
     signatures = cut(signatures.select(F.col(key).alias("_key"), F.col(signature).alias("signature")))
     nodes = cut(signature_nodes(signatures, "_key", "signature"))
-    blocks = blocks or choose_blocks(nodes.count(), threshold)
+    blocks = blocks or fit_blocks(nodes, threshold, dense_bucket)
     leaders = cut(greedy_leaders(nodes, threshold, blocks, dense_bucket))
     heads, tails = _keyed(leaders, blocks, threshold).alias("a"), _keyed(nodes.select("lead_id", "signature"), blocks, threshold).alias("b")
     near = (
