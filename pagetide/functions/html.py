@@ -110,11 +110,15 @@ def _decode_numeric(text: Column) -> Column:
     return F.when(text.rlike("&#[0-9]{1,5};"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
+QUOTE, BACKSLASH = "'", chr(92)
+
+
 def _decode_named(text: Column) -> Column:
     """References in ENTITIES, in one pass; "&amp;lt;" becomes "&lt;" and not "<"."""
     names = "|".join(name for name, _ in ENTITIES)
     parts = F.regexp_extract_all(text, F.lit(rf"&(?:{names});|[^&]+|&"), F.lit(0))
-    table = F.create_map(*[F.lit(x) for name, char in ENTITIES for x in (f"&{name};", char)])
+    pairs = [f"'&{name};', '{char.replace(QUOTE, BACKSLASH + QUOTE)}'" for name, char in ENTITIES]
+    table = F.expr(f"map({', '.join(pairs)})")
     return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
 
 

@@ -74,15 +74,19 @@ def noise_element(with_attributes: bool, tags: tuple[str, ...] = H.NOISE_TAGS) -
     return by_name | F.col("token").rlike(H.noise_attr_pattern())
 
 
-def without_noise(marked: DataFrame, noise: Column, key: str = "page_id") -> DataFrame:
-    """Adds `covered`: the token lies in a closed noise element.
+def covered(noise: Column, key: str) -> Column:
+    """The token lies in a closed noise element.
 
     The furthest end of any noise element opened so far tells it, so this is
     one running maximum and not an interval join.
     """
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(F.when(noise & F.col("end_pos").isNotNull(), F.col("end_pos"))).over(so_far)
-    return marked.withColumn("covered", F.coalesce(reach >= F.col("pos"), F.lit(False)))
+    return F.coalesce(reach >= F.col("pos"), F.lit(False))
+
+
+def without_noise(marked: DataFrame, noise: Column, key: str = "page_id") -> DataFrame:
+    return marked.withColumn("covered", covered(noise, key))
 
 
 def _kept_nodes(keep: Column) -> Column:
@@ -142,13 +146,34 @@ def snippet_text(pages: DataFrame, key: str = "page_id", out: str = "snippet_tex
 def structural_main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") -> DataFrame:
     """`main_text` by element structure, for pages of any shape."""
     marked = without_noise(with_element_end(page_tokens(pages, key), key), noise_element(False), key)
-    whole = Window.partitionBy(key)
+    ranged = _with_region(marked, key)
+    return ranged.groupBy(key).agg(_one_line(_kept_nodes(~F.col("covered") & F.col("_inside"))).alias(out))
+
+
+def _with_region(marked: DataFrame, key: str) -> DataFrame:
+    """Adds `_inside`: the token lies in the element that holds the main text."""
     order = F.array_position(F.array(*[F.lit(t) for t in MAIN_TAGS]), F.col("tag"))
     opens = F.col("tag").isin(*MAIN_TAGS) & ~F.col("closing") & ~F.col("covered")
-    region = F.min(F.when(opens, F.struct(order.alias("o"), F.col("pos").alias("a"), F.col("end_pos").alias("b")))).over(whole)
-    ranged = marked.withColumn("_r", region)
+    first = F.min(F.when(opens, F.struct(order.alias("o"), F.col("pos").alias("a"), F.col("end_pos").alias("b"))))
+    ranged = marked.withColumn("_r", first.over(Window.partitionBy(key)))
     inside = F.col("_r").isNull() | ((F.col("pos") > F.col("_r.a")) & (F.col("_r.b").isNull() | (F.col("pos") < F.col("_r.b"))))
-    return ranged.groupBy(key).agg(_one_line(_kept_nodes(~F.col("covered") & inside)).alias(out))
+    return ranged.withColumn("_inside", inside).drop("_r")
+
+
+def structural_page_texts(pages: DataFrame, key: str) -> DataFrame:
+    """(key, filtered_text, main_text, snippet_text) from one pass over the tokens."""
+    marked = with_element_end(page_tokens(pages, key), key).withColumns({
+        "covered": covered(noise_element(False), key),
+        "_by_attribute": covered(noise_element(True), key),
+        "_for_snippets": covered(noise_element(False, H.SNIPPET_NOISE_TAGS), key),
+    })
+    nodes = _with_region(marked, key).groupBy(key).agg(
+        _kept_nodes(~F.col("_by_attribute")).alias("_f"), _kept_nodes(~F.col("covered") & F.col("_inside")).alias("_m"),
+        _kept_nodes(~F.col("_for_snippets")).alias("_s"),
+    )
+    return nodes.select(
+        key, _one_line(F.col("_f")).alias("filtered_text"), _one_line(F.col("_m")).alias("main_text"), _as_is(F.col("_s")).alias("snippet_text")
+    )
 
 
 def _open_tag(tag: str) -> str:
@@ -188,21 +213,19 @@ def page_texts(pages: DataFrame, keywords: Column, key: str = "page_id") -> Data
 
     The same texts as `filtered_text`, `main_text` and `page_snippets` give.
     Plain pages go through one chain of steps that share the cleaned html; only
-    pages that need their structure are tokenised, shuffled and joined.
+    pages that need their structure are tokenised, all three texts at once.
     """
     rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
     bare = once(rows, H.drop_opaque(F.col("html")).alias("_bare"))
     flat = H.balanced(F.col("_bare"), H.NOISE_TAGS) & ~F.col("_bare").rlike(H.noise_attr_pattern()) & ~_repeated_main("_bare")
     judged = once(bare, flat.alias("_flat"))
-    shown = H.markup_to_lines(H.drop_closed(F.col("_bare"), H.SNIPPET_NOISE_TAGS))
     content = once(judged.filter("_flat"), H.drop_closed(F.col("_bare"), H.NOISE_TAGS).alias("_content"))
-    plain = H.with_snippets(content, H.sentences(shown), keywords).select(
-        key, H.markup_to_text(F.col("_content")).alias("filtered_text"),
-        H.markup_to_text(_main_region("_content")).alias("main_text"), "snippets",
+    plain = content.select(
+        key, H.markup_to_text(F.col("_content")).alias("filtered_text"), H.markup_to_text(_main_region("_content")).alias("main_text"),
+        H.markup_to_lines(H.drop_closed(F.col("_bare"), H.SNIPPET_NOISE_TAGS)).alias("snippet_text"),
     )
-    others = judged.filter("NOT _flat").select(key, "html")
-    structured = filtered_text(others, key).join(main_text(others, key), key).join(page_snippets(others, keywords, key), key)
-    return plain.unionByName(structured)
+    texts = plain.unionByName(structural_page_texts(judged.filter("NOT _flat"), key))
+    return H.with_snippets(texts, H.sentences(F.col("snippet_text")), keywords).drop("snippet_text")
 
 
 def page_sentences(pages: DataFrame, key: str = "page_id") -> DataFrame:
