@@ -7,18 +7,20 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from pagetide.checks import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_every_survey_line_has_a_query():
     wanted = {"a": 16, "b": 9, "c": 12, "d": 8, "e": 11, "f": 20, "g": 5, "h": 25, "i": 8, "j": 4}
-    have = {re.match(r"([a-j]\d+)_", name).group(1) for name in entry.queries()}
+    have = {re.match(r"([a-j]\d+)_", name).group(1) for name in QUERIES}
     assert {f"{s}{i}" for s, n in wanted.items() for i in range(1, n + 1)} == have
 
 
 def test_all_queries_have_checking_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -31,7 +33,7 @@ def plan(spark, name, optimized=False):
     return (execution.optimizedPlan() if optimized else execution.executedPlan()).toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n[0] in "bcdefgi" and not n.startswith("c8")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n[0] in "bcdefgi" and not n.startswith("c8")))
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
