@@ -7,12 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm.bpe import bpe_round_trip
-from pagetide.llm.shared import table
+from pagetide.llm.html_extract import extract_main_text
+from pagetide.llm.quality_classifier import fit_quality, quality_scores
+from pagetide.llm.shared import fold_of, table
 from pagetide.llm.token_counts import token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=fold_of(F.col("doc_id")) != 0)
+    return quality_scores(docs.select("doc_id", "text"), model).select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), RANKS)
 
@@ -25,5 +38,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_token_counts, op6_html_extraction, op10_byte_bpe)}
 SQL: dict[str, str] = {}
