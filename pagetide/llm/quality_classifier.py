@@ -1,7 +1,8 @@
 """Quality classifier: n-gram indicators scaled by class log-count ratios, then a linear support vector machine.
 
 Features are the byte n-grams of 1 to 4 bytes of the whole text, present or
-not, hashed to a fixed number of slots.  A naive Bayes log-count ratio scales
+not, hashed to a fixed number of slots, and n-grams of one repeated word or
+line, whatever it is.  A naive Bayes log-count ratio scales
 each slot, a document's scaled vector has unit length, and dual coordinate
 descent fits a hinge-loss model on it.  A logistic curve, fitted on labelled
 rows that the descent did not see, turns margins into scores.
@@ -25,6 +26,20 @@ SLOT_BITS = 18
 SAMPLE = 6000
 
 
+#: Repeats of a word or line up to which n-grams are told apart.
+LONGEST = 8
+
+
+def longest_run(items: list[bytes]) -> int:
+    """How often an item follows itself at once, at most; blank lines don't count."""
+    most = run = 0
+    for before, item in zip(items, items[1:], strict=False):
+        run = run + 1 if item == before and item else 0
+        if run > most:
+            most = run
+    return most
+
+
 def slots_of(data: bytes) -> np.ndarray:
     """Distinct feature slots of a text, sorted."""
     a = np.frombuffer(data, np.uint8).astype(np.uint32)
@@ -36,6 +51,8 @@ def slots_of(data: bytes) -> np.ndarray:
         mixed = (gram ^ np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
         mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77)
         found.append(mixed >> np.uint32(32 - SLOT_BITS))
+    for kind, items in enumerate((data.split(), data.split(b"\n"))):
+        found.append(np.arange(min(longest_run(items), LONGEST), dtype=np.uint32) * 2 + kind)
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
 
 
