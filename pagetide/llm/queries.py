@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagetide.llm.bpe import bpe_round_trip
 from pagetide.llm.html_extract import extract_main_text
+from pagetide.llm.lm_scoring import score_texts
 from pagetide.llm.quality_classifier import fit_quality, quality_scores
 from pagetide.llm.shared import fold_of, table
 from pagetide.llm.token_counts import token_counts
@@ -21,6 +22,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs.select("doc_id", "text"), model).select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id")) == 1
+    scores = score_texts(table(spark, sf_dir, "documents"), learn=~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
@@ -38,5 +45,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_token_counts, op6_html_extraction, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_token_counts, op5_lm_scoring, op6_html_extraction, op10_byte_bpe)}
 SQL: dict[str, str] = {}
