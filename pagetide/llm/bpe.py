@@ -29,7 +29,7 @@ from pagetide.llm.shared import batches
 #: Buckets of the literal rank map: a lookup reads one bucket of about one entry.
 BUCKETS = 1 << 16
 #: Words a worker remembers besides the dictionary before it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -171,7 +171,7 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every whole text, each match of `pattern` encoded by itself.
 
     `ranks_path` is a rank file that the driver can read; it must hold all 256
@@ -188,7 +188,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int =
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _Ids(*shared.value)
-        for batch in batches(parts, text_col):
+        for batch in batches(parts, "size", 2 << 20):
             lists = batch.column("words")
             tokens = pc.dictionary_encode(pc.cast(lists.flatten(), pa.binary()))
             packed = [ids_of[w] for w in tokens.dictionary.to_pylist()]
@@ -204,8 +204,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int =
             yield pa.record_batch([batch.column(id_col), out], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    # the text goes along for its size only, by which batches are cut
-    return docs.select(id_col, text_col, pattern_words(F.col(text_col), pattern).alias("words")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return docs.select(id_col, F.octet_length(text_col).alias("size"), pattern_words(F.col(text_col), pattern).alias("words")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -224,7 +223,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(p) for p in shared.value], np.int64)
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(shared.value), np.uint8)
-        for batch in batches(parts, ids_col, 4 << 20):
+        for batch in batches(parts, ids_col, 2 << 20):
             data = []
             for packed in batch.column(ids_col):
                 ids = np.frombuffer(packed.as_py() or b"", "<u4")

@@ -51,11 +51,13 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
 
 
 def batches(parts: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that `column` holds about `limit` bytes in each; a longer text stands alone."""
+    """Cuts Arrow batches so that `column` (texts, or their sizes) holds about `limit` bytes in each; a longer text stands alone."""
     for batch in parts:
-        texts = batch.column(column)
+        sizes = batch.column(column)
+        if not pa.types.is_integer(sizes.type):
+            sizes = pc.binary_length(sizes)
         start, held = 0, 0
-        for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        for i, size in enumerate(sizes.to_pylist()):
             size = size or 0
             if held and held + size > limit:
                 yield batch.slice(start, i - start)
