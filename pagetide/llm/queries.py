@@ -7,15 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm.bpe import bpe_round_trip
+from pagetide.llm.decontamination import contained_items
 from pagetide.llm.html_extract import extract_main_text
+from pagetide.llm.license_scan import known_digests, license_scan
 from pagetide.llm.lm_scoring import score_texts
 from pagetide.llm.quality_classifier import fit_quality, quality_scores
+from pagetide.llm.quality_rules import quality_rules
 from pagetide.llm.shared import fold_of, table
 from pagetide.llm.token_counts import token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
+    return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=fold_of(F.col("doc_id")) != 0)
@@ -33,10 +41,19 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe_round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return both.select(
@@ -45,5 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_token_counts, op5_lm_scoring, op6_html_extraction, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_quality_classifier, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op10_byte_bpe,
+)}
 SQL: dict[str, str] = {}
