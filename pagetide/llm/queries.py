@@ -11,9 +11,11 @@ from pagetide.llm.decontamination import contained_items
 from pagetide.llm.html_extract import extract_main_text
 from pagetide.llm.license_scan import known_digests, license_scan
 from pagetide.llm.lm_scoring import score_texts
+from pagetide.llm.near_dedup import near_duplicates
 from pagetide.llm.quality_classifier import fit_quality, quality_scores
 from pagetide.llm.quality_rules import quality_rules
 from pagetide.llm.shared import fold_of, table
+from pagetide.llm.sql import DECONTAMINATION, license_sql
 from pagetide.llm.token_counts import token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -54,6 +56,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe_round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return both.select(
@@ -63,6 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_quality_classifier, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op10_byte_bpe,
+    op1_license_scan, op2_quality_classifier, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_minhash_near_dedup,
+    op10_byte_bpe,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_license_scan": license_sql(), "op3_decontamination": DECONTAMINATION}
