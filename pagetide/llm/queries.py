@@ -16,6 +16,7 @@ from pagetide.llm.quality_classifier import fit_quality, quality_scores
 from pagetide.llm.quality_rules import quality_rules
 from pagetide.llm.shared import fold_of, table
 from pagetide.llm.sql import DECONTAMINATION, license_sql
+from pagetide.llm.suffix_dedup import remove_repeats
 from pagetide.llm.token_counts import token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +61,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe_round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return both.select(
@@ -70,6 +76,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_classifier, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_minhash_near_dedup,
-    op10_byte_bpe,
+    op9_suffix_dedup, op10_byte_bpe,
 )}
 SQL: dict[str, str] = {"op1_license_scan": license_sql(), "op3_decontamination": DECONTAMINATION}
