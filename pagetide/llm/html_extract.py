@@ -155,8 +155,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     The ratio of a line is its characters outside links per tag.  Lines at or
     above the threshold (half the standard deviation of the smoothed ratios,
     at most their mean) are clustered as content.  Article and main elements
-    with such lines are the content if they hold three quarters of it, else the
-    innermost region that does; regions are taken whole, with all inside them,
+    with such lines are the content if they hold half of it, else the innermost
+    region that holds three quarters; regions are taken whole, with all inside them,
     so that short paragraphs stay.
     """
     parser = Lines()
@@ -197,7 +197,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
 
     marked = {r for r in weight if kind[r] in ("article", "main")}
     inner = within(marked)
-    if marked and 4 * sum(weight[r] for r in marked if above[r] not in inner) >= 3 * weight[0]:
+    if marked and 2 * sum(weight[r] for r in marked if above[r] not in inner) >= weight[0]:
         chosen = inner
     else:
         best = 0

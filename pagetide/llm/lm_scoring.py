@@ -106,7 +106,7 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
 
 
 def log_gamma(x: Column) -> Column:
-    """Natural logarithm of the gamma function for x >= 0.5, to about 1e-13 (Stirling's series after eight steps up)."""
+    """Natural logarithm of the gamma function for x >= 0.5, to about 1e-11 (Stirling's series after eight steps up)."""
     x, rise = x.cast("double"), F.lit(0.0)
     for k in range(8):
         rise = rise + F.log(x + k)
