@@ -62,6 +62,31 @@ class ScanTables:
 SNAPSHOT = ["target_id", "scan_ts"]
 
 
+def on_time(snapshots: DataFrame, state: DataFrame) -> DataFrame:
+    """Snapshots newer than their target's last scan; time does not run backwards."""
+    return _against_last(snapshots, state).filter("_last IS NULL OR scan_ts > _last").drop("_last")
+
+
+def late_audit(snapshots: DataFrame, state: DataFrame, run_id: Column) -> DataFrame:
+    """Audit rows of snapshots older than their target's last scan; one of the same time is a redelivery and gets none."""
+    late = _against_last(snapshots.select(*SNAPSHOT, "fetch_method"), state).filter("scan_ts < _last")
+    known = {
+        "audit_id": scan_key(run_id), "target_id": F.col("target_id"), "scan_ts": F.col("scan_ts"), "fetch_method": F.col("fetch_method"),
+        "change_detected": F.lit(False), "change_type": F.lit("NONE"), "deadlines_found": schemas.empty_list(schemas.DEADLINES),
+        "transition_reason": F.lit("LATE"), "scan_duration_seconds": F.lit(0.0), "llm_api_called": F.lit(False), "email_sent": F.lit(False),
+    }
+    return late.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.AUDIT.fields))
+
+
+def _against_last(snapshots: DataFrame, state: DataFrame) -> DataFrame:
+    return snapshots.join(state.select("target_id", F.col("last_scan_at").alias("_last")), "target_id", "left")
+
+
+def scan_key(run_id: Column) -> Column:
+    """Identity of one scan of a run."""
+    return F.sha2(F.concat_ws(":", run_id, "target_id", F.unix_micros("scan_ts").cast("string")), 256)
+
+
 def scan_batch(
     snapshots: DataFrame,
     state: DataFrame,
@@ -185,7 +210,7 @@ def scan_tables(results: DataFrame, state: DataFrame) -> ScanTables:
         kept[c] = F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"o.{c}"))
     new_state = rows.select("target_id", *[kept[c].alias(c) for c in schemas.STATE.fieldNames() if c != "target_id"])
 
-    scan_id = F.sha2(F.concat_ws(":", "run_id", "target_id", F.unix_micros("scan_ts").cast("string")), 256)
+    scan_id = scan_key(F.col("run_id"))
     method = F.when(ok, F.col("fetch_method")).alias("fetch_method")
     audit = results.select(
         scan_id.alias("audit_id"), "target_id", "scan_ts", "change_detected", "change_type", "hamming_distance", "deadlines_found",

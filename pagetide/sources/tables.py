@@ -102,18 +102,17 @@ class TableStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _snapshots(self) -> list[int]:
-        """Numbers of the finished state snapshots, rising."""
+    def _snapshots(self) -> list[tuple[int, str, str]]:
+        """Number, batch and folder of the finished state snapshots, rising; one listing."""
         fs, path = self._fs()
-        base = path(f"{self.root}/state")
-        if not fs.exists(base):
+        if not fs.exists(path(f"{self.root}/state")):
             return []
-        numbers = []
-        for entry in fs.listStatus(base):
-            name = entry.getPath().getName()
-            if name.startswith("snapshot=") and fs.exists(path(entry.getPath(), "_SUCCESS")):
-                numbers.append(int(name.split("=")[1]))
-        return sorted(numbers)
+        found = []
+        for entry in fs.globStatus(path(f"{self.root}/state/snapshot=*/_SUCCESS")):
+            name = entry.getPath().getParent().getName()
+            number, _, batch = name.removeprefix("snapshot=").partition(".")
+            found.append((int(number), batch, name))
+        return sorted(found)
 
     def create(self) -> None:
         """Write the empty tables; existing ones are left alone."""
@@ -126,23 +125,41 @@ class TableStore:
 
     def state(self, before: int | None = None) -> DataFrame:
         """The newest snapshot, or the newest one numbered below `before`."""
-        done = [n for n in self._snapshots() if before is None or n < before]
+        done = [name for number, _, name in self._snapshots() if before is None or number < before]
         if not done:
             return self.spark.createDataFrame([], schemas.STATE)
-        return self.spark.read.schema(schemas.STATE).parquet(f"{self.root}/state/snapshot={done[-1]}")
+        return self.spark.read.schema(schemas.STATE).parquet(f"{self.root}/state/{done[-1]}")
 
-    def write_state(self, rows: DataFrame, number: int | None = None) -> int:
-        """Write a snapshot, the next one if not numbered; returns its number.
+    def has_batch(self, batch: str) -> bool:
+        """Whether a finished snapshot was written for this batch."""
+        return any(held == batch for _, held, _ in self._snapshots())
 
-        Writing a number again replaces it: a repeated batch ends in the same
-        state if it starts from `state(before=number)`.
+    def write_state(self, rows: DataFrame, batch: str = "") -> int:
+        """Write the next snapshot; returns its number.
+
+        A number is never used twice, so no reader loses the folder it reads.
+        `batch` (letters, digits, "-") is kept with the snapshot: a stream sees
+        by it that a repeated batch is already in.
         """
-        if number is None:
-            done = self._snapshots()
-            number = done[-1] + 1 if done else 0
-        rows.select(*schemas.STATE.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/state/snapshot={number}")
+        done = self._snapshots()
+        number = done[-1][0] + 1 if done else 0
+        name = f"snapshot={number}" + (f".{batch}" if batch else "")
+        # a failed run may have left part of this folder; only a finished one counts
+        rows.select(*schemas.STATE.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/state/{name}")
         return number
 
+    def retire(self, keep: int = 10) -> int:
+        """Delete all state snapshots but the newest `keep`; returns how many went.
+
+        For a time when no reader uses an older one.  A stream looks for its last
+        batch only, so keep at least the snapshots written since that batch.
+        """
+        fs, path = self._fs()
+        old = self._snapshots()[:-max(keep, 1)]
+        for _, _, name in old:
+            fs.delete(path(f"{self.root}/state/{name}"), True)
+        return len(old)
+
     def _append(self, rows: DataFrame, name: str) -> None:
         day = {"audit": "scan_ts", "history": "started_at"}[name]
         shaped = rows.select(*schemas.TABLES[name].fieldNames()).withColumn("day", F.to_date(day))
@@ -158,11 +175,14 @@ class TableStore:
     def append_once(self, rows: DataFrame, name: str) -> None:
         """Append the rows whose key the table does not hold yet.
 
-        Only the days that occur in `rows` are read, by partition pruning.
+        Only the days between the first and last of `rows` are read: the bounds
+        are literals in the filter on the partition column.
         """
         column = {"audit": "scan_ts", "history": "started_at"}[name]
-        days = rows.select(F.to_date(column).alias("day")).distinct()
-        held = getattr(self, name)().join(days, "day", "left_semi").select(*schemas.KEYS[name])
+        first, last = rows.select(F.min(F.to_date(column)), F.max(F.to_date(column))).first()
+        if first is None:
+            return
+        held = getattr(self, name)().filter(F.col("day").between(F.lit(first), F.lit(last))).select(*schemas.KEYS[name])
         self._append(rows.join(held, schemas.KEYS[name], "left_anti"), name)
 
     def _log(self, name: str) -> DataFrame:
@@ -180,23 +200,28 @@ class TableStore:
             getattr(self, name)().createOrReplaceTempView(prefix + name)
 
     def query(self, sql: str) -> DataFrame:
-        """Ad-hoc SQL over the views `state`, `audit` and `history`."""
-        self.register_views()
-        return self.spark.sql(sql)
-
+        """Ad-hoc SQL over the views `state`, `audit` and `history`.
 
-def spread(rows: DataFrame) -> DataFrame:
-    """`rows` over all cores when they come in fewer partitions than that.
+        The names hold for this query only: views of the caller with these names
+        are put back, as the query is resolved by then.
+        """
+        before = {name: self.spark.table(name) for name in schemas.TABLES if self._is_temporary(name)}
+        self.register_views()
+        try:
+            return self.spark.sql(sql)
+        finally:
+            for name in schemas.TABLES:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    self.spark.catalog.dropTempView(name)
 
-    For work that is heavy per row.  A table of many files is left as it is:
-    nothing is shuffled at scale.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    def _is_temporary(self, name: str) -> bool:
+        return self.spark.catalog.tableExists(name) and self.spark.catalog.getTable(name).isTemporary
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Landed page snapshots; a missing page is an empty html with a flag."""
     pages = spark.read.parquet(path)
     html = F.coalesce(F.col("html"), F.lit(""))
-    return spread(pages).withColumn("html", html).withColumn("is_empty", html == "")
+    return pages.withColumn("html", html).withColumn("is_empty", html == "")

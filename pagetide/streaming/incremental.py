@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagetide.functions import modes as M
-from pagetide.plans.scan import scan_batch, scan_tables
+from pagetide.plans.scan import late_audit, on_time, scan_batch, scan_tables
 from pagetide.sources import schemas
 from pagetide.sources.scratch import cut
 from pagetide.sources.tables import TableStore, upsert
@@ -21,25 +21,32 @@ def landed_snapshots(spark: SparkSession, folder: str, files_per_trigger: int |
     return reader.parquet(folder)
 
 
-def scan_into(store: TableStore, keywords: Column):
+def scan_into(store: TableStore, keywords: Column, stream: str = "stream"):
     """A foreachBatch function that scans a batch and writes the three tables.
 
-    A batch may be delivered again after a failure.  It then starts from the
-    state before it, writes the same snapshot number, and appends only log rows
-    that are not there yet, so the outcome is the same.
+    State goes last, under the next snapshot number, with the batch's name: the
+    id of the query, which its checkpoint keeps, or `stream` outside of one.  A
+    batch delivered again after a failure finds its name there and is done; if
+    it failed before, log rows that are already in are not appended again.  Runs
+    of other writers in between are kept, as each starts from the newest state.
 
-    Redelivered snapshots, of the same target and time, count once.
+    Redelivered snapshots, of the same target and time, count once.  One older
+    than the target's last scan is written to audit as late and changes nothing.
     """
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        number = batch_id + 1
-        state = store.state(before=number)
-        run = F.lit(f"batch-{batch_id}")
-        results = cut(scan_batch(batch.dropDuplicates(["target_id", "scan_ts"]), state, keywords, run))
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or stream
+        name = f"{query}-{batch_id}"
+        if store.has_batch(name):
+            return
+        state = store.state()
+        run = F.lit(f"batch-{name}")
+        once = batch.dropDuplicates(["target_id", "scan_ts"])
+        results = cut(scan_batch(on_time(once, state), state, keywords, run))
         added = scan_tables(results, state)
-        store.append_once(added.audit, "audit")
+        store.append_once(added.audit.unionByName(late_audit(once, state, run)), "audit")
         store.append_once(added.history, "history")
-        store.write_state(upsert(state, added.state, ["target_id"]), number)
+        store.write_state(upsert(state, added.state, ["target_id"]), name)
 
     return scan
 

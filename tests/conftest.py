@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -17,7 +18,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagetide-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")

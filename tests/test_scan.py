@@ -121,6 +121,27 @@ def test_repeated_batch_changes_nothing(spark):
     assert before[1:] == (5, 5)
 
 
+def test_streams_and_other_runs_share_a_store(spark):
+    store = TableStore(spark, tempfile.mkdtemp(prefix="pagetide-test-"))
+    store.create()
+    keywords = F.array(F.lit("deadline"))
+    results = scan_batch(snapshots(spark, 0, alpha=NO_DATES), store.state(), keywords, F.lit("own"))
+    new = scan_tables(results, store.state())
+    store.append_once(new.audit, "audit")
+    store.write_state(upsert(store.state(), new.state, ["target_id"]))
+    I.scan_into(store, keywords, "one")(snapshots(spark, 1, alpha=CHANGED).drop("error"), 0)
+    assert store.state().first()["total_scans"] == 2
+    # a fresh checkpoint over the old store starts from batch 0 again
+    I.scan_into(store, keywords, "two")(snapshots(spark, 2, alpha=CHANGED).drop("error"), 0)
+    assert store.state().first()["total_scans"] == 3
+    before = store.state().first()
+    # a late page and a redelivered one change nothing; the late one is on record
+    late = snapshots(spark, 1, alpha=DATES).withColumn("scan_ts", F.col("scan_ts") - F.expr("INTERVAL 1 HOUR"))
+    I.scan_into(store, keywords, "two")(late.unionByName(snapshots(spark, 2, alpha=DATES)).drop("error"), 1)
+    assert store.state().first() == before
+    assert store.audit().filter("transition_reason = 'LATE'").count() == 1 and store.audit().count() == 4
+
+
 def test_late_rows_are_dropped(spark):
     root = tempfile.mkdtemp(prefix="pagetide-test-")
     shape = "scan_ts timestamp, status string, change_detected boolean, email_sent boolean, llm_api_called boolean"

@@ -70,8 +70,18 @@ def test_store_keeps_snapshots_apart(spark, root):
     assert store.write_state(states(spark, state_row("a"))) == 1
     store.write_state(tables.upsert(store.state(), states(spark, state_row("b")), ["target_id"]))
     assert store.state().count() == 2 and store.state(before=2).count() == 1
-    store.write_state(states(spark, state_row("c")), 2)
+    assert store.write_state(states(spark, state_row("c")), "q-2") == 3 and store.has_batch("q-2") and not store.has_batch("q-3")
     assert [r["target_id"] for r in store.state().collect()] == ["c"]
+    assert store.retire(keep=2) == 2 and store.state(before=3).count() == 2 and store.retire(keep=2) == 0
+
+
+def test_query_leaves_the_callers_views_alone(spark, root):
+    store = tables.TableStore(spark, root)
+    store.create()
+    spark.range(3).createOrReplaceTempView("state")
+    assert store.query("SELECT count(*) AS n FROM state JOIN audit USING (target_id)").first()["n"] == 0
+    assert spark.table("state").count() == 3 and not spark.catalog.tableExists("audit")
+    spark.catalog.dropTempView("state")
 
 
 def test_append_once(spark, root):
@@ -84,6 +94,12 @@ def test_append_once(spark, root):
     store.append_once(rows("r1", "r2"), "history")
     store.append_once(rows("r2", "r3", "r4"), "history")
     assert sorted(r["run_id"] for r in store.history().collect()) == ["r1", "r2", "r3", "r4"]
+    plans = []
+    whole = tables.TableStore._append
+    tables.TableStore._append = lambda self, rows, name: plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    store.append_once(rows("r1", "r9"), "history")
+    tables.TableStore._append = whole
+    assert "day#" in plans[0] and ">= 2026-01-01" in plans[0] and "<= 2026-01-02" in plans[0]
     assert store.query("SELECT count(*) AS n FROM history WHERE day = DATE'2026-01-02'").first()["n"] == 2
 
 
