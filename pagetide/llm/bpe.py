@@ -15,16 +15,16 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.functions.once import let
-from pagetide.llm.shared import batches
+from pagetide.llm.shared import batches, stored
 
 #: Buckets of the literal rank map: a lookup reads one bucket of about one entry.
 BUCKETS = 1 << 16
@@ -136,8 +136,6 @@ def frequent_words(docs: DataFrame, pattern: str, most: int, text_col: str = "te
     The counts cover all documents.  They are kept in the shared folder, as two
     questions are asked of them; only a row per power of two comes to the driver.
     """
-    from pagetide.llm.shared import stored
-
     word = F.explode(F.array_distinct(pattern_words(F.col(text_col), pattern))).alias("word")
     counts = stored(docs.select(word).groupBy("word").count().filter("count > 1"), "words")
     level = F.floor(F.log2("count")).cast("int")
@@ -171,24 +169,19 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text, each match of `pattern` encoded by itself.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    `ranks_path` is a rank file that the driver can read; it must hold all 256
-    bytes.  Returns one row per input row: id, ids (binary: little-endian
-    unsigned 32-bit integers).  Null and empty texts have empty ids.  Rows with
-    a null id or a repeated one are encoded like others; more columns are
-    ignored.
-    """
-    spark = docs.sparkSession
+
+def _encoding(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int, text_col: str) -> Step:
+    """What a task does with batches of id, size and words: id and ids."""
     ranks = read_ranks(ranks_path)
     found = encoded_words(frequent_words(docs, pattern, dictionary, text_col), ranks).toArrow()
     known = {word: np.array(ids, "<u4").tobytes() for word, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((known, ranks))
+    shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _Ids(*shared.value)
-        for batch in batches(parts, "size", 2 << 20):
+        for batch in batches(parts, "size", 1 << 20):
             lists = batch.column("words")
             tokens = pc.dictionary_encode(pc.cast(lists.flatten(), pa.binary()))
             packed = [ids_of[w] for w in tokens.dictionary.to_pylist()]
@@ -201,43 +194,70 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int =
             ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             bounds = np.concatenate([[0], upto[ends]]) * 4
             out = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids.tobytes())])
-            yield pa.record_batch([batch.column(id_col), out], names=[id_col, "ids"])
+            yield pa.record_batch([batch.column("id"), out], names=["id", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.octet_length(text_col).alias("size"), pattern_words(F.col(text_col), pattern).alias("words")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return run
 
 
-def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Bytes of packed ids: the pieces one after the other.
-
-    Returns one row per input row with `data` (binary) in place of the ids;
-    other columns are dropped.  Null ids decode to no bytes.  An id that is no
-    rank raises an error.
-    """
+def _decoding(spark: SparkSession, ranks_path: str) -> Step:
+    """What a task does with batches that have ids: data in addition."""
     ranks = read_ranks(ranks_path)
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
+    shared = spark.sparkContext.broadcast(pieces)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(p) for p in shared.value], np.int64)
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(shared.value), np.uint8)
-        for batch in batches(parts, ids_col, 2 << 20):
+        for batch in batches(parts, "ids", 2 << 20):
             data = []
-            for packed in batch.column(ids_col):
+            for packed in batch.column("ids"):
                 ids = np.frombuffer(packed.as_py() or b"", "<u4")
                 if len(ids) and (ids.max() >= len(sizes) or not sizes[ids].all()):
                     raise ValueError("an id is no rank of the vocabulary")
                 data.append(flat[spans(starts[ids], sizes[ids])].tobytes())
-            yield pa.record_batch([batch.column(id_col), pa.array(data, pa.binary())], names=[id_col, "data"])
+            yield pa.record_batch([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "data"])
+
+    return run
+
+
+def _words_by_id(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("size"), pattern_words(F.col(text_col), pattern).alias("words"))
+
 
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token ids of every whole text, each match of `pattern` encoded by itself.
+
+    `ranks_path` is a rank file that the driver can read; it must hold all 256
+    bytes.  Returns one row per input row: id, ids (binary: little-endian
+    unsigned 32-bit integers).  Null and empty texts have empty ids.  Rows with
+    a null id or a repeated one are encoded like others; more columns are
+    ignored.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    encode = _encoding(docs, ranks_path, pattern, dictionary, text_col)
+    return _words_by_id(docs, pattern, id_col, text_col).mapInArrow(encode, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+
+
+def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Bytes of packed ids: the pieces one after the other.
+
+    Returns one row per input row: id, ids, data (binary); other columns are
+    dropped.  Null ids decode to no bytes.  An id that is no rank raises an
+    error.
+    """
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, data binary")
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(_decoding(encoded.sparkSession, ranks_path), f"id {kind}, ids binary, data binary").withColumnsRenamed({"id": id_col, "ids": ids_col})
+
+
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids and the bytes they decode to (data), in one pass over the texts: a task decodes what it has encoded."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    encode, decode = _encoding(docs, ranks_path, pattern, dictionary, text_col), _decoding(docs.sparkSession, ranks_path)
 
+    def both(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from decode(encode(parts))
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids and decoded bytes side by side: id, ids, data.  Encoded once; the decoder reads the ids of the same row."""
-    encoded = bpe_encode(docs, ranks_path, pattern, id_col=id_col, text_col=text_col)
-    pair = encoded.select(F.struct(id_col, "ids").alias("key"), "ids")
-    return bpe_decode(pair, ranks_path, "key").select(f"key.{id_col}", "key.ids", "data")
+    return _words_by_id(docs, pattern, id_col, text_col).mapInArrow(both, f"id {kind}, ids binary, data binary").withColumnRenamed("id", id_col)
