@@ -12,8 +12,10 @@ retains come first and need no list, so a document lists a common
 passage only if most of its sketch is shared.
 
 How lists become links without all their pairs: each list first links its
-members to one leader.  Members that the leader leaves in another component
-are then compared with members of other components only.
+members to one leader, the one whose sketch is shared most, which stands in the
+middle of a group of near copies.  Lists that the leaders leave in several
+components form clusters; a cluster's members are compared in blocks, by
+products of their set matrices, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from pagetide.llm.word_hashes import shingle_sets
 
 K = 64
 OVERLAP = 28
+#: Members of a cluster compared with as many others in one go, and hashes in a matrix.
+BLOCK, SLICE = 512, 4096
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,13 +68,15 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """value, doc, n: the values under which a class is listed.  `reps` has doc, n, sketch."""
+    """value, doc, n, weight (how often its sketch's values are retained): the lists of classes.  `reps` has doc, n, sketch."""
     rows = reps.select("doc", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     shared = rows.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     per_doc = rows.join(shared, "value").groupBy("doc", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     overlap = F.ceil(F.col("kept") * OVERLAP / K).cast("int")
     places = F.size("shared") - overlap + 1  # the values that nobody shares took the first places
-    return per_doc.filter(places > 0).select("doc", "n", F.explode(F.slice("shared", F.lit(1), places)).alias("x")).select(F.col("x.value").alias("value"), "doc", "n")
+    weight = F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"])
+    listed = per_doc.filter(places > 0).select("doc", "n", weight.alias("weight"), F.explode(F.slice("shared", F.lit(1), places)).alias("x"))
+    return listed.select(F.col("x.value").alias("value"), "doc", "n", "weight")
 
 
 def fitting(percent: int) -> str:
@@ -104,6 +110,75 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of `left` shares with each of `right`, by matrix products over slices of the common hashes."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    common = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out
+    sides = []
+    for values, rows in ((a, row_a), (b, row_b)):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], rows[hit][order]))
+    for low in range(0, len(common), SLICE):
+        part = []
+        for (at, rows), n in zip(sides, (len(left), len(right)), strict=True):
+            i, j = np.searchsorted(at, [low, low + SLICE])
+            m = np.zeros((n, min(SLICE, len(common) - low)), np.float32)
+            m[rows[i:j], at[i:j] - low] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def links_across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a cluster that are in different components; `rest` has value, doc, component.
+
+    A cluster is what lists connect.  Its members are dealt into blocks of about `BLOCK`;
+    a task compares two blocks, or several clusters of one block each.
+    """
+    spark = rest.sparkSession
+    first = rest.groupBy("value").agg(F.min("doc").alias("a"))
+    cluster = components(rest.join(first, "value").select("a", F.col("doc").alias("b"))).withColumnsRenamed({"node": "doc", "component": "cluster"})
+    members = rest.select("doc", "component").distinct().join(cluster, "doc")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "cluster").join(sets, "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    packs = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pack = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(packs)))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        pack.alias("pack"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cluster", "doc", "component", "shingles")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cluster", "ascending"), ("doc", "ascending")])
+        cluster, doc, component = (group[c].to_numpy() for c in ("cluster", "doc", "component"))
+        found = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
+        own, low, high = group["own"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
+        first = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+        a, b = [], []
+        for begin, end in zip(first, [*first[1:], len(cluster)], strict=True):
+            rows = np.arange(begin, end)
+            left, right = rows[own[rows] == low], rows[own[rows] == high]
+            if not len(left) or not len(right):
+                continue
+            both = shared_counts([found[i] for i in left], [found[i] for i in right])
+            size = np.array([len(s) for s in found], np.float32)
+            near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+            near &= component[left][:, None] != component[right][None, :]
+            i, j = np.nonzero(near)
+            a.append(doc[left[i]])
+            b.append(doc[right[j]])
+        kind = group["doc"].type
+        empty = np.zeros(0, doc.dtype)
+        return pa.table({"a": pa.array(np.concatenate([empty, *a]), kind), "b": pa.array(np.concatenate([empty, *b]), kind)})
+
+    kind = rest.schema["doc"].dataType.simpleString()
+    return paired.groupBy("pack", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by 100 * shared >= `percent` * all distinct five-word shingles.
 
@@ -111,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     reachable), kept (whether the id is its component).  Texts without words,
     null ones too, have no shingles and are linked with nothing.  A null id has
     a null component and is kept.  An id with several texts counts with the
-    largest set.  More columns are ignored.
+    largest set.  Ids must be whole numbers.  More columns are ignored.
     """
     docs = docs.select(id_col, text_col)
     found = stored(sketches(docs, id_col, text_col), "sketches")
@@ -121,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     listed = docs.join(lists.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi")
     sets = stored(full_sets(listed, id_col, text_col).groupBy("doc").agg(F.max("shingles").alias("shingles")), "sets")
 
-    leader = lists.groupBy("value").agg(F.min_by(F.struct("doc", "n"), F.struct(F.xxhash64("doc"), F.col("doc"))).alias("x")).select("value", "x.doc", "x.n")
+    leader = lists.groupBy("value").agg(F.max_by(F.struct("doc", "n"), F.struct(F.col("weight"), -F.col("doc"))).alias("x")).select("value", "x.doc", "x.n")
     star = (
         lists.alias("y").join(leader.alias("x"), "value").filter("x.doc <> y.doc").filter(fitting(percent))
         .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
@@ -131,13 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     labelled = lists.join(label, lists["doc"] == label["node"], "left").select("value", "doc", "n", F.coalesce("component", "doc").alias("component"))
     mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("value")
-    rest = stored(labelled.join(mixed, "value", "left_semi"), "rest")
-    across = (
-        rest.alias("x").join(rest.alias("y"), "value").filter("x.doc < y.doc AND x.component <> y.component").filter(fitting(percent))
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    )
-    # what the stars have compared already stays unlinked
-    more = stored(links(across.join(star, ["a", "b"], "left_anti"), sets, percent), "links")
+    rest = stored(labelled.join(mixed, "value", "left_semi").select("value", "doc", "component"), "rest")
+    more = stored(links_across(rest, sets, percent), "links")
     if not more.isEmpty():
         label = components(linked.unionByName(more))
 

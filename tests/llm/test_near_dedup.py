@@ -81,3 +81,16 @@ def test_word_hashes_split_and_fold_like_words():
     assert begins.tolist() == [0, 3, 3, 9, 15, 17]
     assert len(set(hashes[:3].tolist())) == 1 and hashes[3:9].tolist() == hashes[9:15].tolist() and hashes[15] != hashes[16]
     assert [len(s) for s in shingle_sets(texts)] == [1, 0, 2, 2, 1]
+
+
+def test_a_large_group_of_loose_copies(frame):
+    """Copies of one base, many too far from it: several blocks, and links that no leader shows."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.randrange(0, 16)):
+            words[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    assert sorted(tuple(r) for r in near_duplicates(frame(rows)).collect()) == brute(rows)
