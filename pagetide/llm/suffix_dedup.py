@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.shared import batches, stored
+from pagetide.llm.shared import batches, dropped, stored
 from pagetide.llm.word_hashes import _powers, mix
 
 WIDTH = 50
@@ -80,23 +80,34 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return extreme(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def minimizers(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (sorted) and hashes of all grams that are smallest in some string of `width` bytes; none in a shorter text."""
+def minimizers(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (sorted) and hashes of all grams that are smallest in some string of `width` bytes, and the smallest hash in every string; none in a shorter text."""
     span = width - GRAM + 1
     if len(data) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     hashes = gram_hashes(data, GRAM)
     lows = sliding(hashes, span, True)
     # a gram is a minimizer if the largest of the lows over it is itself
     edge = np.zeros(span - 1, np.uint64)
     at = np.flatnonzero(sliding(np.concatenate([edge, lows, edge]), span, False) == hashes)
-    return at, hashes[at]
+    return at, hashes[at], lows
 
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values).astype(kind, copy=False).tobytes()
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers as differences, all lowest bytes first: what Spark's compression makes small."""
+    return np.diff(values.astype("<i8"), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all rows packed by `_squeezed`."""
+    parts = [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view("<i8").ravel().cumsum() for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts `key`, where runs of equal keys begin in it, and the run of every sorted entry."""
     order = np.argsort(key, kind="stable")
@@ -153,7 +164,7 @@ def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
         hashes, ids, held = [], [], 0
         for batch in batches(parts, "text", 4 << 20):
             for doc, text in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), strict=True):
-                _, found = minimizers(np.frombuffer(text.as_py(), np.uint8), width)
+                _, found, _ = minimizers(np.frombuffer(text.as_py(), np.uint8), width)
                 if len(found):
                     found = np.unique(found)
                     hashes.append(found)
@@ -193,12 +204,11 @@ def pieces(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
             for doc, text, known in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), batch.column("hashes"), strict=True):
                 text = text.as_py()
                 data = np.frombuffer(text, np.uint8)
-                at, here = minimizers(data, width)
-                hit = np.isin(here, np.frombuffer(b"".join(known.as_py()), "<u8"))
-                change = np.zeros(len(data) - width + 2, np.int32)  # +1 where strings with a recurring gram begin, -1 after the last
-                np.add.at(change, np.maximum(at[hit] - (width - GRAM), 0), 1)
-                np.add.at(change, np.minimum(at[hit], len(data) - width) + 1, -1)
-                inside = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+                at, here, lows = minimizers(data, width)
+                recur = np.sort(np.frombuffer(b"".join(known.as_py()), "<u8"))
+                # a string can recur only if its lowest gram does
+                hit = recur[np.minimum(np.searchsorted(recur, lows), len(recur) - 1)] == lows
+                inside = np.concatenate([[False], hit, [False]])
                 edges = np.flatnonzero(inside[1:] != inside[:-1])
                 cuts = at[(here >> np.uint64(8)) % np.uint64(CUT_EVERY) == 0].tolist()
                 k = 0
@@ -217,19 +227,19 @@ def pieces(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
 
 
 def _rows(bucket: np.ndarray, *columns: tuple[np.ndarray, str]) -> pa.RecordBatch:
-    """Entries packed by bucket, a row for each."""
+    """Entries packed by bucket, a row for each: keys ("<u8") as they are, other numbers squeezed."""
     order, first, _ = _groups(bucket)
     bounds = _bounds(first, len(order))
     out = {"bucket": pa.array([int(bucket[order[b]]) for b, _ in bounds], pa.int64())}
     for k, (values, kind) in enumerate(columns):
         ranked = values[order]
-        out[f"c{k}"] = pa.array([_packed(ranked[b:e], kind) for b, e in bounds], pa.binary())
+        out[f"c{k}"] = pa.array([_packed(ranked[b:e], kind) if kind == "<u8" else _squeezed(ranked[b:e]) for b, e in bounds], pa.binary())
     return pa.RecordBatch.from_pydict(out)
 
 
 def _answers(pid: np.ndarray, off: np.ndarray, value: np.ndarray) -> pa.Table:
     """Answers packed by page of pieces."""
-    batch = _rows(pid >> 10, (pid, "<i8"), (off, "<i4"), (value, "<i8"))
+    batch = _rows(pid >> 10, (pid, "n"), (off, "n"), (value, "n"))
     return pa.Table.from_batches([batch.rename_columns(["page", "pid", "off", "value"])])
 
 
@@ -239,12 +249,12 @@ ANSWER = "page long, pid binary, off binary, value binary"
 def named(entries: DataFrame, keys: int) -> DataFrame:
     """Answers with a name for every key that occurs at least twice; entries: bucket, `keys` key columns, piece, offset.
 
-    Names are even over buckets: the bucket's number and the rank of the key in it.
+    A name is the bucket's number (16 bits) and the rank of the key in it (30 bits).
     """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         columns = [_joined(group[f"c{k}"], "<u8") for k in range(keys)]
-        pid, off = _joined(group[f"c{keys}"], "<i8"), _joined(group[f"c{keys + 1}"], "<i4")
+        pid, off = _numbers(group[f"c{keys}"]), _numbers(group[f"c{keys + 1}"])
         order = np.lexsort(columns[::-1])
         new = np.zeros(len(order), bool)
         for c in columns:
@@ -266,14 +276,16 @@ def _by_page(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, n
         total += size + 2 * LETTERS + 3
     names = np.full(total, -1, np.int64)
     if right.num_rows:
-        pid, off, value = _joined(right["pid"], "<i8"), _joined(right["off"], "<i4"), _joined(right["value"], "<i8")
+        pid, off, value = (_numbers(right[c]) for c in ("pid", "off", "value"))
         known, back = np.unique(pid, return_inverse=True)
         names[np.array([begins[p] for p in known.tolist()], np.int64)[back] + off] = value
     return names, np.array(list(begins), np.int64), np.array(list(begins.values()), np.int64), begins
 
 
 def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Answers for starts whose string also begins in a piece of a smaller id; `texts` has pid, page, doc, starts, data."""
+    """Answers (a stored table) for starts whose string also begins in a piece of a smaller id; `texts` has pid, page, doc, starts, data."""
+
+    spark = texts.sparkSession
 
     def sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts, "data", 1 << 20):
@@ -290,11 +302,13 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                 continue
             view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
             letters = [np.ascontiguousarray(view[at + 8 * k]).view("<u8").ravel() for k in range(3)]
-            bucket = (mix(letters[0] + mix(letters[1] + mix(letters[2]))) >> np.uint64(20)) % np.uint64(buckets)
-            yield _rows(bucket, *((x, "<u8") for x in letters), (pid, "<i8"), (off, "<i4"))
+            # the triple as one number; the next round compares both halves of 48 bytes, so a chance collision decides nothing
+            triple = mix(letters[0] + mix(letters[1] + mix(letters[2])))
+            yield _rows((triple >> np.uint64(20)) % np.uint64(buckets), (triple, "<u8"), (pid, "n"), (off, "n"))
 
-    triples = texts.select("pid", "data").mapInArrow(sampled, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
-    names = stored(named(triples, 3), "names")
+    triples = texts.select("pid", "data").mapInArrow(sampled, "bucket long, c0 binary, c1 binary, c2 binary")
+    names = stored(named(triples, 1), "names")
+    released(spark)
 
     def recursed(left: pa.Table, right: pa.Table) -> pa.Table:
         value, pids, begins, _ = _by_page(left, right)
@@ -303,11 +317,13 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         which = np.searchsorted(begins, at, "right") - 1
         a, b = value[at].astype(np.uint64), value[at + LETTERS].astype(np.uint64)
         bucket = (mix(a + mix(b)) >> np.uint64(20)) % np.uint64(buckets)
-        return pa.Table.from_batches([_rows(bucket, (a, "<u8"), (b, "<u8"), (pids[which], "<i8"), (at - begins[which], "<i4"))])
+        return pa.Table.from_batches([_rows(bucket, (a, "<u8"), (b, "<u8"), (pids[which], "n"), (at - begins[which], "n"))])
 
     pages = texts.select("page", "pid", "doc", "starts", "data")
     pairs = pages.groupBy("page").cogroup(names.groupBy("page")).applyInArrow(recursed, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
     longer = stored(named(pairs, 2), "names")
+    dropped(names)
+    released(spark)
     rest = width - 2 * LETTERS
 
     def merging(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -324,52 +340,52 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         for shift in range(rest + 1):
             has = np.flatnonzero(value[at + shift] >= 0)
             i = at[has]
-            key = mix(value[i + shift].astype(np.uint64))
-            # what the name leaves of the string: bytes before it, bytes after it
-            key2 = np.full(len(i), shift, np.uint64)
+            # the name (46 bits), the offset (2), and what the name leaves of the string: bytes before it, bytes after it
+            key = (value[i + shift].astype(np.uint64) << np.uint64(2)) | np.uint64(shift)
             for k in [*range(shift), *range(2 * LETTERS + shift, width)]:
-                key2 = (key2 << np.uint64(8)) | text[i + k]
-            out.append((key, key2, pid[has], off[has], doc[has]))
-        key, key2, pid, off, doc = (np.concatenate(x) for x in zip(*out, strict=True))
-        bucket = (mix(key + mix(key2)) >> np.uint64(20)) % np.uint64(buckets)
-        return pa.Table.from_batches([_rows(bucket, (key, "<u8"), (key2, "<u8"), (pid, "<i8"), (off, "<i4"), (doc, "<i8"))])
+                key = (key << np.uint64(8)) | text[i + k]
+            out.append((key, pid[has], off[has], doc[has]))
+        key, pid, off, doc = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.Table.from_batches([_rows((mix(key) >> np.uint64(20)) % np.uint64(buckets), (key, "<u8"), (pid, "n"), (off, "n"), (doc, "n"))])
 
-    merged = pages.groupBy("page").cogroup(longer.groupBy("page")).applyInArrow(merging, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
+    merged = pages.groupBy("page").cogroup(longer.groupBy("page")).applyInArrow(merging, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
 
     def adjacent(group: pa.Table) -> pa.Table:
-        key, key2 = _joined(group["c0"], "<u8"), _joined(group["c1"], "<u8")
-        pid, off, doc = _joined(group["c2"], "<i8"), _joined(group["c3"], "<i4"), _joined(group["c4"], "<i8")
-        order = np.lexsort((doc, key2, key))
-        key, key2, doc = key[order], key2[order], doc[order]
+        key, pid, off, doc = _joined(group["c0"], "<u8"), *(_numbers(group[f"c{k}"]) for k in (1, 2, 3))
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
         new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
+        new[1:] = key[1:] != key[:-1]
         low = doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first of equal prefixes has the smallest id
         later = order[low < doc]
         return _answers(pid[later], off[later], np.zeros(len(later), np.int64))
 
-    return merged.groupBy("bucket").applyInArrow(adjacent, ANSWER)
+    flags = stored(merged.groupBy("bucket").applyInArrow(adjacent, ANSWER), "flags")
+    dropped(longer)
+    released(spark)
+    return flags
 
 
 def removed_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and `flags`: packed (start, starts) runs of strings that begin in a smaller id too, several rows a document."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     found = stored(recurring(texts, buckets, width), "recurring")
     released(spark)
     cut = stored(pieces(texts, found, width), "pieces")
+    dropped(found)
     released(spark)
     low = cut.groupBy("digest").agg(F.min("doc").alias("low"))
     chosen = cut.join(low, "digest").filter("doc = low").dropDuplicates(["digest"])
     numbered = stored(chosen.select("digest", "doc", "starts", "data").withColumn("pid", F.monotonically_increasing_id()), "numbered")
     numbered = numbered.withColumn("page", F.shiftright("pid", 10))
     released(spark)
-    flags = stored(suffix_matches(numbered, buckets, width), "flags")
-    released(spark)
+    flags = suffix_matches(numbered, buckets, width)
 
     def by_piece(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            pid, off = _joined(batch.column("pid"), "<i8"), _joined(batch.column("off"), "<i4")
+            pid, off = _numbers(batch.column("pid")), _numbers(batch.column("off"))
             order, first, _ = _groups(pid)
             rows = [(int(pid[order[b]]), _packed(off[order[b:e]], "<i4")) for b, e in _bounds(first, len(order))]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["pid", "offs"])
