@@ -34,6 +34,7 @@ sentences AS (
     CASE WHEN kind IN (0, 1, 2, 3, 9) THEN day
       WHEN kind IN (4, 5) THEN TRY_CAST('1997-' || strftime(day, '%m-%d') AS DATE)
       WHEN kind = 6 THEN least(last_day(day), date_trunc('month', day)::DATE + 30)
+      WHEN kind IN (7, 8) AND kind_of_head = 'excluded' THEN NULL -- a relative date without deadline wording
       WHEN kind = 7 THEN DATE '1997-01-31' + CAST(dayofyear(day) AS INTEGER) WHEN kind = 8 THEN DATE '1997-02-01' END AS meant,
     CASE WHEN kind IN (7, 8) THEN 0.7 ELSE 0.9 END AS base
   FROM worded)"""

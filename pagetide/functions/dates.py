@@ -20,7 +20,7 @@ TYPE_PATTERNS = (
 # Sentences whose dates are not deadlines.
 EXCLUDE_PATTERNS = (
     r"copyright\s+\d{4}",
-    "©\\s*\\d{4}",
+    r"©\s*\d{4}",
     r"all rights reserved",
     r"last updated",
     r"page \d+ of \d+",
@@ -39,15 +39,21 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july",
 MONTH_WORD = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 
-ISO = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
-MONTH_DAY_YEAR = rf"\b{MONTH_WORD}\.?\s+{DAY}\s*,?\s+(\d{{4}})\b"
-DAY_MONTH_YEAR = rf"\b{DAY}\s+(?:of\s+)?{MONTH_WORD}\.?,?\s+(\d{{4}})\b"
-SLASHED = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
+# The second day of a range such as "5-8"; the first one counts.
+TO_DAY = r"(?:\s*[-–]\s*\d{1,2}(?:st|nd|rd|th)?)?"
+
+# Year first, a time may follow the day.
+ISO = r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:t\d{1,2}:\d{2}|\b)"
+MONTH_DAY_YEAR = rf"\b{MONTH_WORD}\.?\s+{DAY}{TO_DAY}\s*,?\s+(\d{{4}})\b"
+DAY_MONTH_YEAR = rf"\b{DAY}{TO_DAY}(?:\s+(?:of\s+)?|-){MONTH_WORD}\.?,?(?:\s+|-)(\d{{4}})\b"
+SLASHED = r"\b(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})\b"
 MONTH_YEAR = rf"\b{MONTH_WORD}\.?,?\s+(\d{{4}})\b"
 MONTH_DAY = rf"\b{MONTH_WORD}\.?\s+{DAY}\b"
 DAY_MONTH = rf"\b{DAY}\s+(?:of\s+)?{MONTH_WORD}\b"
 # Any of them; where several start at one place the longer form comes first.
 ANY_DATE = "|".join((ISO, MONTH_DAY_YEAR, DAY_MONTH_YEAR, SLASHED, MONTH_YEAR, MONTH_DAY, DAY_MONTH))
+# Relative dates count only in a sentence that speaks of an end or a hand-in.
+DUE_WORDS = r"\b(deadlines?|due|closes?|closing|ends?|expires?|submit|submissions?|submitted|register|registration|last (?:day|chance))\b"
 IN_DAYS = r"\bin\s+(\d{1,4})\s+days?\b"
 IN_WEEKS = r"\bin\s+(\d{1,3})\s+weeks?\b"
 
@@ -78,7 +84,8 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def _slashed(lowered: Column) -> Column:
     first, second = (F.regexp_extract(lowered, SLASHED, i) for i in (1, 2))
-    year = F.regexp_extract(lowered, SLASHED, 3)
+    written = F.regexp_extract(lowered, SLASHED, 3)
+    year = F.when(F.length(written) == 2, F.concat(F.lit("20"), written)).otherwise(written)
     return F.coalesce(_date(year, first, second), _date(year, second, first))
 
 
@@ -120,12 +127,13 @@ def _explicit(low: Column, as_of: Column) -> Column:
 
 
 def _relative(low: Column, as_of: Column) -> Column:
+    """ "tomorrow", "in 5 days", "in 2 weeks", next to deadline wording."""
     g = F.regexp_extract
-    return (
+    return F.when(
+        low.rlike(DUE_WORDS),
         F.when(low.rlike(r"\btomorrow\b"), F.date_add(as_of, 1))
-        .when(low.rlike(r"\btoday\b"), F.to_date(as_of))
         .when(low.rlike(IN_DAYS), F.date_add(as_of, g(low, IN_DAYS, 1).try_cast("int")))
-        .when(low.rlike(IN_WEEKS), F.date_add(as_of, g(low, IN_WEEKS, 1).try_cast("int") * 7))
+        .when(low.rlike(IN_WEEKS), F.date_add(as_of, g(low, IN_WEEKS, 1).try_cast("int") * 7)),
     )
 
 

@@ -46,6 +46,13 @@ TAG = r"<[a-zA-Z/!?][^>]*>"
 # Stands for removed markup between two texts: a character for private use.
 BREAK = "\ue000"
 TAG_OR_BREAK = f"{TAG}|{BREAK}"
+# Stands for the end of a line that a reader sees: another one.
+LINE = "\ue001"
+# End tags that end a line, start tags that may end one before them, and the line break.
+LINE_END = (
+    r"(?i)(</(?:address|article|aside|blockquote|caption|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|li|main|nav|ol|p|pre|section"
+    r"|table|td|th|tr|ul)\s*>|<(?:dd|div|dt|h[1-6]|li|p|tr)(?:\s[^>]*)?>|<br\s*/?>)"
+)
 
 # Named character references that occur in running text.
 ENTITIES = (
@@ -147,6 +154,21 @@ def markup_to_lines(html: Column) -> Column:
     return collapse_ends(F.regexp_replace(before, rf"{BREAK}(?:{SPACE}|{BREAK})*+", " "))
 
 
+def mark_lines(html: Column) -> Column:
+    """Html with a LINE before each tag that ends a line."""
+    return F.regexp_replace(html, LINE_END, LINE + "$1")
+
+
+def one_line(text: Column) -> Column:
+    """Collapsed text without its LINE marks."""
+    return collapse_space(F.replace(text, F.lit(LINE), F.lit(" ")))
+
+
+def lines(text: Column) -> Column:
+    """Collapsed text with each run of LINE marks as one line break."""
+    return collapse_ends(F.regexp_replace(text, f"[ {LINE}]*{LINE}[ {LINE}]*", "\n"))
+
+
 def clean_text(html: Column, tags: tuple[str, ...] = NOISE_TAGS) -> Column:
     """Visible text with the given elements removed, where none is nested in its like."""
     return markup_to_text(drop_elements(html, tags))

@@ -161,7 +161,7 @@ def _with_region(marked: DataFrame, key: str) -> DataFrame:
 
 
 def structural_page_texts(pages: DataFrame, key: str) -> DataFrame:
-    """(key, filtered_text, main_text, snippet_text) from one pass over the tokens."""
+    """(key, filtered_text, main_text, snippet_text) from one pass over the tokens of html with marked lines."""
     marked = with_element_end(page_tokens(pages, key), key).withColumns({
         "covered": covered(noise_element(False), key),
         "_by_attribute": covered(noise_element(True), key),
@@ -171,8 +171,10 @@ def structural_page_texts(pages: DataFrame, key: str) -> DataFrame:
         _kept_nodes(~F.col("_by_attribute")).alias("_f"), _kept_nodes(~F.col("covered") & F.col("_inside")).alias("_m"),
         _kept_nodes(~F.col("_for_snippets")).alias("_s"),
     )
+    plain = F.transform("_s", lambda n: F.replace(n, F.lit(H.LINE), F.lit("")))
     return nodes.select(
-        key, _one_line(F.col("_f")).alias("filtered_text"), _one_line(F.col("_m")).alias("main_text"), _as_is(F.col("_s")).alias("snippet_text")
+        key, H.one_line(_one_line(F.col("_f"))).alias("filtered_text"), H.lines(_one_line(F.col("_m"))).alias("main_text"),
+        _as_is(plain).alias("snippet_text"),
     )
 
 
@@ -211,20 +213,25 @@ def main_text(pages: DataFrame, key: str = "page_id", out: str = "main_text") ->
 def page_texts(pages: DataFrame, keywords: Column, key: str = "page_id") -> DataFrame:
     """(key, filtered_text, main_text, snippets): all a scan reads off a page.
 
-    The same texts as `filtered_text`, `main_text` and `page_snippets` give.
+    The same texts as `filtered_text`, `main_text` and `page_snippets` give, but
+    the main text keeps the line ends a reader sees, so that a list of dates is
+    not one sentence.
     Plain pages go through one chain of steps that share the cleaned html; only
     pages that need their structure are tokenised, all three texts at once.
     """
     rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"))
-    bare = once(rows, H.drop_opaque(F.col("html")).alias("_bare"))
+    bare = once(rows, H.mark_lines(H.drop_opaque(F.col("html"))).alias("_bare"))
     flat = H.balanced(F.col("_bare"), H.NOISE_TAGS) & ~F.col("_bare").rlike(H.noise_attr_pattern()) & ~_repeated_main("_bare")
     judged = once(bare, flat.alias("_flat"))
     content = once(judged.filter("_flat"), H.drop_closed(F.col("_bare"), H.NOISE_TAGS).alias("_content"))
+    unmarked = F.replace(F.col("_bare"), F.lit(H.LINE), F.lit(""))
     plain = content.select(
-        key, H.markup_to_text(F.col("_content")).alias("filtered_text"), H.markup_to_text(_main_region("_content")).alias("main_text"),
-        H.markup_to_lines(H.drop_closed(F.col("_bare"), H.SNIPPET_NOISE_TAGS)).alias("snippet_text"),
+        key, H.one_line(H.markup_to_text(F.col("_content"))).alias("filtered_text"),
+        H.lines(H.markup_to_text(_main_region("_content"))).alias("main_text"),
+        H.markup_to_lines(H.drop_closed(unmarked, H.SNIPPET_NOISE_TAGS)).alias("snippet_text"),
     )
-    texts = plain.unionByName(structural_page_texts(judged.filter("NOT _flat"), key))
+    marked = judged.filter("NOT _flat").select(key, H.mark_lines(F.col("html")).alias("html"))
+    texts = plain.unionByName(structural_page_texts(marked, key))
     return H.with_snippets(texts, H.sentences(F.col("snippet_text")), keywords).drop("snippet_text")
 
 

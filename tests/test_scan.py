@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pagetide.operators import text as T
 from pagetide.operators import watch as W
 from pagetide.plans.scan import scan_batch, scan_tables
 from pagetide.sources import schemas
@@ -75,6 +76,25 @@ def test_life_of_two_targets(run):
     assert state["alpha"]["next_run_at"] == datetime(2026, 2, 6)
 
 
+LIST = "<ul><li>Abstract deadline: March 15, 2026</li><li>Paper deadline: April 30, 2026<li>Registration deadline: May 15, 2026</ul>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><body><main><h2>Dates</h2>{LIST}</main></body></html>",
+    f"<html><body><div class='sidebar'>x</div><nav><nav>m</nav></nav><main><h2>Dates</h2>{LIST}</main></body></html>",
+])
+def test_a_list_of_dates_gives_all_of_them(run, page):
+    found = run(0, alpha=page)["alpha"]["current_deadlines"]
+    assert [(str(d["date"]), d["type"]) for d in found] == [("2026-03-15", "abstract"), ("2026-04-30", "paper"), ("2026-05-15", "registration")]
+
+
+def test_line_ends_change_no_fingerprint(spark):
+    page = "<body><main><p>One<br>two</p><pre>a  b</pre><div>c</div></main></body>"
+    texts = T.page_texts(spark.createDataFrame([(1, page)], "page_id int, html string"), F.array(F.lit("one"))).first()
+    plain = T.filtered_text(spark.createDataFrame([(1, page)], "page_id int, html string")).first()["filtered_text"]
+    assert texts["filtered_text"] == plain and texts["main_text"].split("\n") == ["One", "two", "a b", "c"]
+
+
 def test_missing_page_is_an_empty_page(run):
     run(0, alpha=NO_DATES)
     assert run(1, alpha="")["alpha"]["watch_mode"] == "BIWEEKLY"
