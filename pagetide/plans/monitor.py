@@ -36,6 +36,31 @@ def _flag(name: str) -> Column:
     return F.count_if(F.col(name))
 
 
+def reported_state(state: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """The stored state as the reports read it: with the target's name, its id if `targets` (target_id, name) has none."""
+    if "name" in state.columns:
+        return state
+    if targets is None:
+        return state.withColumn("name", F.col("target_id"))
+    named = state.join(targets.select("target_id", "name"), "target_id", "left")
+    return named.withColumn("name", F.coalesce("name", "target_id"))
+
+
+def reported_audit(audit: DataFrame) -> DataFrame:
+    """The stored audit rows as the reports read them: with event_id, status and the number of deadlines found.
+
+    Rows of late pages are no scans and are left out.
+    """
+    if "status" in audit.columns:
+        return audit
+    reason = F.coalesce("transition_reason", F.lit(""))
+    return audit.filter(reason != "LATE").withColumns({
+        "event_id": F.col("audit_id"),
+        "status": F.when(reason.startswith("SCAN_FAILED"), "failed").otherwise("succeeded"),
+        "deadlines_count": F.coalesce(F.size("deadlines_found"), F.lit(0)),
+    })
+
+
 def state_overview(state: DataFrame, as_of: Column) -> DataFrame:
     n = F.size("current_deadlines")
     return state.select(
