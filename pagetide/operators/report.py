@@ -79,6 +79,11 @@ def section_counts(entries: DataFrame) -> DataFrame:
     )
 
 
+def ordered_entries(entries: DataFrame) -> DataFrame:
+    """Entries with the rank of their section, as a report shows them: by run, section and target."""
+    return entries.withColumn("rank", section_rank(F.col("section"))).orderBy("run_id", "rank", "target_id")
+
+
 def report_subjects(entries: DataFrame) -> DataFrame:
     """(run_id, subject): icon of the first section present, then the counts."""
     counted = section_counts(entries).withColumn(

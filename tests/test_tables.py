@@ -113,6 +113,19 @@ def test_backup_and_restore(spark, root):
     assert content(backup.restore(once, root + "/b", "state")) == content(full)
 
 
+def test_backup_and_restore_of_the_whole_store(spark, root):
+    store, other = tables.TableStore(spark, root + "/one"), tables.TableStore(spark, root + "/two")
+    for s in (store, other):
+        s.create()
+    store.write_state(states(spark, state_row("a"), state_row("b")))
+    rows = spark.createDataFrame([("r1", "a", datetime(2026, 1, 2)), ("r2", "b", datetime(2026, 1, 3))], "run_id string, target_id string, started_at timestamp")
+    store.append_once(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schemas.HISTORY.fields if f.name not in rows.columns}), "history")
+    assert backup.export_store(store, root + "/b") == {"state": 2, "audit": 0, "history": 2}
+    for _ in range(2):
+        assert backup.restore_store(other, root + "/b") == {"state": 2, "audit": 0, "history": 2}
+    assert content(other.state()) == content(store.state()) and other.history().count() == 2
+
+
 def test_nested_lists_as_json(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "[]"), (4, '[{"date":"2026-03-01","type":"paper","confidence":0.9,"source_text":"s"}]')], "i int, j string")
     back = df.select("i", schemas.list_from_json(F.col("j"), schemas.DEADLINES).alias("d"))
