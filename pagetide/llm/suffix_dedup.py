@@ -30,7 +30,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ GATHERED = 1 << 21
 #: Pieces are cut at one minimizer in so many, but hold no fewer and no more starts than these.
 CUT_EVERY, LEAST, MOST = 8, 64, 4096
 _BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: The two large sorts go bucket by bucket in so many turns: only one turn's shuffle is on disk at a time.
+SLICES = 4
 #: In place of an id: nobody waits for an answer.
 NOBODY = np.int64(-(1 << 63))
 #: Bytes hashed in one go.
@@ -133,6 +136,15 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sliced(make: Callable[[int], DataFrame], name: str) -> DataFrame:
+    """Tables of all turns as one; `make(part)` handles the buckets that leave `part` modulo SLICES."""
+    tables = []
+    for part in range(SLICES):
+        tables.append(stored(make(part), name))
+        released(tables[-1].sparkSession)
+    return reduce(DataFrame.unionByName, tables)
+
+
 def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     """doc and `hashes` (packed, several rows a document): its minimizers that stand in another document too.
 
@@ -287,7 +299,7 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
 
     spark = texts.sparkSession
 
-    def sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sampled(part: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts, "data", 1 << 20):
             data = b"".join(x.as_py() + bytes(LETTERS) for x in batch.column("data"))
             size = pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -304,11 +316,15 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
             letters = [np.ascontiguousarray(view[at + 8 * k]).view("<u8").ravel() for k in range(3)]
             # the triple as one number; the next round compares both halves of 48 bytes, so a chance collision decides nothing
             triple = mix(letters[0] + mix(letters[1] + mix(letters[2])))
-            yield _rows((triple >> np.uint64(20)) % np.uint64(buckets), (triple, "<u8"), (pid, "n"), (off, "n"))
+            bucket = (triple >> np.uint64(20)) % np.uint64(buckets)
+            mine = bucket % np.uint64(SLICES) == part
+            yield _rows(bucket[mine], (triple[mine], "<u8"), (pid[mine], "n"), (off[mine], "n"))
 
-    triples = texts.select("pid", "data").mapInArrow(sampled, "bucket long, c0 binary, c1 binary, c2 binary")
-    names = stored(named(triples, 1), "names")
-    released(spark)
+    def names_of(part: int) -> DataFrame:
+        triples = texts.select("pid", "data").mapInArrow(partial(sampled, part), "bucket long, c0 binary, c1 binary, c2 binary")
+        return named(triples, 1)
+
+    names = sliced(names_of, "names")
 
     def recursed(left: pa.Table, right: pa.Table) -> pa.Table:
         value, pids, begins, _ = _by_page(left, right)
@@ -326,7 +342,7 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
     released(spark)
     rest = width - 2 * LETTERS
 
-    def merging(left: pa.Table, right: pa.Table) -> pa.Table:
+    def merging(part: int, left: pa.Table, right: pa.Table) -> pa.Table:
         value, pids, begins, _ = _by_page(left, right)
         text = np.zeros(len(value) + width, np.uint8)
         for begin, x in zip(begins.tolist(), left["data"], strict=True):
@@ -346,9 +362,9 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                 key = (key << np.uint64(8)) | text[i + k]
             out.append((key, pid[has], off[has], doc[has]))
         key, pid, off, doc = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.Table.from_batches([_rows((mix(key) >> np.uint64(20)) % np.uint64(buckets), (key, "<u8"), (pid, "n"), (off, "n"), (doc, "n"))])
-
-    merged = pages.groupBy("page").cogroup(longer.groupBy("page")).applyInArrow(merging, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
+        bucket = (mix(key) >> np.uint64(20)) % np.uint64(buckets)
+        mine = bucket % np.uint64(SLICES) == part
+        return pa.Table.from_batches([_rows(bucket[mine], (key[mine], "<u8"), (pid[mine], "n"), (off[mine], "n"), (doc[mine], "n"))])
 
     def adjacent(group: pa.Table) -> pa.Table:
         key, pid, off, doc = _joined(group["c0"], "<u8"), *(_numbers(group[f"c{k}"]) for k in (1, 2, 3))
@@ -360,7 +376,14 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         later = order[low < doc]
         return _answers(pid[later], off[later], np.zeros(len(later), np.int64))
 
-    flags = stored(merged.groupBy("bucket").applyInArrow(adjacent, ANSWER), "flags")
+    def flags_of(part: int) -> DataFrame:
+        def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+            return merging(part, left, right)
+
+        both = pages.groupBy("page").cogroup(longer.groupBy("page"))
+        return both.applyInArrow(merge, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("bucket").applyInArrow(adjacent, ANSWER)
+
+    flags = sliced(flags_of, "flags")
     dropped(longer)
     released(spark)
     return flags
@@ -379,8 +402,10 @@ def removed_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     low = cut.groupBy("digest").agg(F.min("doc").alias("low"))
     chosen = cut.join(low, "digest").filter("doc = low").dropDuplicates(["digest"])
     numbered = stored(chosen.select("digest", "doc", "starts", "data").withColumn("pid", F.monotonically_increasing_id()), "numbered")
-    numbered = numbered.withColumn("page", F.shiftright("pid", 10))
+    places = stored(cut.select("doc", "start", "starts", "digest"), "places")
+    dropped(cut)
     released(spark)
+    numbered = numbered.withColumn("page", F.shiftright("pid", 10))
     flags = suffix_matches(numbered, buckets, width)
 
     def by_piece(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +417,7 @@ def removed_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
 
     offs = flags.mapInArrow(by_piece, "pid long, offs binary").groupBy("pid").agg(F.collect_list("offs").alias("offs"))
     owned = numbered.select("pid", "digest", F.col("doc").alias("low")).join(offs, "pid", "left")
-    return cut.select("doc", "start", "starts", "digest").join(owned, "digest").select(
+    return places.join(owned, "digest").select(
         "doc", "start", "starts", (F.col("doc") > F.col("low")).alias("whole"), F.when(F.col("doc") == F.col("low"), F.col("offs")).alias("offs")
     ).filter("whole OR offs IS NOT NULL")
 
