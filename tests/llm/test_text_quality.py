@@ -18,6 +18,7 @@ from pagetide.llm.quality_classifier import fit_quality, quality_scores
 from pagetide.llm.quality_rules import quality_rules
 from pagetide.llm.shared import fold_of
 
+from .conftest import PROSE
 from .test_near_dedup import brute_sets
 
 
@@ -112,6 +113,24 @@ def test_tree_weighting_equals_the_recursion(frame):
         assert math.isclose(got[i], tree_brute(data, text, 2), rel_tol=1e-5)
 
 
+def test_grams_outside_the_cache_are_scored_by_the_whole_trees(frame):
+    data = [b"abracadabra", b"a barbarian", b"cabra", b"bard"]
+    docs = frame([(i, d.decode()) for i, d in enumerate(data)] + [(99, "abrasive zebra"), (100, "")])
+    for cached in (0, 9):
+        got = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("doc_id") < 99, depth=4, cached=cached).collect()}
+        for i, text in [*enumerate(data), (99, b"abrasive zebra"), (100, b"")]:
+            assert math.isclose(got[i], tree_brute(data, text, 4), rel_tol=1e-9)
+
+
+def test_contexts_seen_once_predict_in_a_large_corpus(frame):
+    rng = random.Random(8)
+    passages = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)) for _ in range(2)]
+    rows = [(i, PROSE * 25) for i in range(500)] + [(1000, passages[0]), (1001, passages[0]), (1002, passages[1])]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in score_texts(frame(rows), F.col("doc_id") <= 1000).collect()}
+    assert sum(len(t) for i, t in rows[:501]) > 4 << 19
+    assert math.isclose(got[1000], got[1001]) and 2 * got[1001] < got[1002]
+
+
 def test_log_gamma(spark):
     xs = [0.5, 1.0, 1.5, 7.25, 1000.5, 1e9]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(log_gamma(F.col("x"))).collect()]
