@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions.once import let, once
-from pagetide.llm.shared import BLANKS, words
+from pagetide.llm.shared import BLANKS, stored, words
 
 BUCKETS = 1 << 14
-#: Trusted documents the target multinomial and the threshold are learnt from, at most.
-TRUSTED = 20_000
 #: Of the trusted documents, one in so many may fall below the threshold.
 LOSS = 500
 #: Whole-number weights are log ratios times this.
@@ -93,14 +91,15 @@ def mean_ratio(hashes: Column, weights: list[int]) -> Column:
     return F.when(F.size(hashes) > 0, F.round(total / (2 * F.size(hashes)) / SCALE, 6)).otherwise(F.lit(0.0))
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, most_trusted: int = TRUSTED, loss: int = LOSS,
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, loss: int = LOSS,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base rules and verdict of every whole text.
 
     `trusted_ids` lists trusted documents in a column of the same name as
-    `id_col`; at most `most_trusted` of them, by the smallest hash, give the target
-    multinomial and the threshold, and only their ids are broadcast.  The
-    raw multinomial counts all documents.
+    `id_col`; all of them give the target multinomial and the threshold.  Their
+    texts are joined by id once, for the multinomial; the threshold comes from
+    the scored rows, which hold no texts.  The raw multinomial counts all
+    documents.
 
     Returns one row per input row: id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (long), llr (double), base_failed, kept.  Null and empty
@@ -109,25 +108,24 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKET
     and are never trusted.  More columns are ignored.
     """
     docs = docs.select(id_col, text_col)
-    chosen = trusted_ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most_trusted)
-    trusted = docs.join(F.broadcast(chosen), id_col)
+    # the ids of a partition are hashed and the texts streamed past them, unsorted; the same plan at every size
+    chosen = trusted_ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct().hint("shuffle_hash")
     rows = measured(docs, id_col, text_col)
-    target = bucket_counts(trusted, buckets, text_col)
+    target = bucket_counts(docs.join(chosen, id_col, "left_semi"), buckets, text_col)
+    ratio = mean_ratio(F.col("hashes"), log_ratios(bucket_counts(docs, buckets, text_col), target, buckets)) if target else F.lit(0.0)
+    scored = rows.withColumn("llr", ratio).drop("hashes")
     least = None
     if target:
-        weights = log_ratios(bucket_counts(docs, buckets, text_col), target, buckets)
-        ratio = mean_ratio(F.col("hashes"), weights)
+        scored = stored(scored, "rules")
         # thousandths of the trusted scores: a bounded table, and an exact quantile of it
-        found = measured(trusted, id_col, text_col).select(F.floor(ratio * 1000).alias("bin")).groupBy("bin").count().orderBy("bin").collect()
+        trusted = scored.select(id_col, F.floor(F.col("llr") * 1000).alias("_bin")).join(chosen, id_col, "left_semi")
+        found = trusted.groupBy("_bin").count().orderBy("_bin").collect()
         spare = sum(r["count"] for r in found) // loss
         for r in found:
-            least = r["bin"] / 1000
+            least = r["_bin"] / 1000
             if spare < r["count"]:
                 break
             spare -= r["count"]
-    else:
-        ratio = F.lit(0.0)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     kept = ~failed if least is None else ~failed & (F.col("llr") >= least)
-    scored = rows.withColumn("llr", ratio).withColumn("base_failed", failed)
-    return scored.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", kept.alias("kept"))
+    return scored.withColumn("base_failed", failed).select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", kept.alias("kept"))

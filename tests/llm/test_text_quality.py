@@ -169,6 +169,12 @@ def test_quality_rules(frame, spark, odd, empty):
     assert all(r["kept"] == (not r["base_failed"]) for r in alone)
 
 
+def test_quality_rules_count_every_trusted_document(frame, spark):
+    rows = [(i, " ".join(f"w{i % 97 * k} v{i % 89}" for k in range(10))) for i in range(20_300)]
+    got = quality_rules(frame(rows), spark.range(20_300).withColumnRenamed("id", "doc_id")).collect()
+    assert len(got) == len(rows) and {r["llr"] for r in got} == {0.0}
+
+
 def test_licences(frame, spark, odd, empty):
     known = known_digests(spark)
     changed = "Copyright (c) 2020 Someone\n\n" + MIT.upper().replace(", ", " ,  ").replace("MERCHANTABILITY", "Merchantibility")
