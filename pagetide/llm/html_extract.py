@@ -98,6 +98,12 @@ class Lines(HTMLParser):
     def _noise(self, words: str) -> bool:
         return len(words) > 1 and bool(NOISE.search(words) or TOP.search(words) and not self._inside())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Any but CDATA is a comment up to the next ">", as in browsers; the library's parser would raise an error."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
     def updatepos(self, i: int, j: int) -> int:
         """Positions in the source are not needed."""
         return j
@@ -160,11 +166,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     so that short paragraphs stay.
     """
     parser = Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the parser gives up on some broken declarations; what it has read stands
-        pass
+    parser.feed(html)
+    parser.close()
     parser.end_line()
     lines = parser.lines
     if not lines:

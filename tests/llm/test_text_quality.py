@@ -229,6 +229,14 @@ def test_main_text():
     assert main_text("<p>cut off <b") .startswith("cut off") and main_text("<!-- x --><![bad[ <p>odd</p>") is not None
 
 
+def test_broken_declarations_end_no_page():
+    for declaration in ("<![x]>", "<![ foo]>", "<![>", "<![if !IE]>", "<!x>", "<![CDATA[ x ]]>"):
+        assert main_text(f"<p>first words</p>{declaration}<p>second words</p>") == "first words second words"
+    rng = random.Random(2)
+    for _ in range(2000):
+        assert main_text("".join(rng.choice(["<!", "<![", "[", "]", ">", "<", "-", "CDATA[", "x ", "doctype", "<p>", "</", "&#", "'", "="]) for _ in range(12))) is not None
+
+
 def test_extract_main_text(spark):
     rows = [(1, "u", PAGE, "z"), (1, "u", PAGE, "z"), (2, None, None, "z"), (None, "v", "", "z")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, main_text string")).collect()
