@@ -45,12 +45,20 @@ SPACE = re.compile(r"\s+")
 class Lines(HTMLParser):
     """Collects the lines of a page: text, tags, characters inside links, region, and whether it is furniture."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset(), core: bool = False) -> None:
+        """`spared`: numbers of marked wrappers that are no furniture; `core`: marked wrappers do not reach into an article or main."""
         super().__init__(convert_charrefs=True)
+        self.spared, self.core = spared, core
         self.lines: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # name, unread, furniture, region
+        self.stack: list[tuple[str, bool, bool, int, bool, int, int]] = []  # name, unread, furniture, region, sure, marked and wrapper before it
         self.region = self.regions = 0
-        self.unread = self.furniture = self.links = 0
+        self.unread = self.furniture = self.links = self.marked = 0
+        # elements that are furniture by class, id or form only: the innermost, those around each, characters outside links
+        self.wrapper = 0
+        self.around: list[int] = [0]
+        self.held: list[int] = [0]
+        self.cores: list[int] = []  # wrapper around each open article or main
+        self.core_held = self.core_free = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.kind: dict[int, str] = {0: ""}
@@ -72,21 +80,28 @@ class Lines(HTMLParser):
             return
         if tag in LOOSE and self.stack and self.stack[-1][0] == tag:
             self._pop()
+        # a header inside an article holds its title
+        sure = tag in FURNITURE and tag != "form" and not (tag == "header" and self._inside())
+        marked = tag == "form"
         if attrs:
             given = {k: v or "" for k, v in attrs}
-            furniture = (
-                given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
-                or tag not in CORE and bool(self._noise(f"{given.get('class', '')} {given.get('id', '')}"))
-            )
-        else:
-            furniture = False
-        # a header inside an article holds its title
-        furniture = furniture or tag in FURNITURE and not (tag == "header" and self._inside())
+            sure = sure or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+            marked = marked or tag not in CORE and bool(self._noise(f"{given.get('class', '')} {given.get('id', '')}"))
+        marked = marked and not sure
         unread = tag in UNREAD
-        self.stack.append((tag, unread, furniture, self.region))
+        self.stack.append((tag, unread, sure or marked, self.region, sure, self.marked, self.wrapper))
         self.unread += unread
-        self.furniture += furniture
+        self.furniture += sure
         self.links += tag == "a"
+        if marked:
+            self.around.append(self.wrapper)
+            self.held.append(0)
+            self.wrapper = len(self.held) - 1
+            self.marked += self.wrapper not in self.spared
+        if tag in ("article", "main"):
+            if self.core and not self.cores:
+                self.marked = 0
+            self.cores.append(self.wrapper)
         if tag in SECTIONS:
             self.regions += 1
             self.kind[self.regions], self.above[self.regions] = tag, self.region
@@ -125,21 +140,62 @@ class Lines(HTMLParser):
             self._pop()
 
     def _pop(self) -> None:
-        tag, unread, furniture, region = self.stack.pop()
+        tag, unread, _, region, sure, self.marked, self.wrapper = self.stack.pop()
         self.unread -= unread
-        self.furniture -= furniture
+        self.furniture -= sure
         self.links -= tag == "a"
+        if tag in ("article", "main"):
+            self.cores.pop()
         if tag in SECTIONS:
             self.region = region
 
     def handle_data(self, data: str) -> None:
         if self.unread or self.furniture:
             return
+        if not self.links:
+            size = len(data.strip())
+            self.held[self.wrapper] += size
+            if self.cores and self.cores[0] == self.wrapper:
+                if self.wrapper:
+                    self.core_held += size
+                else:
+                    self.core_free += size
+        if self.marked:
+            return
         self.parts.append(data)
         if self.links:
             self.linked += len(data.strip())
 
 
+def page_lines(html: str) -> Lines:
+    """A page read to its end.
+
+    An element that is furniture by its class, its id or as a form only is none
+    if nine tenths of the text stand in it, and does not reach into article or
+    main elements if all of them stand in such elements and hold more text than
+    stands outside.  Without a line left, none of them is furniture.
+    """
+
+    def read(spared: frozenset[int] = frozenset(), core: bool = False) -> Lines:
+        parser = Lines(spared, core)
+        parser.feed(html)
+        parser.close()
+        parser.end_line()
+        return parser
+
+    parser = read()
+    if len(parser.held) == 1:
+        return parser
+    held = list(parser.held)
+    for k in range(len(held) - 1, 0, -1):
+        held[parser.around[k]] += held[k]
+    spared = frozenset(k for k in range(1, len(held)) if held[k] and 10 * held[k] >= 9 * held[0])
+    core = not parser.core_free and parser.core_held > parser.held[0]
+    if spared or core:
+        parser = read(spared, core)
+    return parser if parser.lines else read(frozenset(range(1, len(held))))
+
+
 def smoothed(values: list[float], sigma: float) -> list[float]:
     """Gaussian smoothing with the weights cut at three sigma and made to sum to one at the edges."""
     reach = max(1, math.ceil(3 * sigma))
@@ -165,10 +221,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     region that holds three quarters; regions are taken whole, with all inside them,
     so that short paragraphs stay.
     """
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
+    parser = page_lines(html)
     lines = parser.lines
     if not lines:
         return ""

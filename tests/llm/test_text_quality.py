@@ -229,6 +229,19 @@ def test_main_text():
     assert main_text("<p>cut off <b") .startswith("cut off") and main_text("<!-- x --><![bad[ <p>odd</p>") is not None
 
 
+def test_marked_wrappers_around_the_article():
+    body = "<p>A paragraph of the article, with a good many words in it.</p><p>Another paragraph of it, with as many words as the first.</p>"
+    want = "A paragraph of the article, with a good many words in it. Another paragraph of it, with as many words as the first."
+    noise = "<div class='share'>Share this with all of your friends today.</div>"
+    for wrapper in ("div class='layout has-sidebar'", "div id='page' class='no-comments'", "section class='content social-enabled'", "form id='f'"):
+        name = wrapper.split()[0]
+        assert main_text(f"<body><nav>Home</nav><{wrapper}>{body}</{name}></body>") == want
+        for core in ("article", "main"):
+            assert main_text(f"<body><{wrapper}><{core}>{body}{noise}</{core}></{name}><div>Some words of the site at the foot of it.</div></body>") == want
+    assert main_text(f"<body><article>{body}</article><div class='related'><article>{body * 3}</article></div></body>") == want
+    assert main_text(f"<body><div id='content'>{body}</div><section id='comments'>{body * 3}</section></body>") == want
+
+
 def test_broken_declarations_end_no_page():
     for declaration in ("<![x]>", "<![ foo]>", "<![>", "<![if !IE]>", "<!x>", "<![CDATA[ x ]]>"):
         assert main_text(f"<p>first words</p>{declaration}<p>second words</p>") == "first words second words"
