@@ -216,10 +216,11 @@ def main_text(html: str, sigma: float = 1.0) -> str:
 
     The ratio of a line is its characters outside links per tag.  Lines at or
     above the threshold (half the standard deviation of the smoothed ratios,
-    at most their mean) are clustered as content.  Article and main elements
-    with such lines are the content if they hold half of it, else the innermost
-    region that holds three quarters; regions are taken whole, with all inside them,
-    so that short paragraphs stay.
+    at most their mean) are clustered as content.  All article and main elements
+    are the content if they hold half of it, else the innermost region that
+    holds all of it; regions are taken whole, with all inside them, so that short
+    paragraphs stay.  Outside article and main elements, regions of links without
+    any such line and runs of lines that are nothing but links are left out.
     """
     parser = page_lines(html)
     lines = parser.lines
@@ -251,17 +252,25 @@ def main_text(html: str, sigma: float = 1.0) -> str:
                 found.add(region)
         return found
 
-    marked = {r for r in weight if kind[r] in ("article", "main")}
+    marked = {r for r in kind if kind[r] in ("article", "main")}
     inner = within(marked)
-    if marked and 2 * sum(weight[r] for r in marked if above[r] not in inner) >= weight[0]:
+    if 2 * sum(weight.get(r, 0) for r in marked if above[r] not in inner) >= weight[0]:
         chosen = inner
     else:
-        best = 0
-        for region in sorted(weight):  # the innermost region that still holds three quarters of the clustered text
-            if above.get(region) == best and region and 4 * weight[region] >= 3 * weight[0]:
-                best = region
+        best = max(r for r in weight if weight[r] == weight[0])  # regions that hold all are inside each other
         chosen = within({best})
-    return " ".join(text for text, _, linked, region in lines if region in chosen and not _menu(text, linked))
+        size, links = [0] * (parser.regions + 1), [0] * (parser.regions + 1)
+        for text, _, linked, region in lines:
+            size[region] += len(text)
+            links[region] += linked
+        for region in range(parser.regions, 0, -1):
+            size[above[region]] += size[region]
+            links[above[region]] += links[region]
+        dense = within({r for r in chosen - inner if r not in weight and 2 * links[r] >= size[r] > 0})
+        chosen -= dense - inner
+    only = [region not in inner and _menu(text, linked) for text, _, linked, region in lines]
+    runs = [x and (a or b) for a, x, b in zip([False, *only], only, [*only[1:], False])]
+    return " ".join(text for (text, _, _, region), menu in zip(lines, runs, strict=True) if region in chosen and not menu)
 
 
 def _menu(text: str, linked: int) -> bool:

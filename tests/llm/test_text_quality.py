@@ -242,6 +242,15 @@ def test_marked_wrappers_around_the_article():
     assert main_text(f"<body><div id='content'>{body}</div><section id='comments'>{body * 3}</section></body>") == want
 
 
+def test_whole_article():
+    long, short = "Many words stand in the first and longer part of this text. " * 8, "Fewer words stand in the second part of it. " * 3
+    parts = f"<body><ul><li><a>Home</a><li><a>News</a></ul><div><h1>Title</h1><div><p>{long}</p></div><div><p>{short}</p></div></div></body>"
+    assert main_text(parts) == f"Title {long.strip()} {short.strip()}"
+    two = f"<body><article><p>{long}</p><p><a>See the full report</a></p></article><article><p><a>Note</a></p><p>Tiny.</p></article></body>"
+    assert main_text(two) == f"{long.strip()} See the full report Note Tiny."
+    assert main_text(f"<body><div><p>{long}</p><p><a>See the full report</a></p><p>{short}</p></div></body>") == f"{long.strip()} See the full report {short.strip()}"
+
+
 def test_broken_declarations_end_no_page():
     for declaration in ("<![x]>", "<![ foo]>", "<![>", "<![if !IE]>", "<!x>", "<![CDATA[ x ]]>"):
         assert main_text(f"<p>first words</p>{declaration}<p>second words</p>") == "first words second words"
