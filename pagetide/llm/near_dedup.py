@@ -164,8 +164,8 @@ def links_across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             left, right = rows[own[rows] == low], rows[own[rows] == high]
             if not len(left) or not len(right):
                 continue
-            both = shared_counts([found[i] for i in left], [found[i] for i in right])
-            size = np.array([len(s) for s in found], np.float32)
+            both = shared_counts([found[i] for i in left], [found[i] for i in right]).astype(np.int64)
+            size = np.array([len(s) for s in found], np.int64)
             near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
             near &= component[left][:, None] != component[right][None, :]
             i, j = np.nonzero(near)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from pagetide.llm.graph import components
-from pagetide.llm.near_dedup import near_duplicates
+from pagetide.llm.near_dedup import links_across, near_duplicates
 from pagetide.llm.word_hashes import shingle_sets, word_hashes
 
 
@@ -94,3 +95,12 @@ def test_a_large_group_of_loose_copies(frame):
             words[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
     assert sorted(tuple(r) for r in near_duplicates(frame(rows)).collect()) == brute(rows)
+
+
+def test_large_sets_are_compared_in_whole_numbers(spark):
+    """77 % of 260,013 is 200,210.01: one of the last shared hashes decides, and single precision does not show it."""
+    for both, want in ((200_210, set()), (200_211, {(1, 2)})):
+        sets = [np.arange(both + 30_000, dtype=np.uint64), np.concatenate([np.arange(both, dtype=np.uint64), np.arange(both + 30_000, 260_013, dtype=np.uint64)])]
+        rest = spark.createDataFrame([(5, 1, 1), (5, 2, 2)], "value long, doc long, component long")
+        table = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets, 1)], "doc long, shingles binary")
+        assert {tuple(sorted(r)) for r in links_across(rest, table, 77).collect()} == want
