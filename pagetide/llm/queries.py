@@ -7,17 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm.bpe import bpe_round_trip
+from pagetide.llm.cap_filters import near_vectors
 from pagetide.llm.decontamination import contained_items
+from pagetide.llm.hard_negatives import hard_negatives
 from pagetide.llm.html_extract import extract_main_text
 from pagetide.llm.license_scan import known_digests, license_scan
 from pagetide.llm.lm_scoring import score_texts
 from pagetide.llm.near_dedup import near_duplicates
+from pagetide.llm.pivot_codes import pivot_codes
 from pagetide.llm.quality_classifier import fit_quality, quality_scores
 from pagetide.llm.quality_rules import quality_rules
 from pagetide.llm.shared import fold_of, table
 from pagetide.llm.sql import DECONTAMINATION, license_sql
 from pagetide.llm.suffix_dedup import remove_repeats
 from pagetide.llm.token_counts import token_counts
+from pagetide.llm.vector_sql import HARD_NEGATIVES, NEAR_VECTORS, pivot_codes_sql
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -74,8 +78,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_classifier, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_html_extraction, op7_quality_rules, op8_minhash_near_dedup,
-    op9_suffix_dedup, op10_byte_bpe,
+    op9_suffix_dedup, op10_byte_bpe, op11_hard_negatives, op12_embedding_near_dedup, op13_vector_codes,
 )}
-SQL: dict[str, str] = {"op1_license_scan": license_sql(), "op3_decontamination": DECONTAMINATION}
+SQL: dict[str, str] = {
+    "op1_license_scan": license_sql(), "op3_decontamination": DECONTAMINATION,
+    "op11_hard_negatives": HARD_NEGATIVES, "op12_embedding_near_dedup": NEAR_VECTORS, "op13_vector_codes": pivot_codes_sql(),
+}
