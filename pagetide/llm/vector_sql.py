@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0"
+USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0"
 
 HARD_NEGATIVES = f"""
 WITH v AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS w
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {USABLE}),
 s AS (
   SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, list_inner_product(a.w, v.w)::BIGINT AS score
@@ -29,7 +29,7 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 def pivot_codes_sql(rounds: int = 4) -> str:
     """Every assignment over all entries, round after round."""
     steps = [f"""
-WITH v AS (SELECT vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS w, len(embedding) // 4 AS d FROM embeddings WHERE {USABLE}),
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w, len(embedding) // 4 AS d FROM embeddings WHERE {USABLE}),
 x AS (SELECT vec_id, label, p AS part, w[p * d + 1:(p + 1) * d] AS x FROM v, range(4) AS t(p)),
 b0 AS (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1)::INT AS entry, x AS e FROM x QUALIFY entry < 256)"""]
     for k in range(rounds + 1):
@@ -43,7 +43,7 @@ s{k} AS (SELECT part, entry, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT
 m{k} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS e FROM s{k} GROUP BY ALL),
 b{k + 1} AS (SELECT part, entry, coalesce(m{k}.e, b{k}.e) AS e FROM b{k} LEFT JOIN m{k} USING (part, entry))""")
     steps.append(f"""
-h AS (SELECT sha256(string_agg(array_to_string(list_transform(e, y -> y::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda y: y::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
 c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(gap)::BIGINT AS error FROM a{rounds} GROUP BY 1)""")
     return ",".join(steps) + """
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
