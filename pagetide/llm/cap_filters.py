@@ -31,7 +31,7 @@ from pagetide.llm.vectors import finite, matrix, of_one_length, rotation, whole_
 
 TABLES, BLOCKS = 32, 2
 #: Filters that a pair at the threshold shares on average, unrelated classes a filter may hold, widest and narrowest cap.
-SHARED, HELD, WIDEST, NARROWEST = 32, 4.0, 1e-4, 0.75
+SHARED, HELD, WIDEST, NARROWEST = 32, 1.0, 1e-4, 0.75
 #: Members of a home compared with as many others in one go; scores computed in one go.
 MEMBERS, SCORES = 1024, 1 << 20
 
@@ -75,17 +75,23 @@ def decoded(unit: np.ndarray, turn: np.ndarray, code: np.ndarray, alpha: float)
     turned = np.pad(unit, ((0, 0), (0, blocks * width - unit.shape[1]))) @ turn
     scores = np.stack([turned[:, b * width:(b + 1) * width] @ code[b].T for b in range(blocks)], 1)
     best = scores.max(2)
+    need = alpha - best.sum(1, keepdims=True) + best
     row, number, value = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
     for b in range(blocks):
-        need = alpha - value - best[row, b + 1:].sum(1)
-        at, entry = np.nonzero(scores[row, b] >= need[:, None])
-        value = value[at] + scores[row[at], b, entry]
-        row, number = row[at], number[at] * size + entry
+        at, entry = np.nonzero(scores[:, b] >= need[:, b, None])
+        start = np.searchsorted(at, np.arange(len(unit) + 1))
+        many = np.diff(start)[row]
+        before = np.repeat(np.arange(len(row)), many)
+        entry = entry[start[row][before] + np.arange(len(before)) - np.repeat(np.cumsum(many) - many, many)]
+        row = row[before]
+        value = value[before] + scores[row, b, entry]
+        keep = value >= alpha - best[row, b + 1:].sum(1)
+        row, number, value = row[keep], (number[before] * size + entry)[keep], value[keep]
     return row, number, value
 
 
 def caps(classes: DataFrame, count: int, cosine: float, seed: int) -> DataFrame:
-    """class, w, dims, home and filters of each class, and its vector packed, as doubles where `wide`, else as floats, which are the same numbers.
+    """class, first, w, dims, home and filters of each class, and its vector packed, as doubles where `wide`, else as floats, which are the same numbers.
 
     A class that passes no filter at all has its best code vectors of the first table as the only one.
     """
@@ -129,19 +135,19 @@ def caps(classes: DataFrame, count: int, cosine: float, seed: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.where(spared, 1, sizes - 1))).astype(np.int32), number[keep])
                     here = batch.take(pa.array(rows[k:k + step]))
                     yield pa.record_batch([
-                        here.column("class"), here.column("w"), pa.array(np.full(len(part), dims, np.int32)), pa.array(number[start]),
+                        here.column("class"), here.column("first"), here.column("w"), pa.array(np.full(len(part), dims, np.int32)), pa.array(number[start]),
                         lists, pa.array(wide), pa.array([x.tobytes() if f else x.astype(np.float32).tobytes() for x, f in zip(part, wide, strict=True)], pa.binary()),
-                    ], names=["class", "w", "dims", "home", "filters", "wide", "raw"])
+                    ], names=["class", "first", "w", "dims", "home", "filters", "wide", "raw"])
 
-    return classes.select("class", "w", "vec").mapInArrow(run, "class long, w long, dims int, home long, filters array<long>, wide boolean, raw binary")
+    return classes.select("class", "first", "w", "vec").mapInArrow(run, "class long, first long, w long, dims int, home long, filters array<long>, wide boolean, raw binary")
 
 
 def home_blocks(held: DataFrame) -> DataFrame:
-    """dims, home, chunk and members (class, w, wide, raw): homes in blocks of about `MEMBERS`, by a hash of the class."""
+    """dims, home, chunk and members (class, first, w, wide, raw): homes in blocks of about `MEMBERS`, by a hash of the class."""
     large = held.groupBy("dims", "home").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS)
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / MEMBERS)
     placed = held.join(large, ["dims", "home"], "left").withColumn("chunk", F.pmod(F.xxhash64("class"), chunks).cast("int"))
-    return placed.groupBy("dims", "home", "chunk").agg(F.collect_list(F.struct("class", "w", "wide", "raw")).alias("members"))
+    return placed.groupBy("dims", "home", "chunk").agg(F.collect_list(F.struct("class", "first", "w", "wide", "raw")).alias("members"))
 
 
 def home_pairs(held: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -169,8 +175,18 @@ def _joined_up(linked: np.ndarray) -> np.ndarray:
         rows = near
 
 
+def _vectors(members: pa.StructArray) -> np.ndarray:
+    """The components of all members, one after the other."""
+    raw, wide = members.field("raw"), members.field("wide").to_numpy(zero_copy_only=False)
+    if wide.all() or not wide.any():
+        ends = raw.offsets.to_numpy() if hasattr(raw, "offsets") else np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0]:ends[-1]] if len(raw) else np.zeros(0, np.uint8)
+        return np.frombuffer(data.tobytes(), np.float64 if wide.any() else np.float32).astype(np.float64)
+    return np.concatenate([np.frombuffer(x, np.float64 if w else np.float32) for x, w in zip(raw.to_pylist(), wide, strict=True)], dtype=np.float64)
+
+
 def links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
-    """class, n (linked vectors in other classes) and near (a class it hangs together with), from every pair of blocks; classes without a link do not come."""
+    """class and first, n (linked vectors in other classes), near and near_first (a class it hangs together with), from every pair of blocks; classes without a link do not come."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -178,9 +194,8 @@ def links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
             for name in ("a", "b"):
                 column = batch.column(name)
                 members = column.flatten()
-                raw = members.field("raw")
-                unit = np.concatenate([np.frombuffer(x, np.float64 if wide else np.float32) for x, wide in zip(raw.to_pylist(), members.field("wide").to_pylist(), strict=True)], dtype=np.float64)
-                sides.append((column.offsets.to_numpy() - column.offsets[0].as_py(), members.field("class").to_numpy(), members.field("w").to_numpy(), unit))
+                ids = np.stack([members.field("class").to_numpy(), members.field("first").to_numpy()], 1)
+                sides.append((column.offsets.to_numpy() - column.offsets[0].as_py(), ids, members.field("w").to_numpy(), _vectors(members)))
             dims = batch.column("dims").to_numpy().astype(np.int64)
             same = batch.column("same").to_numpy(zero_copy_only=False)
             starts = [np.concatenate([[0], np.cumsum(np.diff(at) * dims)]) for at, _, _, _ in sides]
@@ -198,7 +213,9 @@ def links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
                     for (at, cls, weight, unit), start in zip(sides, starts, strict=True))
                 linked = x @ y.T >= cosine * np.sqrt(np.einsum("ij,ij->i", x, x)[:, None] * np.einsum("ij,ij->i", y, y)[None, :])
                 if same[r]:
-                    linked &= ids[:, None] != others[None, :]
+                    linked &= ids[:, None, 0] != others[None, :, 0]
+                if not linked.any():
+                    continue
                 label = _joined_up(linked)
                 everyone = np.concatenate([ids, others])
                 counts = np.concatenate([linked @ v, np.zeros(len(others), np.int64) if same[r] else linked.T @ w])
@@ -206,13 +223,13 @@ def links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
                 out.append((everyone[some], counts[some], everyone[label[some]]))
             if out:
                 cls, n, near = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(near, pa.int64())], names=["class", "n", "near"])
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in (cls[:, 0], cls[:, 1], n, near[:, 0], near[:, 1])], names=["class", "first", "n", "near", "near_first"])
 
     both = pairs
     for x in "ab":
         both = both.join(blocks.select("dims", F.col("home").alias(f"home_{x}"), F.col("chunk").alias(f"chunk_{x}"), F.col("members").alias(x)), ["dims", f"home_{x}", f"chunk_{x}"])
     same = (F.col("home_a") == F.col("home_b")) & (F.col("chunk_a") == F.col("chunk_b"))
-    return both.select("dims", same.alias("same"), "a", "b").mapInArrow(run, "class long, n long, near long")
+    return both.select("dims", same.alias("same"), "a", "b").mapInArrow(run, "class long, first long, n long, near long, near_first long")
 
 
 def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, seed: int = 20) -> DataFrame:
@@ -220,7 +237,7 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "emb
 
     A null, empty or zero vector, one with a null or non-finite component, and a row without an id
     link with nothing: n_links 0, component its own id, kept.  Vectors of different length
-    never link.  Each repeated row is a vector of its own; rows of one id and different vectors
+    never link.  Ids are whole numbers.  Each repeated row is a vector of its own; rows of one id and different vectors
     are different vectors.  An empty table gives an empty result.  Other columns are not read.
     A link is missed with the chance that none of `SHARED` expected filters is shared, below one in 10,000
     for a pair just at the threshold and falling fast above it.
@@ -234,10 +251,11 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "emb
     blocks = stored(home_blocks(held), "vector-homes")
     found = stored(links(home_pairs(held, blocks), blocks, cosine), "vector-links")
     counted = found.groupBy("class").agg(F.sum("n").alias("n"))
-    parts = components(found.filter("class <> near").select(F.col("class").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "class")
-    joined = classes.select("class", "first", "w", "vec").join(counted, "class", "left").join(parts, "class", "left")
-    least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
-    answers = joined.join(least, "component", "left").select("vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("least", "first").alias("component"))
+    # nodes are numbered by the smallest id first, so that the least of a component names it
+    node, near = F.struct("first", "class"), F.struct(F.col("near_first").alias("first"), F.col("near").alias("class"))
+    parts = components(found.filter("class <> near").select(node.alias("a"), near.alias("b")))
+    named = parts.select(F.col("node.class").alias("class"), F.col("component.first").alias("least"))
+    answers = classes.join(counted, "class", "left").join(named, "class", "left").select("vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("least", "first").alias("component"))
     known = all_rows.filter(usable).join(answers, "vec").select("id", "n_links", "component")
     alone = all_rows.filter(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return known.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component"))).withColumnRenamed("id", id_col)
