@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -50,3 +54,10 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_top_links_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "e10_top_links")
+
+
+def test_library_stands_without_the_training_data_operators(tmp_path):
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; assert not [n for n in e.queries() if n == 'pipeline' or n.startswith('op')]; assert len(e.oracle_sql()) == len(e.queries()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True)
