@@ -20,8 +20,9 @@ RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
 def greedy(word, pieces):
     n = i = 0
+    longest = max(map(len, pieces), default=0)
     while i < len(word):
-        j = len(word)
+        j = min(len(word), i + longest)
         while j > i and word[i:j] not in pieces:
             j -= 1
         if j == i:
