@@ -1,13 +1,14 @@
 """Text cleaning over an html string column.
 
 Everything here is a chain of built-in string functions, so it runs per row
-with no shuffle and no Python.  Patterns are kept to the syntax that Java and
-RE2 share, which lets the same pattern be checked in another SQL engine.
+with no shuffle and no Python.  Apart from the split into lexemes, patterns are kept to the syntax that
+Java and RE2 share, which lets the same pattern be checked in another SQL engine.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +55,8 @@ LINE_END = (
     r"|table|td|th|tr|ul)\s*>|<(?:dd|div|dt|h[1-6]|li|p|tr)(?:\s[^>]*)?>|<br\s*/?>)"
 )
 
-# Named character references that occur in running text.
-ENTITIES = (
-    ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"),
-    ("bull", "•"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"),
-    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"),
-    ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("amp", "&"),
-)
-
+# Stand for ">" and "<" inside a quoted attribute value, so that a tag ends at the first ">".
+MASKED = "\ue002\ue003"
 
 # Comments and the bodies of script and style hold no markup.  One alternation,
 # matched left to right, so that a comment inside a script stays script text.
@@ -90,9 +84,34 @@ def balanced(html: Column, tags: tuple[str, ...]) -> Column:
     return opened == whole
 
 
+# The inside of a tag: a quoted value may hold ">".  Possessive, so that a long tag is read in one loop.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+LEXEME = (
+    rf"(?is)<script(?:\s{ATTRIBUTES})?>.*?(?:</script\s*>|\z)|<style(?:\s{ATTRIBUTES})?>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+    rf"|<[a-z]{ATTRIBUTES}>|[^<]++|<"
+)
+# A tag whose quoted value holds a bracket; only pages with one are split into lexemes.
+QUOTED_BRACKET = r"""(?i)<[a-z][^<>]*=\s*(?:"[^"<>]*[<>]|'[^'<>]*[<>])"""
+
+
 def drop_opaque(html: Column) -> Column:
-    """Html with each comment, script and style turned into a BREAK."""
-    return F.regexp_replace(html, OPAQUE, BREAK)
+    """Html with each comment, script and style turned into a BREAK, and brackets in quoted values masked."""
+
+    def one(part: Column) -> Column:
+        opaque = part.rlike(r"(?i)^<(?:!--|(?:script|style)[\s>])")
+        masked = F.concat(F.lit("<"), F.translate(F.substring(part, 2, 2**31 - 1), "><", MASKED))
+        tag = F.concat(F.left(masked, F.length(part) - 1), F.lit(">"))
+        return F.when(~part.rlike("^<[a-zA-Z!]"), part).when(opaque, F.lit(BREAK)).when(part.rlike("(?s)^<[a-zA-Z].*[<>].*>$"), tag).otherwise(part)
+
+    def split(h: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(h, F.lit(LEXEME), F.lit(0)), one), "")
+
+    return let(html, lambda h: F.when(h.rlike(QUOTED_BRACKET), split(h)).otherwise(F.regexp_replace(h, OPAQUE, BREAK)))
+
+
+def unmasked(text: Column) -> Column:
+    """Text out of a tag, its brackets as they were."""
+    return F.translate(text, MASKED, "><")
 
 
 def drop_elements(html: Column, tags: tuple[str, ...]) -> Column:
@@ -105,33 +124,55 @@ def drop_closed(html: Column, tags: tuple[str, ...]) -> Column:
     return F.regexp_replace(html, element_pattern(rest), BREAK)
 
 
-def _decode_numeric(text: Column) -> Column:
-    """Decimal references to characters, for code points of the basic plane."""
-    parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]{1,5};|[^&]+|&"), F.lit(0))
+def _table(pairs: dict[str, str]) -> Column:
+    """A constant map; one text, so that the plan stays small, folded into a map once."""
+    return F.str_to_map(F.lit("\ue000".join(f"{k}\ue001{v}" for k, v in pairs.items())), F.lit("\ue000"), F.lit("\ue001"))
+
+
+# The standard's table, from Python's library: names that need a semicolon, and the old ones that do without.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+LEGACY = tuple(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name)))
+COMMON = ("amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "reg", "trade", "middot", "bull", "hellip", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "euro")
+# What numbers 128 to 159 stand for: the bytes of windows-1252, or themselves where that has none.
+HIGH = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
+REFERENCE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]+;?|[^&]+|&"
 
-    def one(part: Column) -> Column:
-        code = F.regexp_extract(part, r"^&#([0-9]{1,5});$", 1).try_cast("bigint")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-        return F.when(code.between(1, 55295), char).otherwise(part)
 
-    return F.when(text.rlike("&#[0-9]{1,5};"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+def _numeric(part: Column) -> Column:
+    """The character of a decimal or hexadecimal reference, by the standard's rules."""
+    hexadecimal = part.rlike("^&#[xX]")
+    digits = F.regexp_extract(part, "^&#[xX]?0*+([0-9a-fA-F]*)", 1)
+    far = F.length(digits) > F.when(hexadecimal, 6).otherwise(7)
+    number = F.when(digits == "", 0).when(far, 0x110000).when(hexadecimal, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.cast("bigint"))
 
+    def char(n: Column) -> Column:
+        nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        replaced = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(replaced, "\ufffd").when(n.between(128, 159), F.substring(F.lit(HIGH), (n - 127).cast("int"), F.lit(1))).when(nothing, "").otherwise(plain)
 
-QUOTE, BACKSLASH = "'", chr(92)
+    return let(number, char)
 
 
-def _decode_named(text: Column) -> Column:
-    """References in ENTITIES, in one pass; "&amp;lt;" becomes "&lt;" and not "<"."""
-    names = "|".join(name for name, _ in ENTITIES)
-    parts = F.regexp_extract_all(text, F.lit(rf"&(?:{names});|[^&]+|&"), F.lit(0))
-    pairs = [f"'&{name};', '{char.replace(QUOTE, BACKSLASH + QUOTE)}'" for name, char in ENTITIES]
-    table = F.expr(f"map({', '.join(pairs)})")
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+def _named(part: Column) -> Column:
+    """A name with its semicolon, or else the longest old name it begins with; other text stays."""
+    name = F.regexp_extract(part, "^&([a-zA-Z0-9]+);$", 1)
+    known = F.coalesce(F.try_element_at(_table({n: NAMED[n] for n in COMMON}), name), F.try_element_at(_table(NAMED), name))
+    prefix = F.regexp_extract(part, f"^&({'|'.join(LEGACY)})", 1)
+    old = F.concat(F.try_element_at(_table({n: html5[n] for n in LEGACY}), prefix), F.substr(part, F.length(prefix) + 2))
+    return F.coalesce(F.when(name != "", known), F.when(prefix != "", old), part)
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and decimal character references, skipped for text without '&'."""
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _decode_named(_decode_numeric(t))).otherwise(t))
+    """Text with its character references decoded as the html standard says; text without "&" is left alone."""
+
+    def one(part: Column) -> Column:
+        return F.when(part.startswith("&#") & (F.length(part) > 2), _numeric(part)).when(part.startswith("&") & (F.length(part) > 1), _named(part)).otherwise(part)
+
+    def decoded(t: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), one), "")
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def collapse_space(text: Column) -> Column:

@@ -19,7 +19,7 @@ MIN_SCORE = 2.0
 def _attribute(tag: Column, name: str) -> Column:
     pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), H.decode_entities(value))
+    return F.when(tag.rlike(pattern), H.decode_entities(H.unmasked(value)))
 
 
 def page_anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -63,7 +63,7 @@ def element_intervals(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per closed element: key, tag, start_pos, end_pos, open_tag."""
     marked = with_element_end(page_tokens(pages, key), key)
     return marked.filter("end_pos IS NOT NULL").select(
-        key, "tag", F.col("pos").alias("start_pos"), "end_pos", F.col("token").alias("open_tag")
+        key, "tag", F.col("pos").alias("start_pos"), "end_pos", H.unmasked(F.col("token")).alias("open_tag")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as library
 import random
 import re
 from html.parser import HTMLParser
@@ -14,6 +15,10 @@ from pagetide.operators import links as K
 from pagetide.operators import text as T
 
 VOID = set(T.VOID_TAGS)
+# Tags before whose end, or before which, a reader sees a line end.
+ENDS = {"address", "article", "aside", "blockquote", "caption", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+        "header", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
+STARTS = {"dd", "div", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "tr", "br"}
 
 
 class Walk(HTMLParser):
@@ -21,9 +26,11 @@ class Walk(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.nodes, self.anchors, self.elements = [], [], [], []
+        self.stack, self.nodes, self.anchors, self.elements, self.lined = [], [], [], [], []
 
     def handle_starttag(self, tag, attrs):
+        if tag in STARTS:
+            self.lined.append((H.LINE, list(self.stack)))
         if tag in VOID:
             return
         element = {"tag": tag, "attrs": dict(attrs), "text": []}
@@ -34,6 +41,8 @@ class Walk(HTMLParser):
         self.elements.append(list(self.stack))
 
     def handle_endtag(self, tag):
+        if tag in ENDS:
+            self.lined.append((H.LINE, list(self.stack)))
         if self.stack and self.stack[-1]["tag"] == tag:
             self.stack.pop()
 
@@ -43,6 +52,7 @@ class Walk(HTMLParser):
         for e in self.stack:
             e["text"].append(data.strip())
         self.nodes.append((data, list(self.stack)))
+        self.lined.append((data, list(self.stack)))
 
 
 def is_noise(element, attributes=True):
@@ -67,9 +77,9 @@ def expected_filtered(html):
     return squeeze(d for d, path in walk(html).nodes if not any(is_noise(e) for e in path))
 
 
-def expected_main(html):
+def expected_main(html, lined=False):
     tree = walk(html)
-    nodes = [(d, path) for d, path in tree.nodes if not any(is_noise(e, False) for e in path)]
+    nodes = [(d, path) for d, path in (tree.lined if lined else tree.nodes) if not any(is_noise(e, False) for e in path)]
     shown = [path[-1] for path in tree.elements if not any(is_noise(e, False) for e in path)]
     for tag in T.MAIN_TAGS:
         first = next((e for e in shown if e["tag"] == tag), None)
@@ -78,15 +88,22 @@ def expected_main(html):
     return squeeze(d for d, _ in nodes)
 
 
+def expected_lines(html):
+    """The main text with a line break where line ends stand between its words."""
+    return re.sub(f"[ {H.LINE}]*{H.LINE}[ {H.LINE}]*", "\n", expected_main(html, True)).strip()
+
+
 def random_page(seed):
     rng = random.Random(seed)
-    words = ["call", "for papers", "due &amp; open", "10 &lt; 20", "&copy; 2024", "two\n lines ", "Straße", "a&nbsp;b", "x&#228;y", "news."]
+    words = ["call", "for papers", "due &amp; open", "10 &lt; 20", "&copy; 2024", "two\n lines ", "Straße", "a&nbsp;b", "x&#228;y", "news.", "&uuml;ber &#x2019;x &#128640;", "&notit; &ampx", "3 &gt 2 & 1"]
     tags = ["div", "p", "section", "article", "nav", "main", "ul", "li", "aside", "footer", "span", "a", "table", "td"]
-    classes = ["", ' class="menu"', ' class="ad"', " class='top ad-slot x'", ' id="Social-Box"', ' data-x="menu"', ' class="lead"', " id=sidebar"]
+    classes = ["", ' class="menu"', ' class="ad"', " class='top ad-slot x'", ' id="Social-Box"', ' data-x="menu"', ' class="lead"', " id=sidebar",
+               ' title="a > b"', " data-y='<nav> x'", ' data-z = "</p>" class="lead"', " alt=\"it's > 1\"", " data-q=a'b"]
 
     def element(depth):
         tag = rng.choice(tags)
-        attrs = f' href="/{rng.randrange(9)}"' if tag == "a" else rng.choice(classes)
+        title = rng.choice(["", ' title="x > y"', " title='<b>'"])
+        attrs = f'{title} href="/{rng.randrange(9)}"' if tag == "a" else rng.choice(classes)
         inner = "".join(piece(depth + 1) for _ in range(rng.randrange(4)))
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
@@ -94,6 +111,8 @@ def random_page(seed):
         kind = rng.random()
         if kind < 0.45 or depth > 5:
             return f" {rng.choice(words)} "
+        if kind < 0.47:
+            return '<script data-x="a > b">if (a < b) { x = "<p class=menu>"; }</script>'
         if kind < 0.5:
             return '<script>var t = "</p><nav>"; // <!-- x</script>'
         if kind < 0.55:
@@ -146,7 +165,7 @@ def test_page_texts_agree_with_the_single_operators(spark, pages):
     df, html = pages
     rows = {r["page_id"]: r for r in T.page_texts(df, F.array(F.lit("call"), F.lit("due"))).collect()}
     assert {k: r["filtered_text"] for k, r in rows.items()} == {k: expected_filtered(h) for k, h in html.items()}
-    assert {k: r["main_text"] for k, r in rows.items()} == {k: expected_main(h) for k, h in html.items()}
+    assert {k: r["main_text"] for k, r in rows.items()} == {k: expected_lines(h) for k, h in html.items()}
     alone = {r[0]: r[1] for r in T.page_snippets(df, F.array(F.lit("call"), F.lit("due"))).collect()}
     assert {k: r["snippets"] for k, r in rows.items()} == alone
 
@@ -185,6 +204,31 @@ def test_clean_text(evaluate, html, text):
     assert evaluate(H.clean_text(F.lit(html))) == text
 
 
+def reference(rng):
+    numbers = [0, 1, 9, 10, 11, 13, 31, 65, 127, 128, 130, 150, 159, 160, 300, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFFFE, 0xFFFF, 0x1F680, 0x10FFFF, 0x110000, 10**12]
+    number = rng.choice([*numbers, rng.randrange(0x110000)])
+    name = rng.choice(list(H.html5))
+    return rng.choice([
+        f"&{name}", f"&{name.rstrip(';')}{rng.choice(['', 'x', ';', '=1;', ' '])}", f"&#{number}{rng.choice(['', ';', ' '])}",
+        f"&#{rng.choice('xX')}{number:x}{rng.choice(['', ';', 'z'])}", rng.choice(["a", "&", " ", "&#", "&#x;", ";", "&#;", "&a;", "&&amp;", "&notin;", "&ampamp;", "&#000000000065;"]),
+    ])
+
+
+def test_references_as_the_library_reads_them(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(reference(rng) for _ in range(rng.randrange(9)))) for i in range(3000)]
+    got = spark.createDataFrame(rows, "i int, t string").select("t", H.decode_entities(F.col("t")).alias("d")).collect()
+    assert [r for r in got if r["d"] != library.unescape(r["t"])] == []
+
+
+def test_quoted_brackets(spark):
+    page = '<p>one</p><a title="a > b" href="/x?a=1&amp;b=2">go</a><img alt="<nav>"> two <a href=\'/y\' title=\'2 < 3\'>on</a><script x=">">"</p>"</script><p class="b > menu">gone</p>'
+    df = spark.createDataFrame([(1, "https://s.example.org/", page)], "page_id int, url string, html string")
+    assert T.filtered_text(df).first()["filtered_text"] == "one go two on"
+    assert [(r["href"], r["text"], r["title"]) for r in K.page_anchors(df).orderBy("pos").collect()] == [("/x?a=1&b=2", "go", "a > b"), ("/y", "on", "2 < 3")]
+    assert {r["open_tag"] for r in T.element_intervals(df).collect()} >= {'<a title="a > b" href="/x?a=1&amp;b=2">', '<p class="b > menu">'}
+
+
 def test_class_ad_alone_is_no_noise(evaluate):
     assert not evaluate(F.lit('<div class="ad">').rlike(H.noise_attr_pattern()))
     assert evaluate(F.lit('<div class="x ad-top">').rlike(H.noise_attr_pattern()))
