@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetide.checks import sql as Q
 from pagetide.checks.registry import plain, query
 from pagetide.plans import derived as V
+from pagetide.plans.run import run_scan
 from pagetide.sources import schemas
 from pagetide.sources.scratch import scratch_path
 from pagetide.sources.tables import TableStore
@@ -46,13 +47,44 @@ def incremental(spark, d):
     store.create()
     keywords = F.array(F.lit("deadline"), F.lit("call for papers"))
     for column, at in (("old_html", "2024-01-31 06:00:00"), ("new_html", "2024-02-01 06:00:00")):
-        versions(spark, d, column, at).select(*schemas.SNAPSHOTS.fieldNames()).write.mode("append").parquet(landing)
+        versions(spark, d, column, at).write.mode("append").parquet(landing)
         I.start_scanning(I.landed_snapshots(spark, landing), store, keywords, checkpoint).awaitTermination()
     audited = store.audit().groupBy("target_id").agg(F.count(F.lit(1)).alias("audit_rows"))
     columns = ("target_id", "binary_hash", "filtered_hash", "watch_mode", "next_run_at", "no_change_streak", "total_scans")
     return plain(store.state().select(*columns).join(audited, "target_id"))
 
 
+RUNS = (("first", "old_html", "2024-01-31 06:00:00"), ("second", "new_html", "2024-02-01 06:00:00"), ("third", "new_html", "2024-03-02 06:00:00"))
+
+
+@query("j1_whole_runs", f"""WITH {Q.SNAPSHOT_PAIRS},
+h AS (SELECT page_id, old_html, new_html, {Q.clean('old_html')} AS o, {Q.clean('new_html')} AS n FROM snapshot_pairs),
+c AS (SELECT page_id, old_html IS NOT NULL AND old_html <> new_html AND o <> n AS changed, old_html IS NULL AS fresh FROM h),
+r AS (
+  SELECT page_id, '2024-01-31 06:00:00.000000' AS scan_ts, false AS changed FROM c WHERE NOT fresh UNION ALL
+  SELECT page_id, '2024-02-01 06:00:00.000000', false FROM c WHERE fresh UNION ALL
+  SELECT page_id, '2024-03-02 06:00:00.000000', changed FROM c)
+SELECT CAST(page_id AS VARCHAR) AS target_id, scan_ts, changed AS change_detected, CASE WHEN changed THEN 'FILTERED' ELSE 'NONE' END AS change_type,
+  'MONTHLY' AS previous_watch_mode, CASE WHEN changed THEN 'BIWEEKLY' ELSE 'MONTHLY' END AS new_watch_mode,
+  CASE WHEN changed THEN 'CONTENT_UPDATED_NO_DATES' ELSE 'NO_CHANGE' END AS transition_reason,
+  CASE WHEN NOT changed THEN NULL WHEN page_id % 3 = 0 THEN 'Reply ' || page_id ELSE 'Content updated' END AS summary,
+  page_id / 100 AS scan_duration_seconds, changed AND page_id % 3 = 0 AS llm_api_called, scan_ts NOT LIKE '2024-02%' AS email_sent
+FROM r""")
+def whole_runs(spark, d):
+    """Three runs over all pages as targets: the second finds only those due that the first had no page for, and its report does not go out."""
+    store = TableStore(spark, scratch_path(spark, "store"))
+    V.prepare(spark)
+    store.create()
+    number = F.col("target_id").cast("bigint")
+    targets = V.snapshot_pairs(spark, d).select(F.col("page_id").cast("string").alias("target_id"), F.col("url").alias("primary_url"))
+    for run, column, at in RUNS:
+        pages = versions(spark, d, column, at).withColumn("fetch_duration_ms", number * 10)
+        replies = pages.filter(number % 3 == 0).select("target_id", "scan_ts", F.concat(F.lit("Reply "), "target_id").alias("summary"))
+        run_scan(store, targets, pages, F.array(F.lit("no such words")), run, F.lit(at).cast("timestamp"), replies=replies, deliver=lambda report: report.run != "second")
+    columns = [c for c in store.audit().columns if c not in ("audit_id", "day", "hamming_distance", "deadlines_found", "fetch_method")]
+    return plain(store.audit().select(*columns))
+
+
 @query("j2_streaming_watch_modes", Q.with_watch(f"""
 SELECT target_id, arg_max(new_watch_mode, (scan_ts, event_id)) AS watch_mode, count(*) AS scans, count(*) FILTER (NOT ok) AS failures,
   {Q.ts('max(scan_ts)')} AS last_scan_at FROM watch GROUP BY 1"""))

@@ -98,7 +98,7 @@ def scan_batch(
     """Scan results: one row per snapshot with its decision and next watch state.
 
     `snapshots` follows the snapshot schema and may carry `error`; a snapshot
-    with an error is a failed scan.  A target may have any number of them, at
+    with an error is a failed scan; `fetch_duration_ms` is how long it took.  A target may have any number of them, at
     different times: each is compared to the one before it, the first to
     `state`.  This is done for all at once, with running values over time
     chunks, so a target that fills much of the batch is spread over tasks.
@@ -108,8 +108,9 @@ def scan_batch(
     folder, as three later steps read them.  `keywords` are in lower case.
     """
     error = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string")
+    took = F.col("fetch_duration_ms") if "fetch_duration_ms" in snapshots.columns else F.lit(None).cast("bigint")
     pages = snapshots.select(
-        *SNAPSHOT, "url", "fetch_method", error.alias("error"), F.coalesce("html", F.lit("")).alias("html")
+        *SNAPSHOT, "url", "fetch_method", error.alias("error"), took.alias("fetch_duration_ms"), F.coalesce("html", F.lit("")).alias("html")
     ).withColumn("binary_hash", F.when(F.col("error").isNull(), X.sha256_hex(F.col("html"))))
     known = state.select(
         "target_id", F.col("binary_hash").alias("first_binary"), F.col("filtered_hash").alias("first_filtered"),
@@ -181,13 +182,20 @@ def _watched(scans: DataFrame, state: DataFrame, run_id: Column, chunk_seconds:
 
 
 def scan_tables(results: DataFrame, state: DataFrame) -> ScanTables:
-    """State rows and log rows of scan results that started from `state`."""
+    """State rows and log rows of scan results that started from `state`.
+
+    `summary`, `llm_api_called` and `email_sent` are taken from `results` where it has them.
+    """
     ok = F.col("status") == "succeeded"
+    for column, missing in (("summary", F.lit(None).cast("string")), ("llm_api_called", F.lit(False)), ("email_sent", F.lit(False))):
+        if column not in results.columns:
+            results = results.withColumn(column, missing)
     good = F.when(ok, F.col("scan_ts"))
     per_target = results.groupBy("target_id").agg(
         F.max_by(F.struct("url", "new_watch_mode", "no_change_streak", "error_streak", "error", "scan_ts"), "scan_ts").alias("l"),
         F.max_by(F.struct("scan_ts", "next_run_at", "binary_hash", "filtered_hash", "simhash"), good).alias("s"),
         F.max_by("deadlines_found", F.when(F.size("deadlines_found") > 0, F.col("scan_ts"))).alias("found"),
+        F.max_by("summary", F.when(F.col("summary") != "", F.col("scan_ts"))).alias("told"),
         F.count_if(ok).alias("scans"), F.min("scan_ts").alias("first_ts"),
     )
     rows = per_target.join(state.alias("o"), "target_id", "left")
@@ -198,7 +206,7 @@ def scan_tables(results: DataFrame, state: DataFrame) -> ScanTables:
         "last_scan_at": F.coalesce("s.scan_ts", "o.last_scan_at"),
         "is_active": F.coalesce("o.is_active", F.lit(True)),
         "current_deadlines": F.coalesce("found", "o.current_deadlines", schemas.empty_list(schemas.DEADLINES)),
-        "current_summary": F.col("o.current_summary"),
+        "current_summary": F.coalesce("told", "o.current_summary"),
         "tracked_links": F.coalesce("o.tracked_links", schemas.empty_list(schemas.LINKS)),
         "no_change_streak": F.col("l.no_change_streak"),
         "error_streak": F.col("l.error_streak"),
@@ -214,12 +222,12 @@ def scan_tables(results: DataFrame, state: DataFrame) -> ScanTables:
     method = F.when(ok, F.col("fetch_method")).alias("fetch_method")
     audit = results.select(
         scan_id.alias("audit_id"), "target_id", "scan_ts", "change_detected", "change_type", "hamming_distance", "deadlines_found",
-        F.lit(None).cast("string").alias("summary"), "previous_watch_mode", "new_watch_mode", "transition_reason", method,
-        F.lit(0.0).alias("scan_duration_seconds"), F.lit(False).alias("llm_api_called"), F.lit(False).alias("email_sent"),
+        "summary", "previous_watch_mode", "new_watch_mode", "transition_reason", method,
+        F.coalesce(F.when(ok, F.col("fetch_duration_ms") / 1000), F.lit(0.0)).alias("scan_duration_seconds"), "llm_api_called", "email_sent",
     )
     history = results.select(
         scan_id.alias("run_id"), "target_id", "url", F.col("scan_ts").alias("started_at"), F.col("scan_ts").alias("completed_at"), "status",
-        method, F.lit(None).cast("bigint").alias("fetch_duration_ms"),
+        method, F.when(ok, F.col("fetch_duration_ms")).alias("fetch_duration_ms"),
         F.when(ok, F.col("change_detected")).alias("change_detected"), F.when(ok, F.col("deadlines_count")).alias("deadlines_count"),
         F.when(ok, M.notification_class(F.col("change_detected"), F.col("deadlines_count"))).alias("email_type"),
         F.when(~ok, F.col("error")).alias("error_details"),

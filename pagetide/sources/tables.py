@@ -4,15 +4,22 @@ The state table is rewritten as a whole on every run: a new snapshot folder is
 written and becomes current once Spark has put its _SUCCESS file there, so a
 reader never sees half a table and a failed run leaves the old one in place.
 Audit and history only grow; both are partitioned by day.
+
+A run writes to all three as one transaction.  It takes a number by creating
+`runs/<number>.started`, writes folders of that number, and one rename to
+`runs/<number>.<run>` makes them visible together.  Readers leave out the numbers
+that were started and not finished, so a run that dies between two tables never shows.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from pagetide.sources import schemas
 
@@ -90,6 +97,10 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 
 # ---- tables on disk ---------------------------------------------------------
 
+class RunConflict(Exception):
+    """Another run has finished since this one read the state."""
+
+
 class TableStore:
     """The three tables below one root folder."""
 
@@ -102,18 +113,39 @@ class TableStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _runs(self) -> tuple[dict[int, str], set[int]]:
+        """The names of finished runs by number, and the numbers that were only started; one listing."""
+        fs, path = self._fs()
+        done, started = {}, set()
+        if fs.exists(path(f"{self.root}/runs")):
+            for entry in fs.listStatus(path(f"{self.root}/runs")):
+                number, _, run = entry.getPath().getName().partition(".")
+                if run == "started":
+                    started.add(int(number))
+                else:
+                    done[int(number)] = run
+        return done, started
+
     def _snapshots(self) -> list[tuple[int, str, str]]:
-        """Number, batch and folder of the finished state snapshots, rising; one listing."""
+        """Number, batch or run, and folder of the finished state snapshots, rising."""
         fs, path = self._fs()
         if not fs.exists(path(f"{self.root}/state")):
             return []
+        runs, _ = self._runs()
         found = []
-        for entry in fs.globStatus(path(f"{self.root}/state/snapshot=*/_SUCCESS")):
+        for entry in fs.globStatus(path(f"{self.root}/state/*/_SUCCESS")):
             name = entry.getPath().getParent().getName()
-            number, _, batch = name.removeprefix("snapshot=").partition(".")
-            found.append((int(number), batch, name))
+            kind, _, rest = name.partition("=")
+            number, _, batch = rest.partition(".")
+            if kind == "snapshot" or int(number) in runs:
+                found.append((int(number), batch if kind == "snapshot" else runs[int(number)], name))
         return sorted(found)
 
+    def _last_number(self) -> int:
+        """The greatest number that a snapshot or run has taken, finished or not; -1 without one."""
+        done, started = self._runs()
+        return max([-1, *done, *started, *(number for number, _, _ in self._snapshots())])
+
     def create(self) -> None:
         """Write the empty tables; existing ones are left alone."""
         if not self._snapshots():
@@ -131,8 +163,8 @@ class TableStore:
         return self.spark.read.schema(schemas.STATE).parquet(f"{self.root}/state/{done[-1]}")
 
     def has_batch(self, batch: str) -> bool:
-        """Whether a finished snapshot was written for this batch."""
-        return any(held == batch for _, held, _ in self._snapshots())
+        """Whether a finished snapshot or run was written for this batch."""
+        return any(held == batch for _, held, _ in self._snapshots()) or batch in self._runs()[0].values()
 
     def write_state(self, rows: DataFrame, batch: str = "") -> int:
         """Write the next snapshot; returns its number.
@@ -141,30 +173,83 @@ class TableStore:
         `batch` (letters, digits, "-") is kept with the snapshot: a stream sees
         by it that a repeated batch is already in.
         """
-        done = self._snapshots()
-        number = done[-1][0] + 1 if done else 0
+        number = self._last_number() + 1
         name = f"snapshot={number}" + (f".{batch}" if batch else "")
         # a failed run may have left part of this folder; only a finished one counts
         rows.select(*schemas.STATE.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/state/{name}")
         return number
 
+    def version(self) -> int:
+        """Number of the newest finished snapshot; -1 without one."""
+        return max((number for number, _, _ in self._snapshots()), default=-1)
+
+    def begin(self) -> int:
+        """Take the next number for a run."""
+        fs, path = self._fs()
+        fs.mkdirs(path(f"{self.root}/runs"))
+        number = self._last_number() + 1
+        while not fs.createNewFile(path(f"{self.root}/runs/{number}.started")):
+            number += 1
+        return number
+
+    def write_run(self, run: str, base: int, state: DataFrame, audit: DataFrame, history: DataFrame, note: dict | None = None) -> int:
+        """Write the three tables of a run, which become visible together; returns its number.
+
+        `run` (letters, digits, "-") names it: see `has_batch`.  `base` is the `version` the run started
+        from; if a newer one is there by now, RunConflict is raised and nothing is seen of this run.
+        `note` is kept with the run.
+        """
+        if not re.fullmatch("[A-Za-z0-9-]+", run) or run == "started":
+            raise ValueError(f"not a name of a run: {run!r}")
+        number = self.begin()
+        state.select(*schemas.STATE.fieldNames()).write.parquet(f"{self.root}/state/run={number}")
+        for name, rows in (("audit", audit), ("history", history)):
+            self._by_day(rows, name).write.partitionBy("day").parquet(f"{self.root}/{name}_of_runs/run={number}")
+        if self.version() != base:
+            raise RunConflict(f"run {run!r} started from {base}, the store is at {self.version()}")
+        fs, path = self._fs()
+        begun = path(f"{self.root}/runs/{number}.started")
+        out = fs.create(begun, True)
+        out.write(json.dumps(note or {}).encode())
+        out.close()
+        if not fs.rename(begun, path(f"{self.root}/runs/{number}.{run}")):
+            raise RunConflict(f"run {run!r} could not be finished")
+        return number
+
+    def note(self, run: str) -> dict | None:
+        """What was kept with the newest finished run of this name."""
+        number = max((n for n, held in self._runs()[0].items() if held == run), default=None)
+        if number is None:
+            return None
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.root}/runs/{number}.{run}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
     def retire(self, keep: int = 10) -> int:
-        """Delete all state snapshots but the newest `keep`; returns how many went.
+        """Delete all state snapshots but the newest `keep`, and what unfinished runs have left; returns how many snapshots went.
 
-        For a time when no reader uses an older one.  A stream looks for its last
+        For a time when no reader uses an older one and no run is under way.  A stream looks for its last
         batch only, so keep at least the snapshots written since that batch.
         """
         fs, path = self._fs()
         old = self._snapshots()[:-max(keep, 1)]
         for _, _, name in old:
             fs.delete(path(f"{self.root}/state/{name}"), True)
+        for number in self._runs()[1]:
+            for part in ("state", "audit_of_runs", "history_of_runs"):
+                fs.delete(path(f"{self.root}/{part}/run={number}"), True)
         return len(old)
 
-    def _append(self, rows: DataFrame, name: str) -> None:
+    def _by_day(self, rows: DataFrame, name: str) -> DataFrame:
+        """Shaped rows with their day: few files per day, and several for a day too large for one task."""
         day = {"audit": "scan_ts", "history": "started_at"}[name]
-        shaped = rows.select(*schemas.TABLES[name].fieldNames()).withColumn("day", F.to_date(day))
-        # Few files per day, and several for a day too large for one task.
-        shaped.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(f"{self.root}/{name}")
+        return rows.select(*schemas.TABLES[name].fieldNames()).withColumn("day", F.to_date(day)).hint("rebalance", F.col("day"))
+
+    def _append(self, rows: DataFrame, name: str) -> None:
+        self._by_day(rows, name).write.mode("append").partitionBy("day").parquet(f"{self.root}/{name}")
 
     def append_audit(self, rows: DataFrame) -> None:
         self._append(rows, "audit")
@@ -186,8 +271,14 @@ class TableStore:
         self._append(rows.join(held, schemas.KEYS[name], "left_anti"), name)
 
     def _log(self, name: str) -> DataFrame:
+        """Rows appended by themselves and those of finished runs; a filter on `day` prunes both."""
         shape = StructType([*schemas.TABLES[name].fields, StructField("day", DateType())])
-        return self.spark.read.schema(shape).parquet(f"{self.root}/{name}")
+        alone = self.spark.read.schema(shape).parquet(f"{self.root}/{name}")
+        done, started = self._runs()
+        if not done:
+            return alone
+        of_runs = self.spark.read.schema(StructType([*shape.fields, StructField("run", LongType())])).parquet(f"{self.root}/{name}_of_runs")
+        return alone.unionByName(of_runs.filter(~F.col("run").isin(*started)).drop("run") if started else of_runs.drop("run"))
 
     def audit(self) -> DataFrame:
         return self._log("audit")

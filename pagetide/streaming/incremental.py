@@ -24,11 +24,10 @@ def landed_snapshots(spark: SparkSession, folder: str, files_per_trigger: int |
 def scan_into(store: TableStore, keywords: Column, stream: str = "stream"):
     """A foreachBatch function that scans a batch and writes the three tables.
 
-    State goes last, under the next snapshot number, with the batch's name: the
+    The batch is one run of the store (see `write_run`), named by the
     id of the query, which its checkpoint keeps, or `stream` outside of one.  A
-    batch delivered again after a failure finds its name there and is done; if
-    it failed before, log rows that are already in are not appended again.  Runs
-    of other writers in between are kept, as each starts from the newest state.
+    batch delivered again after it was finished is left alone; what an unfinished one
+    has written is never seen.  Runs of other writers in between are kept, as each starts from the newest state.
 
     Redelivered snapshots, of the same target and time, count once.  One older
     than the target's last scan is written to audit as late and changes nothing.
@@ -39,14 +38,12 @@ def scan_into(store: TableStore, keywords: Column, stream: str = "stream"):
         name = f"{query}-{batch_id}"
         if store.has_batch(name):
             return
-        state = store.state()
+        base, state = store.version(), store.state()
         run = F.lit(f"batch-{name}")
         once = batch.dropDuplicates(["target_id", "scan_ts"])
         results = cut(scan_batch(on_time(once, state), state, keywords, run))
         added = scan_tables(results, state)
-        store.append_once(added.audit.unionByName(late_audit(once, state, run)), "audit")
-        store.append_once(added.history, "history")
-        store.write_state(upsert(state, added.state, ["target_id"]), name)
+        store.write_run(name, base, upsert(state, added.state, ["target_id"]), added.audit.unionByName(late_audit(once, state, run)), added.history)
 
     return scan
 
