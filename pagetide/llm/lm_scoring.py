@@ -37,7 +37,7 @@ PART = 1 << 17
 #: Grams with log probabilities that go to every task, at most; the others are joined.
 CACHED = 1 << 20
 #: Words with counts that go to every task, at most; the others are joined.
-DICTIONARY = 1 << 19
+DICTIONARY = 1 << 17
 #: Entries a task gathers before it hands them on.
 GATHERED = 1 << 20
 
@@ -84,7 +84,8 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
         for batch in batches(parts, "text", 2 << 20):
             found = [t.as_py() or b"" for t in pc.cast(batch.column("text"), pa.binary())]
             learn = batch.column("learn").to_pylist()
-            words[b""] += sum(learn)
+            if any(learn):
+                words[b""] += sum(learn)
             for text in (t for t, own in zip(found, learn, strict=True) if own):
                 words.update(text.split())
             grams, sizes = text_grams(found, depth)
@@ -362,23 +363,23 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH, cached: int
     frequent = words.filter(power >= least).toArrow()
     ends = words.filter(F.octet_length("word") == 0).collect()
     n_ends = ends[0]["c"] if ends else 0
-    known = dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist(), strict=True))
-    known[b""] = n_ends
-    shared = spark.sparkContext.broadcast((known, kept["gram"].to_numpy().astype(np.uint64), kept["log"].to_numpy()))
+    # with the logarithm of each count; the end has its own, wherever the bound lies
+    end = math.log10(n_ends + 0.5) if n_ends else 0.0
+    frequent = dict(zip(frequent["word"].to_pylist(), np.log10(frequent["c"].to_numpy() + 0.5).tolist(), strict=True))
+    shared = spark.sparkContext.broadcast((frequent, kept["gram"].to_numpy().astype(np.uint64), kept["log"].to_numpy()))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *logged = shared.value
-        logs = {w: math.log10(c + 0.5) for w, c in known.items()}
+        logs, *logged = shared.value
         scorer = Known(*logged)
-        for batch in batches(parts, "text", 4 << 20):
+        for batch in batches(parts, "text", 1 << 20):
             texts = [t.as_py() or b"" for t in pc.cast(batch.column("text"), pa.binary())]
             n_tokens, n_known, found, rare, times = [], [], [], [], []
             for text in texts:
                 tokens = text.split()
                 other = Counter([t for t in tokens if t not in logs])
                 n_tokens.append(len(tokens) + 1)
-                n_known.append(len(tokens) - other.total() + (known[b""] > 0))
-                found.append(math.fsum(logs[t] for t in tokens if t in logs) + (logs[b""] if known[b""] else 0.0))
+                n_known.append(len(tokens) - other.total() + (n_ends > 0))
+                found.append(math.fsum(logs[t] for t in tokens if t in logs) + end)
                 rare.append(list(other))
                 times.append(list(other.values()))
             score, others, repeats = scorer.scores(texts, depth)
