@@ -18,7 +18,8 @@ What is sorted is first cut down without losing a match.  Every string of
 `width` bytes holds a minimizer, the smallest hash among its 20-byte grams, so
 strings that recur hold one found in two documents; other text is left out.  The
 rest is cut at places that depend on content only; equal pieces are sorted once,
-for the smallest id that has them, so thousands of copies cost one.
+for the smallest id that has them, so thousands of copies cost one.  These pieces are
+filtered once more, by grams nearly as long as the strings, which common phrases do not pass.
 
 Spark shuffles packed arrays by bucket (of hashes) or page (of pieces); a task
 sorts one bucket with numpy.  Buckets are many times `spark.sql.shuffle.partitions`;
@@ -44,14 +45,18 @@ from pagetide.llm.word_hashes import _powers, mix
 
 WIDTH = 50
 GRAM = 20
+#: Grams of the second filter are so many bytes shorter than the strings.
+SHORTER = 6
 LETTERS = 24
 #: Minimizers a task gathers before it hands them on.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: Pieces are cut at one minimizer in so many, but hold no fewer and no more starts than these.
 CUT_EVERY, LEAST, MOST = 8, 64, 4096
 _BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: The two large sorts go bucket by bucket in so many turns: only one turn's shuffle is on disk at a time.
-SLICES = 4
+SLICES = 2
+#: Pieces are joined with their names by pages of 2 to the power of so many.
+PAGE = 8
 #: In place of an id: nobody waits for an answer.
 NOBODY = np.int64(-(1 << 63))
 #: Bytes hashed in one go.
@@ -83,12 +88,12 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return extreme(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def minimizers(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimizers(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions (sorted) and hashes of all grams that are smallest in some string of `width` bytes, and the smallest hash in every string; none in a shorter text."""
-    span = width - GRAM + 1
+    span = width - gram + 1
     if len(data) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    hashes = gram_hashes(data, GRAM)
+    hashes = gram_hashes(data, gram)
     lows = sliding(hashes, span, True)
     # a gram is a minimizer if the largest of the lows over it is itself
     edge = np.zeros(span - 1, np.uint64)
@@ -145,7 +150,7 @@ def sliced(make: Callable[[int], DataFrame], name: str) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
+def recurring(docs: DataFrame, buckets: int, width: int, gram: int = GRAM) -> DataFrame:
     """doc and `hashes` (packed, several rows a document): its minimizers that stand in another document too.
 
     A task keeps one entry per hash: where it has seen a hash in two documents
@@ -176,7 +181,7 @@ def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
         hashes, ids, held = [], [], 0
         for batch in batches(parts, "text", 4 << 20):
             for doc, text in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), strict=True):
-                _, found, _ = minimizers(np.frombuffer(text.as_py(), np.uint8), width)
+                _, found, _ = minimizers(np.frombuffer(text.as_py(), np.uint8), width, gram)
                 if len(found):
                     found = np.unique(found)
                     hashes.append(found)
@@ -206,7 +211,7 @@ def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(answered, "doc long, hashes binary")
 
 
-def pieces(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+def pieces(docs: DataFrame, found: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
     """Pieces of the text around recurring minimizers: doc, start, starts (how many strings begin in it), digest, data."""
     hashes = found.groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
 
@@ -216,7 +221,7 @@ def pieces(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
             for doc, text, known in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), batch.column("hashes"), strict=True):
                 text = text.as_py()
                 data = np.frombuffer(text, np.uint8)
-                at, here, lows = minimizers(data, width)
+                at, here, lows = minimizers(data, width, gram)
                 recur = np.sort(np.frombuffer(b"".join(known.as_py()), "<u8"))
                 # a string can recur only if its lowest gram does
                 hit = recur[np.minimum(np.searchsorted(recur, lows), len(recur) - 1)] == lows
@@ -251,7 +256,7 @@ def _rows(bucket: np.ndarray, *columns: tuple[np.ndarray, str]) -> pa.RecordBatc
 
 def _answers(pid: np.ndarray, off: np.ndarray, value: np.ndarray) -> pa.Table:
     """Answers packed by page of pieces."""
-    batch = _rows(pid >> 10, (pid, "n"), (off, "n"), (value, "n"))
+    batch = _rows(pid >> PAGE, (pid, "n"), (off, "n"), (value, "n"))
     return pa.Table.from_batches([batch.rename_columns(["page", "pid", "off", "value"])])
 
 
@@ -314,7 +319,7 @@ def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                 continue
             view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
             letters = [np.ascontiguousarray(view[at + 8 * k]).view("<u8").ravel() for k in range(3)]
-            # the triple as one number; the next round compares both halves of 48 bytes, so a chance collision decides nothing
+            # the triple as one number of 64 bits: that two different triples of a corpus share one has a chance of about their number's square / 2^65
             triple = mix(letters[0] + mix(letters[1] + mix(letters[2])))
             bucket = (triple >> np.uint64(20)) % np.uint64(buckets)
             mine = bucket % np.uint64(SLICES) == part
@@ -405,8 +410,16 @@ def removed_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     places = stored(cut.select("doc", "start", "starts", "digest"), "places")
     dropped(cut)
     released(spark)
-    numbered = numbered.withColumn("page", F.shiftright("pid", 10))
-    flags = suffix_matches(numbered, buckets, width)
+    own = numbered.select(F.col("pid").alias("doc"), F.col("data").alias("text"))
+    gram = max(GRAM, width - SHORTER)
+    found = stored(recurring(own, buckets, width, gram), "recurring")
+    released(spark)
+    # pieces of pieces: the one each comes from, and where it begins there
+    parts = pieces(own, found, width, gram).select(F.col("doc").alias("whole"), F.col("start").alias("begin"), "starts", "data")
+    narrow = stored(parts.join(numbered.select(F.col("pid").alias("whole"), "doc"), "whole").withColumn("pid", F.monotonically_increasing_id()), "narrow")
+    dropped(found)
+    released(spark)
+    flags = suffix_matches(narrow.withColumn("page", F.shiftright("pid", PAGE)), buckets, width)
 
     def by_piece(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -415,7 +428,8 @@ def removed_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
             rows = [(int(pid[order[b]]), _packed(off[order[b:e]], "<i4")) for b, e in _bounds(first, len(order))]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["pid", "offs"])
 
-    offs = flags.mapInArrow(by_piece, "pid long, offs binary").groupBy("pid").agg(F.collect_list("offs").alias("offs"))
+    placed = flags.mapInArrow(by_piece, "pid long, offs binary").join(narrow.select("pid", "whole", "begin"), "pid")
+    offs = placed.groupBy(F.col("whole").alias("pid")).agg(F.collect_list(F.struct("begin", "offs")).alias("offs"))
     owned = numbered.select("pid", "digest", F.col("doc").alias("low")).join(offs, "pid", "left")
     return places.join(owned, "digest").select(
         "doc", "start", "starts", (F.col("doc") > F.col("low")).alias("whole"), F.when(F.col("doc") == F.col("low"), F.col("offs")).alias("offs")
@@ -451,7 +465,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                     if piece["whole"]:
                         starts, ends = np.array([piece["start"]]), np.array([piece["start"] + piece["starts"] + width - 1])
                     else:
-                        starts = np.unique(np.frombuffer(b"".join(piece["offs"]), "<i4")).astype(np.int64) + piece["start"]
+                        starts = np.unique(np.concatenate([np.frombuffer(o["offs"], "<i4") + np.int64(o["begin"]) for o in piece["offs"]])) + piece["start"]
                         ends = starts + width
                     np.add.at(change, starts[ends <= n], 1)
                     np.add.at(change, ends[ends <= n], -1)
