@@ -13,6 +13,7 @@ from pagetide.sources import schemas
 from pagetide.sources.scratch import scratch_path
 from pagetide.sources.tables import TableStore
 from pagetide.streaming import incremental as I
+from pagetide.streaming import summaries as S
 
 
 def event_stream(spark, d) -> DataFrame:
@@ -94,6 +95,21 @@ def modes(spark, d):
     return plain(I.latest_updates(spark, out, ["target_id"]))
 
 
+@query("j2_streaming_watch_states", Q.with_watch(f"""
+SELECT target_id, previous_watch_mode, new_watch_mode AS watch_mode, transition_reason, no_change_streak, error_streak,
+  count(*) OVER (PARTITION BY target_id) AS scans, {Q.ts('scan_ts')} AS last_scan_at
+FROM watch QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY scan_ts DESC, event_id DESC) = 1"""))
+def states(spark, d):
+    """The log in three batches, each with scans of the whole time."""
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "states")
+    events = V.table(spark, d, "events")
+    for k in range(3):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).write.mode("append").parquet(f"{landing}/part={k}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(landing)
+    S.summarise_into(V.log_from_events(stream), out, scratch_path(spark, "stream")).awaitTermination()
+    return plain(S.watch_states(S.latest_summaries(spark, out)))
+
+
 @query("j3_streaming_daily_activity", Q.with_log(f"""
 SELECT {Q.ts("date_trunc('day', scan_ts)")} AS day, count(*) AS total_scans,
   count(*) FILTER (change_detected AND status = 'succeeded') AS changes_detected, count(*) FILTER (email_sent) AS emails_sent,
