@@ -46,7 +46,7 @@ WIDTH = 50
 GRAM = 20
 LETTERS = 24
 #: Minimizers a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Pieces are cut at one minimizer in so many, but hold no fewer and no more starts than these.
 CUT_EVERY, LEAST, MOST = 8, 64, 4096
 _BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -176,7 +176,7 @@ def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
-        for batch in batches(parts, "text", 4 << 20):
+        for batch in batches(parts, "text", 1 << 20):
             for doc, text in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), strict=True):
                 _, found, _ = minimizers(np.frombuffer(text.as_py(), np.uint8), width)
                 if len(found):
@@ -189,6 +189,8 @@ def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                     hashes, ids, held = [], [], 0
         if held:
             yield handed(hashes, ids)
+            del hashes, ids
+        pa.default_memory_pool().release_unused()  # the worker goes on with other steps
 
     def answered(group: pa.Table) -> pa.Table:
         ids = _joined(group["ids"], "<i8")
@@ -213,7 +215,7 @@ def pieces(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
     hashes = found.groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts, "text", 4 << 20):
+        for batch in batches(parts, "text", 1 << 20):
             out: list[tuple[int, int, int, bytes, bytes]] = []
             for doc, text, known in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), batch.column("hashes"), strict=True):
                 text = text.as_py()
@@ -443,7 +445,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     names = [*docs.columns, "n_bytes", "n_removed", "n_spans", last]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts, text_col, 4 << 20):
+        for batch in batches(parts, text_col, 1 << 20):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for text, found in zip(pc.cast(batch.column(text_col), pa.binary()), batch.column("_runs"), strict=True):
                 text = text.as_py() or b""
