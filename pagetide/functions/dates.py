@@ -104,7 +104,8 @@ def with_date(rows: DataFrame, as_of: Column, sentence: str = "sentence") -> Dat
     then read off the few characters found.
     """
     lowered = once(rows, F.lower(sentence).alias("_low"))
-    found = once(lowered, F.regexp_extract("_low", ANY_DATE, 0).alias("_found"))
+    # every written form has a digit: most sentences are told by that alone
+    found = once(lowered, F.when(F.col("_low").rlike("[0-9]"), F.regexp_extract("_low", ANY_DATE, 0)).otherwise(F.lit("")).alias("_found"))
     both = once(found, _explicit(F.col("_found"), as_of).alias("_explicit"), _relative(F.col("_low"), as_of).alias("_relative"))
     base = F.when(F.col("_explicit").isNotNull(), F.lit(EXPLICIT_CONFIDENCE)).when(F.col("_relative").isNotNull(), F.lit(RELATIVE_CONFIDENCE))
     out = both.withColumn("date", F.coalesce("_explicit", "_relative")).withColumn("base", base)
@@ -129,8 +130,9 @@ def _explicit(low: Column, as_of: Column) -> Column:
 def _relative(low: Column, as_of: Column) -> Column:
     """ "tomorrow", "in 5 days", "in 2 weeks", next to deadline wording."""
     g = F.regexp_extract
+    worded = F.contains(low, F.lit("tomorrow")) | F.contains(low, F.lit("day")) | F.contains(low, F.lit("week"))
     return F.when(
-        low.rlike(DUE_WORDS),
+        worded & low.rlike(DUE_WORDS),
         F.when(low.rlike(r"\btomorrow\b"), F.date_add(as_of, 1))
         .when(low.rlike(IN_DAYS), F.date_add(as_of, g(low, IN_DAYS, 1).try_cast("int")))
         .when(low.rlike(IN_WEEKS), F.date_add(as_of, g(low, IN_WEEKS, 1).try_cast("int") * 7)),
