@@ -66,7 +66,7 @@ STAGES = [
     ("byte-level BPE", encoded),
 ]
 
-#: The classifier is fitted, which SQL does not express; tests/llm hold each stage against brute force.
+#: The classifier is fitted, which SQL does not express; tests/llm hold the operators, not the stages by themselves, against brute force.
 ORACLE_SQL = None
 
 
