@@ -1,7 +1,7 @@
 """Main text of pages: parser events to lines, text-to-tag ratios, smoothing, clusters.
 
 The standard library's parser sends the events of a page.  A block tag ends a
-line, so a line is what a reader sees as one block, with the number of tags in
+line (missing end tags of a head, a link or a button are understood), so a line is what a reader sees as one block, with the number of tags in
 it.  Lines inside page furniture (menus, headers, footers, forms, scripts,
 adverts, notices, comments) are never content.  The other lines form regions by
 their nearest sectioning element; text-to-tag ratios are smoothed by a Gaussian
@@ -26,7 +26,7 @@ BLOCKS = frozenset("""address article aside blockquote body br caption center dd
 footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot
 th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("head script style noscript template iframe object svg math canvas audio video map".split())
+UNREAD = frozenset("head title script style noscript template iframe object svg math canvas audio video map".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog search button select textarea input fieldset label option".split())
 SECTIONS = frozenset("article main section div body td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form alert".split())
@@ -39,6 +39,10 @@ TOP = re.compile(r"(^|[^a-z])(banner|header|masthead)([^a-z]|$)", re.I)
 CORE = frozenset("html body main article".split())
 #: Elements whose end tag may be missing: a new one of the same kind, or an end of an outer one, closes them.
 LOOSE = frozenset("p li dt dd td th tr option".split())
+#: What a head may hold; anything else ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements that end a button left open.
+ENDS_BUTTON = frozenset("article button h1 h2 h3 h4 h5 h6 main ol p section table ul".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -50,7 +54,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.spared, self.core = spared, core
         self.lines: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool, bool, int, bool, int, int]] = []  # name, unread, furniture, region, sure, marked and wrapper before it
+        # name, unread, furniture, region, sure, marked and wrapper before it, link
+        self.stack: list[tuple[str, bool, bool, int, bool, int, int, bool]] = []
         self.region = self.regions = 0
         self.unread = self.furniture = self.links = self.marked = 0
         # elements that are furniture by class, id or form only: the innermost, those around each, characters outside links
@@ -61,10 +66,14 @@ class Lines(HTMLParser):
         self.core_held = self.core_free = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
+        self.breaks = 0  # block tags so far
+        self.opened = 0  # block tags before the open link
+        self.doubtful: list[tuple[int, int, int, int]] = []  # text behind a block tag in an open link: line, length, wrapper, core
         self.kind: dict[int, str] = {0: ""}
         self.above: dict[int, int] = {0: 0}
 
     def end_line(self) -> None:
+        self.breaks += 1
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
@@ -75,6 +84,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
+        self._implied_ends(tag)
         self.tags += 1
         if tag in VOID:
             return
@@ -89,10 +99,13 @@ class Lines(HTMLParser):
             marked = marked or tag not in CORE and bool(self._noise(f"{given.get('class', '')} {given.get('id', '')}"))
         marked = marked and not sure
         unread = tag in UNREAD
-        self.stack.append((tag, unread, sure or marked, self.region, sure, self.marked, self.wrapper))
+        link = tag == "a" and any(k == "href" for k, _ in attrs)
+        self.stack.append((tag, unread, sure or marked, self.region, sure, self.marked, self.wrapper, link))
         self.unread += unread
         self.furniture += sure
-        self.links += tag == "a"
+        if link:
+            self.links += 1
+            self.opened, self.doubtful = self.breaks, []
         if marked:
             self.around.append(self.wrapper)
             self.held.append(0)
@@ -107,6 +120,56 @@ class Lines(HTMLParser):
             self.kind[self.regions], self.above[self.regions] = tag, self.region
             self.region = self.regions
 
+    def _implied_ends(self, tag: str) -> None:
+        """What this start tag ends although its end tag is missing: a head, the link before, a button."""
+        names = [x[0] for x in self.stack[-64:]]
+        if names and names[-1] == "head" and tag not in HEAD:
+            self._pop()
+        if tag == "a" and "a" in names:
+            depth = len(self.stack) - 1 - names[::-1].index("a")
+            if depth == len(self.stack) - 1:
+                self._pop()
+            elif not self.stack[depth][2]:
+                self._unlink(self.stack.pop(depth)[7])
+        if tag in ENDS_BUTTON and "button" in names:
+            depth = len(self.stack) - 1 - names[::-1].index("button")
+            while len(self.stack) > depth:
+                self._pop()
+
+    def _unlink(self, link: bool, whole: bool = False) -> None:
+        """End of a link; unless its own end tag was there (`whole`), what stood behind block tags in it was no link text."""
+        if not link:
+            return
+        self.links -= 1
+        if not whole and not self.links:
+            for line, size, wrapper, core in self.doubtful:
+                if line == len(self.lines):
+                    self.linked -= size
+                else:
+                    text, tags, linked, region = self.lines[line]
+                    self.lines[line] = text, tags, linked - size, region
+                self._hold(size, wrapper, core)
+        self.doubtful = []
+
+    def _hold(self, size: int, wrapper: int, core: int) -> None:
+        """Text outside links: in its wrapper, and in an article or main (`core` 1: inside its own wrapper, 2: inside one around it)."""
+        self.held[wrapper] += size
+        if core == 1:
+            self.core_free += size
+        elif core == 2:
+            self.core_held += size
+
+    def _core(self) -> int:
+        if not self.cores or self.cores[0] != self.wrapper:
+            return 0
+        return 2 if self.wrapper else 1
+
+    def finish(self) -> None:
+        """End of the page: every element ends."""
+        while self.stack:
+            self._pop()
+        self.end_line()
+
     def _inside(self) -> bool:
         return any(x[0] in ("article", "main") for x in self.stack)
 
@@ -128,7 +191,7 @@ class Lines(HTMLParser):
             self.end_line()
         self.tags += 1
         if self.stack and self.stack[-1][0] == tag:
-            self._pop()
+            self._pop(whole=True)
             return
         depth = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag), None)
         if depth is None:
@@ -137,34 +200,33 @@ class Lines(HTMLParser):
         if any(x[0] in SECTIONS or x[2] for x in self.stack[depth + 1:]) and tag not in SECTIONS and not self.stack[depth][2]:
             return
         while len(self.stack) > depth:
-            self._pop()
+            self._pop(whole=len(self.stack) == depth + 1)
 
-    def _pop(self) -> None:
-        tag, unread, _, region, sure, self.marked, self.wrapper = self.stack.pop()
+    def _pop(self, whole: bool = False) -> None:
+        tag, unread, _, region, sure, self.marked, self.wrapper, link = self.stack.pop()
         self.unread -= unread
         self.furniture -= sure
-        self.links -= tag == "a"
+        self._unlink(link, whole)
         if tag in ("article", "main"):
             self.cores.pop()
         if tag in SECTIONS:
             self.region = region
 
     def handle_data(self, data: str) -> None:
+        size = len(data.strip())
+        if size and self.stack and self.stack[-1][0] == "head":
+            self._pop()
         if self.unread or self.furniture:
             return
         if not self.links:
-            size = len(data.strip())
-            self.held[self.wrapper] += size
-            if self.cores and self.cores[0] == self.wrapper:
-                if self.wrapper:
-                    self.core_held += size
-                else:
-                    self.core_free += size
+            self._hold(size, self.wrapper, self._core())
         if self.marked:
             return
         self.parts.append(data)
         if self.links:
-            self.linked += len(data.strip())
+            self.linked += size
+            if size and self.breaks > self.opened:
+                self.doubtful.append((len(self.lines), size, self.wrapper, self._core()))
 
 
 def page_lines(html: str) -> Lines:
@@ -180,7 +242,7 @@ def page_lines(html: str) -> Lines:
         parser = Lines(spared, core)
         parser.feed(html)
         parser.close()
-        parser.end_line()
+        parser.finish()
         return parser
 
     parser = read()

@@ -251,6 +251,23 @@ def test_whole_article():
     assert main_text(f"<body><div><p>{long}</p><p><a>See the full report</a></p><p>{short}</p></div></body>") == f"{long.strip()} See the full report {short.strip()}"
 
 
+def test_missing_end_tags_lose_no_text():
+    one, two = "A first paragraph of several words, long enough. " * 4, "Then a second one, it has as many words as that. " * 4
+    want = f"{one.strip()} {two.strip()}"
+    body = f"<p>{one}</p><p>{two}</p>"
+    for page in (
+        f"<html><head><title>T</title><body>{body}", f"<title>T</title>{body}", f"<head><meta charset=x><link rel=y>{body}",
+        f"<body><a name='top'>{body}</body>", f"<body><a href='#x'>{body}</body>", f"<a href='/1'><div><a href='/2'></a>{body}</div>",
+        f"<body><button>Go{body}</body>", f"<body><button>Go<button>Stop</button>{body}", f"<body><p>{one}<p>{two}",
+    ):
+        text = main_text(page)
+        assert text.endswith(want) and "Go" not in text and "T " not in text[:3], page[:60]
+    assert main_text(f"<head>{one}<p>{two}</p>") == want
+    menu = "".join(f"<li><a href='/{i}'><div>Some entry {i} of the menu</div></a></li>" for i in range(6))
+    assert main_text(f"<body><ul>{menu}</ul><div>{body}</div></body>") == want
+    assert main_text("<a href=x><b><a href=y><i>" * 500 + one) == one.strip()
+
+
 def test_broken_declarations_end_no_page():
     for declaration in ("<![x]>", "<![ foo]>", "<![>", "<![if !IE]>", "<!x>", "<![CDATA[ x ]]>"):
         assert main_text(f"<p>first words</p>{declaration}<p>second words</p>") == "first words second words"
