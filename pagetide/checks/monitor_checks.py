@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagetide.checks import sql as Q
-from pagetide.checks.registry import plain, query
+from pagetide.checks.registry import SQL, plain, query
 from pagetide.plans import derived as V
 from pagetide.plans import monitor as R
+from pagetide.plans import rollup
 
 DAYS_7 = "TIMESTAMP '2024-01-24 00:00:00'"
 DAYS_30 = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -241,3 +242,20 @@ UNION ALL SELECT 'daily_cost', d, CASE WHEN d < 5 THEN 'good' WHEN d <= 10 THEN
 UNION ALL SELECT 'success_rate', e, CASE WHEN e >= 100 THEN 'good' WHEN e > 95 THEN 'warning' ELSE 'critical' END FROM f"""))
 def health(spark, d):
     return R.health_bands(V.audit(spark, d), V.as_of())
+
+
+# the same reports from the daily table of partial aggregates
+ROLLED = {
+    "h4_daily_activity": rollup.daily_activity, "h5_target_summary": rollup.target_summary, "h7_change_breakdown": rollup.change_breakdown,
+    "h8_llm_usage": rollup.llm_usage, "h9_delivery_rate": rollup.delivery_rate, "h11_scan_performance": rollup.scan_performance,
+    "h14_delivery_alert": rollup.delivery_alert, "h19_weekly_summary": rollup.weekly_summary, "h22_llm_percentage": rollup.llm_percentage,
+    "h25_health_bands": rollup.health_bands,
+}
+
+
+def _rolled(report):
+    return lambda spark, d: plain(report(rollup.partials(V.audit(spark, d)), V.as_of()))
+
+
+for _name, _report in ROLLED.items():
+    query(f"{_name}_rolled", SQL[_name])(_rolled(_report))

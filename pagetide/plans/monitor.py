@@ -19,7 +19,7 @@ def exact_avg(column: str, digits: int) -> Column:
 
 
 def percent(part: Column, digits: int | None = None) -> Column:
-    share = F.lit(100.0) * part / F.count(F.lit(1))
+    share = F.try_divide(F.lit(100.0) * part, F.count(F.lit(1)))
     return share if digits is None else F.round(share, digits)
 
 
@@ -29,7 +29,12 @@ def days_back(as_of: Column, days: int) -> Column:
 
 
 def since(rows: DataFrame, column: str, start: Column) -> DataFrame:
-    return rows.filter(F.col(column) >= start)
+    """Rows from `start` on.  Of a log kept by day only the days that can hold them are read.
+
+    The days were cut in the time zone of the session that wrote them, which may be two dates off at most.
+    """
+    found = rows.filter(F.col(column) >= start)
+    return found.filter(F.col("day") >= F.date_sub(F.to_date(start), 2)) if "day" in rows.columns else found
 
 
 def _flag(name: str) -> Column:
@@ -253,6 +258,11 @@ def health_bands(audit: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
         F.round(calls * USD_PER_CALL / F.lit(float(days)), 4).alias("daily_cost"),
         percent(ok, 4).alias("success_rate"),
     )
+    return banded(figures)
+
+
+def banded(figures: DataFrame) -> DataFrame:
+    """(metric, value, band) of a row of the five figures."""
     rows = figures.selectExpr(
         "stack(5, 'scan_duration', scan_duration, 'email_delivery', email_delivery, 'llm_calls_per_day', llm_calls_per_day,"
         " 'daily_cost', daily_cost, 'success_rate', success_rate) AS (metric, value)"

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -280,6 +281,14 @@ class TableStore:
         of_runs = self.spark.read.schema(StructType([*shape.fields, StructField("run", LongType())])).parquet(f"{self.root}/{name}_of_runs")
         return alone.unionByName(of_runs.filter(~F.col("run").isin(*started)).drop("run") if started else of_runs.drop("run"))
 
+    def days(self, name: str) -> list[date]:
+        """The days that a table kept by day holds, rising; one listing, no file is opened."""
+        fs, path = self._fs()
+        if not fs.exists(path(f"{self.root}/{name}")):
+            return []
+        names = [entry.getPath().getName() for entry in fs.listStatus(path(f"{self.root}/{name}"))]
+        return sorted(date.fromisoformat(n[4:]) for n in names if re.fullmatch(r"day=\d{4}-\d\d-\d\d", n))
+
     def audit(self) -> DataFrame:
         return self._log("audit")
 

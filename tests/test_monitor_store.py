@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagetide.plans import monitor as R
+from pagetide.plans import rollup
 from pagetide.plans.scan import scan_batch, scan_tables
+from pagetide.sources import schemas
 from pagetide.sources.tables import TableStore, upsert
 
 from test_scan import CHANGED, DATES, NO_DATES, snapshots
@@ -63,3 +67,85 @@ def test_report_runs_on_stored_tables(tables, name):
         assert {r["metric"]: r["value"] for r in rows}["success_rate"] == pytest.approx(100 * 5 / 6, abs=1e-3)
     if name == "daily_activity":
         assert [r["total_scans"] for r in rows] == [2, 2, 2] and sum(r["deadlines_found"] for r in rows) == 1
+
+
+BY_DAYS = ("daily_activity", "target_summary", "transitions", "change_breakdown", "llm_usage", "delivery_rate", "recent_errors", "scan_performance",
+           "delivery_alert", "recent_scans", "failures_since", "llm_calls_since", "weekly_summary", "llm_percentage", "health_bands")
+
+
+@pytest.mark.parametrize("name", BY_DAYS)
+def test_report_opens_only_the_days_it_needs(tables, name):
+    plan = REPORTS[name](*tables)._jdf.queryExecution().executedPlan().toString()
+    pruned = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert pruned and all(re.search(r"day#\d+ >= 2026-01-\d\d", x) for x in pruned), plan
+
+
+@pytest.mark.parametrize("name", BY_DAYS)
+def test_report_of_no_rows(tables, name):
+    state, audit, history = tables
+    REPORTS[name](state, audit.filter("false"), history.filter("false")).collect()
+
+
+DAYS = {"daily_activity": 7, "target_summary": 30, "change_breakdown": 30, "llm_usage": 30, "delivery_rate": 30, "scan_performance": 7,
+        "delivery_alert": 7, "llm_percentage": 30, "health_bands": 7}
+
+
+def reports(source, audit, now):
+    """Every report that both sources give, as sorted rows."""
+    found = {name: getattr(source, name)(audit, at(now), days) for name, days in DAYS.items()}
+    midnight = F.date_sub(F.to_date(at(now)), 7)
+    found["weekly_summary"] = source.weekly_summary(audit, midnight.cast("timestamp") if source is R else at(now))
+    found |= {"slow_scans": source.slow_scans(audit), "fetch_methods": source.fetch_methods(audit)}
+    return {name: sorted(map(str, df.collect())) for name, df in found.items()}
+
+
+def scans(spark, days, salt=0):
+    """Audit rows over some days, with nulls in what may be null and several scans of a target a day."""
+    rows = spark.range(days * 40).select(
+        F.concat(F.lit(f"a{salt}-"), F.col("id").cast("string")).alias("audit_id"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("target_id"),
+        (F.lit("2026-01-25 01:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("id") * 7 % (24 * days)).cast("int"))).alias("scan_ts"),
+        (F.col("id") % 4 == 1).alias("change_detected"), F.element_at(F.array(F.lit("NONE"), F.lit("BINARY"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("change_type"),
+        F.when(F.col("id") % 5 != 0, (F.col("id") % 64).cast("int")).alias("hamming_distance"), F.lit(None).alias("deadlines_found"), F.lit(None).alias("summary"),
+        F.lit("MONTHLY").alias("previous_watch_mode"), F.lit("URGENT").alias("new_watch_mode"),
+        F.when(F.col("id") % 11 == 0, "SCAN_FAILED: x").when(F.col("id") % 13 == 0, "LATE").otherwise("UNCHANGED").alias("transition_reason"),
+        F.when(F.col("id") % 6 == 0, "playwright").when(F.col("id") % 6 == 1, "requests").alias("fetch_method"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 0.123457 + salt).alias("scan_duration_seconds"),
+        F.when(F.col("id") % 9 != 0, F.col("id") % 2 == 0).alias("llm_api_called"), F.when(F.col("id") % 8 != 0, F.col("id") % 3 == 0).alias("email_sent"),
+    )
+    deadlines = schemas.AUDIT["deadlines_found"].dataType
+    return rows.withColumns({"deadlines_found": F.when(F.col("change_detected"), F.array(F.struct(F.to_date(F.lit("2026-05-01")), F.lit("paper"), F.lit(0.5), F.lit("x")))).cast(deadlines),
+                             "summary": F.col("summary").cast("string")})
+
+
+def test_daily_table_gives_the_same_reports(spark):
+    store = TableStore(spark, tempfile.mkdtemp(prefix="pagetide-test-"))
+    store.create()
+    for now in (NOW, "2030-01-01 00:00:00"):
+        assert reports(rollup, rollup.daily(store), now) == reports(R, R.reported_audit(store.audit()), now)
+    store.append_audit(scans(spark, 10))
+    want = reports(R, R.reported_audit(store.audit()), NOW)
+    assert reports(rollup, rollup.daily(store), NOW) == want
+    held = rollup.roll_up(store, dt.date(2026, 2, 1))
+    assert held == [dt.date(2026, 1, 25) + dt.timedelta(days=k) for k in range(7)]
+    assert reports(rollup, rollup.daily(store), NOW) == want
+    # more rows, of held days too: the days behind them are read from the log, the others when they are redone
+    store.append_audit(scans(spark, 10, salt=1))
+    want = reports(R, R.reported_audit(store.audit()), NOW)
+    assert reports(rollup, rollup.daily(store), NOW) != want
+    assert rollup.roll_up(store, dt.date(2026, 2, 3), again_from=dt.date(2026, 1, 25)) == [*held, dt.date(2026, 2, 1), dt.date(2026, 2, 2)]
+    assert reports(rollup, rollup.daily(store), NOW) == want
+    assert rollup.roll_up(store, dt.date(2026, 2, 3)) == store.days(rollup.TABLE)
+
+
+def test_held_days_are_not_read_from_the_log(spark):
+    store = TableStore(spark, tempfile.mkdtemp(prefix="pagetide-test-"))
+    store.create()
+    store.append_audit(scans(spark, 4))
+    rollup.roll_up(store, dt.date(2026, 1, 28))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    try:
+        plan = rollup.daily_activity(rollup.daily(store), at("2026-01-29 00:00:00"), 7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    log = next(line for line in plan.split("FileScan") if "/audit]" in line)
+    assert re.search(r"PartitionFilters: \[[^\]]*NOT day#\d+ IN", log) and re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 2026-01-22", log), log
