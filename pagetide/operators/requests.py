@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetide.operators.running import Running, running, time_chunk
+from pagetide.operators.running import Running, sliced_running
 
 # How much of each list goes into a prompt, and the stand-ins.
 SUMMARY_SNIPPETS, SUMMARY_KEYWORDS, SUMMARY_DEADLINES, SOURCE_CHARS = 20, 10, 5, 100
@@ -83,20 +83,19 @@ def cache_lookup(requests: DataFrame, responses: DataFrame, ttl_hours: int = CAC
 
     A reply is used for a request of the same key made after it, up to and
     including the time to live.  Requests and replies of a key are merged into
-    one sequence and the last reply carried along, so a key asked for very
-    often neither multiplies rows nor ends up in one task.
+    one sequence and the last reply carried along, in slices of equal size, so
+    a key asked for very often neither multiplies rows nor ends up in one task.
+    Of replies at one time only the greatest is ever the last.
     """
     asks = requests.select(
         "cache_key", "request_id", F.col("requested_at").alias("at"), F.lit(1).alias("side"),
         F.lit(None).cast(responses.schema["reply"].dataType).alias("reply"),
     )
-    replies = responses.select(
-        "cache_key", F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
-        F.col("responded_at").alias("at"), F.lit(0).alias("side"), "reply",
+    replies = responses.groupBy("cache_key", F.col("responded_at").alias("at")).agg(F.max("reply").alias("reply")).select(
+        "cache_key", F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "at", F.lit(0).alias("side"), "reply",
     )
     events = asks.unionByName(replies).withColumn("answer", F.when(F.col("side") == 0, F.struct("at", "reply")))
-    order = ["at", "side", "request_id", "reply"]
-    carried = running(events, ["cache_key"], order, time_chunk(F.col("at"), 3600), [Running("last", "last", F.col("answer"))])
+    carried = sliced_running(events, ["cache_key"], ["at", "side", "request_id"], [Running("last", "last", F.col("answer"))])
     fresh = F.col("at") <= F.col("last.at") + F.make_dt_interval(hours=F.lit(ttl_hours))
     return carried.filter("side = 1").select(
         "request_id", "cache_key", F.col("at").alias("requested_at"),
@@ -110,16 +109,17 @@ def cost(tokens: Column) -> Column:
     return (tokens.cast("decimal(18,0)") * F.lit("0.40").cast("decimal(4,2)")).cast("decimal(28,2)")
 
 
-def budget_gate(calls: DataFrame, monthly_limit_usd: float, chunk_seconds: int = 3600) -> DataFrame:
+def budget_gate(calls: DataFrame, monthly_limit_usd: float, slices: int | None = None) -> DataFrame:
     """Adds `spent_before` (USD, this month) and `allowed`.
 
     A call is allowed while the month's spending before it is below the limit,
     so the last allowed call may go over.  Needs request_id, requested_at and
-    tokens.
+    tokens.  A month is cut into slices of equal size (`slices` in all), so any
+    number of calls at one time are spread over tasks.
     """
     monthly = calls.withColumn("month", F.date_trunc("month", "requested_at"))
     spent = Running("_spent", "sum", cost(F.col("tokens")), inclusive=False)
-    out = running(monthly, ["month"], ["requested_at", "request_id"], time_chunk(F.col("requested_at"), chunk_seconds), [spent])
+    out = sliced_running(monthly, ["month"], ["requested_at", "request_id"], [spent], number=slices)
     limit = F.lit(str(monthly_limit_usd)).cast("decimal(18,6)") * 1_000_000
     return out.select(
         *monthly.columns, (F.col("_spent").cast("double") / 1_000_000).alias("spent_before"), (F.col("_spent") < limit).alias("allowed")

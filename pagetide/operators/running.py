@@ -4,6 +4,9 @@ A plain window puts all rows of a key in one task.  Here the rows of a key are
 cut into time chunks; each chunk is windowed on its own, chunk totals (one row
 per key and chunk) are accumulated per key, and both are added up.  The largest
 group any task sees is one chunk of one key, or the chunk totals of one key.
+
+Where many rows of a key may share one time (a backfill, a month of calls within
+an hour), `sliced_running` cuts by rank instead of by the clock.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetide.sources.scratch import cut
+
 
 @dataclass(frozen=True)
 class Running:
@@ -68,3 +73,31 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: C
             value = F.coalesce(part, carry)
         out.append(value.alias(m.name))
     return joined.select(*rows.columns, *out)
+
+
+def slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], number: int | None = None, out: str = "_slice") -> DataFrame:
+    """Adds `out`, the number of the row's slice: about equally many rows each, rising along (keys, order).
+
+    The rows are partitioned by range on keys and order, so a slice holds many
+    small keys or a part of a large one, whatever the times are.  Only rows
+    equal in all of keys and order cannot be told apart and share a slice.
+    Without `number` there are `spark.sql.shuffle.partitions` slices, fewer
+    where adaptive execution joins small neighbours.  The sampled bounds of the
+    ranges must not be drawn anew by a retry, hence the checkpoint.
+    """
+    by = [F.col(c) for c in [*keys, *order]]
+    ranged = rows.repartitionByRange(*by) if number is None else rows.repartitionByRange(number, *by)
+    return cut(ranged.withColumn(out, F.spark_partition_id()))
+
+
+def sliced_running(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Sequence[Running],
+    along: Sequence[str] | None = None, number: int | None = None,
+) -> DataFrame:
+    """`running` over slices: no task holds more than one slice, and a key has one total per slice.
+
+    `along` is the part of `order` that slices are cut by, from its start; all of it where not given.
+    """
+    cols = rows.columns
+    parted = slices(rows, keys, order if along is None else along, number)
+    return running(parted, keys, order, F.col("_slice"), measures).select(*cols, *[m.name for m in measures])

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions import modes as M
-from pagetide.operators.running import Running, running, time_chunk
+from pagetide.operators.running import Running, running, sliced_running, slices, time_chunk
 
 ORDER = ("scan_ts", "event_id")
 
 
-def watch_history(log: DataFrame, chunk_seconds: int = 3600, start: DataFrame | None = None) -> DataFrame:
+def watch_history(log: DataFrame, chunk_seconds: int | None = 3600, start: DataFrame | None = None) -> DataFrame:
     """Scan log plus the target's watch state before and after every scan.
 
     `log` has target_id, event_id, scan_ts, status, change_detected and
@@ -25,7 +25,9 @@ def watch_history(log: DataFrame, chunk_seconds: int = 3600, start: DataFrame |
     A mode only ever rises, so it is a running maximum of outcome ranks.  A
     streak is a running count less its value at the last reset, and that value
     is again a running maximum.  Both add up over time chunks, so that no task
-    has to hold all scans of one target (see `running`).
+    has to hold all scans of one target (see `running`).  With
+    `chunk_seconds=None` the log is cut into slices of equal size instead, for
+    a backfill whose scans share few times; that writes a checkpoint.
     """
     keys = ["target_id", "_chunk"]
     ok = F.col("status") == "succeeded"
@@ -38,8 +40,12 @@ def watch_history(log: DataFrame, chunk_seconds: int = 3600, start: DataFrame |
     def count_of(condition: Column) -> Column:
         return F.sum(condition.cast("bigint"))
 
+    if chunk_seconds is None:
+        chunked = slices(log, keys[:1], ORDER, out="_chunk")
+    else:
+        chunked = log.withColumn("_chunk", time_chunk(F.col("scan_ts"), chunk_seconds))
     rows = (
-        log.withColumn("_chunk", time_chunk(F.col("scan_ts"), chunk_seconds))
+        chunked
         .withColumn("_rank", M.outcome_rank(changed, F.col("deadlines_count")))
         .withColumn("_rank_b", F.max("_rank").over(before))
         .withColumn("_q", count_of(quiet).over(upto))
@@ -97,9 +103,14 @@ def watch_history(log: DataFrame, chunk_seconds: int = 3600, start: DataFrame |
     return staged.withColumn("transition_reason", reason)
 
 
-def carry_forward(log: DataFrame, columns: list[str], chunk_seconds: int = 3600) -> DataFrame:
-    """Adds known_<column>: the last non-empty value of the target so far."""
+def carry_forward(log: DataFrame, columns: list[str], chunk_seconds: int | None = 3600) -> DataFrame:
+    """Adds known_<column>: the last non-empty value of the target so far.
+
+    `chunk_seconds=None` cuts by slices of equal size, see `watch_history`.
+    """
     measures = [Running(f"known_{c}", "last", F.col(c)) for c in columns]
+    if chunk_seconds is None:
+        return sliced_running(log, ["target_id"], list(ORDER), measures)
     return running(log, ["target_id"], list(ORDER), time_chunk(F.col("scan_ts"), chunk_seconds), measures)
 
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagetide.operators import report as R
@@ -52,6 +54,41 @@ def test_budget_lets_the_last_call_pass(spark):
     assert (stats["call_count"], stats["monthly_cost"], stats["remaining_budget"]) == (5, 2.0, -1.0)
 
 
+def test_budget_of_a_month_within_one_second(spark):
+    """A backfill: all calls at one time are spread over tasks, and every sum is that of one window."""
+    calls = spark.range(120_000, numPartitions=8).select(
+        F.col("id").alias("request_id"), F.lit("2026-01-01 05:00:00").cast("timestamp").alias("requested_at"), (F.col("id") * 7919 % 100).alias("tokens"))
+    gated = A.budget_gate(calls, 1.0, slices=12)
+    whole = Window.partitionBy(F.lit(1)).orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
+    want = calls.select("request_id", F.coalesce(F.sum("tokens").over(whole), F.lit(0)).alias("before"))
+    wrong = gated.join(want, "request_id").filter(
+        (F.abs(F.col("spent_before") - F.col("before") * 0.4 / 1e6) > 1e-12) | (F.col("allowed") != (F.col("before") * 4 < 10_000_000)))
+    assert gated.count() == 120_000 and wrong.count() == 0
+    assert 0 < gated.filter("allowed").count() < 120_000
+
+
+def test_cache_of_one_hot_key_equals_a_scan_over_it(spark):
+    """Most requests and replies of one key, many of them at one time, some replies without text."""
+    rng = random.Random(3)
+    start = datetime(2026, 1, 1)
+
+    def event():
+        return "hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", start + timedelta(hours=rng.choice((0, 0, 1, 24, 25, rng.randrange(200))))
+
+    asks = [(i, *event()) for i in range(400)]
+    replies = [(*event(), rng.choice((None, "a", f"r{i}"))) for i in range(60)]
+    want = {}
+    for i, key, at in asks:
+        before = [(t, "" if r is None else r, r) for k, t, r in replies if k == key and t <= at]
+        last = max(before, key=lambda x: x[:2]) if before else None
+        fresh = last is not None and at <= last[0] + timedelta(hours=24)
+        want[i] = (last[2] if fresh else None, "hit" if fresh else "pending")
+    out = A.cache_lookup(
+        spark.createDataFrame(asks, "request_id int, cache_key string, requested_at timestamp"),
+        spark.createDataFrame(replies, "cache_key string, responded_at timestamp, reply string"))
+    assert {r["request_id"]: (r["reply"], r["cache_status"]) for r in out.collect()} == want
+
+
 def test_fallback_summary(evaluate):
     assert evaluate(A.fallback_summary(deadlines(0), strings())) == "Content updated"
     assert evaluate(A.fallback_summary(deadlines(4), strings("a"))) == (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions import modes as M
 from pagetide.operators import watch as W
-from pagetide.operators.running import Running, running, time_chunk
+from pagetide.operators.running import Running, running, sliced_running, slices, time_chunk
 
 LOG = "target_id int, event_id bigint, scan_ts timestamp, status string, change_detected boolean, deadlines_count int"
 
@@ -100,10 +100,31 @@ def test_running_equals_plain_windows(spark):
     upto, before = plain.rowsBetween(Window.unboundedPreceding, 0), plain.rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("e", F.coalesce(F.sum("v").over(upto), F.lit(0)), F.coalesce(F.sum("v").over(before), F.lit(0)),
                      F.max("v").over(before), F.last("v", True).over(upto)).collect()
-    got = running(df, ["k"], ["ts", "e"], time_chunk(F.col("ts"), 600), [
+    measures = [
         Running("s", "sum", F.col("v")), Running("b", "sum", F.col("v"), False), Running("m", "max", F.col("v"), False), Running("l", "last", F.col("v")),
-    ]).select("e", "s", "b", "m", "l").collect()
-    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(map(tuple, want), key=lambda r: r[0])
+    ]
+    chunked = running(df, ["k"], ["ts", "e"], time_chunk(F.col("ts"), 600), measures)
+    sliced = sliced_running(df, ["k"], ["ts", "e"], measures, number=7)
+    assert sliced.columns == chunked.columns == [*df.columns, "s", "b", "m", "l"]
+    for out in (chunked, sliced):
+        got = out.select("e", "s", "b", "m", "l").collect()
+        assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(map(tuple, want), key=lambda r: r[0])
+
+
+def test_slices_are_even_and_in_order(spark):
+    """One key at one time over all of the table: many slices, none large, numbers rising with the order."""
+    df = spark.range(200_000, numPartitions=8).select(F.lit("k").alias("k"), F.lit(0).alias("t"), "id")
+    found = slices(df, ["k"], ["t", "id"], 16).groupBy("_slice").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy("_slice").collect()
+    assert len(found) >= 14 and max(r["n"] for r in found) < 2 * 200_000 / 16
+    assert sum(r["n"] for r in found) == 200_000 and all(x["b"] < y["a"] for x, y in zip(found, found[1:]))
+
+
+def test_history_by_slices_equals_history_by_the_clock(spark):
+    df = spark.createDataFrame([r[:2] + (datetime(2026, 1, 1),) + r[3:] for r in random_log(5)], LOG)
+    by_clock, by_slice = (W.watch_history(df, c).collect() for c in (3600, None))
+    assert len(by_clock) == 1500 and sorted(by_clock, key=lambda r: r["event_id"]) == sorted(by_slice, key=lambda r: r["event_id"])
+    known = [{(r["event_id"], r["known_deadlines_count"]) for r in W.carry_forward(df, ["deadlines_count"], c).collect()} for c in (3600, None)]
+    assert known[0] == known[1]
 
 
 def test_no_task_gets_a_whole_target(spark):
