@@ -9,7 +9,6 @@ from pagetide.checks.registry import query
 from pagetide.functions import hashing as X
 from pagetide.operators import fingerprints as P
 from pagetide.operators import neardup as N
-from pagetide.operators import text as T
 from pagetide.plans import derived as V
 from pagetide.plans import scan as S
 
@@ -33,8 +32,7 @@ def binary(spark, d):
 {Q.simhash('t', 'page_id', 'text')}
 SELECT page_id, sha256(html) AS binary_hash, sha256(text) AS filtered_hash, simhash FROM t JOIN sims USING (page_id)""")
 def prints(spark, d):
-    pages = V.table(spark, d, "pages").select("page_id", "html")
-    return P.fingerprints(pages.join(T.filtered_text(pages), "page_id"))
+    return P.page_fingerprints(V.table(spark, d, "pages"))
 
 
 @query("c3_simhash", f"WITH {DOC_SIMS} SELECT doc_id, simhash FROM sims")
@@ -121,7 +119,7 @@ def semantic(spark, d):
 
     def prints(column):
         version = pairs.select("page_id", F.col(column).alias("html")).filter("html IS NOT NULL")
-        return P.fingerprints(version.join(T.filtered_text(version), "page_id"))
+        return P.page_fingerprints(version)
 
     out = P.detect_changes(prints("new_html"), prints("old_html"), semantic=True)
     return out.select("page_id", "change_type", F.coalesce(F.col("hamming_distance").cast("string"), F.lit("none")).alias("hamming_distance"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import hashing as X
+from pagetide.operators.text import filtered_text
 
 THRESHOLD = 5
 TUNED = range(1, 21)
@@ -28,10 +29,11 @@ def simhash(
     has 0.  Two bit counts share one long (32 bits each, more tokens than a
     string can hold), so a document is 32 sums, added up before the shuffle.
     """
-    tokens = rows.select(*keys, F.explode_outer(F.split(F.lower(text), X.TOKEN_BREAK)).alias("_token"))
-    hashed = tokens.select(*keys, F.when(F.col("_token") != "", token_hash(F.col("_token"))).alias("_h"))
+    tokens = rows.select(*keys, F.explode_outer(F.array_remove(F.split(F.lower(text), X.TOKEN_BREAK), "")).alias("_token"))
+    # Hashed outside of any condition: within one, Spark would take the digest anew for each half of the hash.
+    hashed = tokens.select(*keys, "_token", token_hash(F.col("_token")).alias("_h"))
     pairs = [F.expr(f"coalesce(sum(shiftrightunsigned(_h, {k}) & {PAIR_MASK}L), 0L) AS _c{k}") for k in range(32)]
-    votes = hashed.groupBy(*keys).agg(F.count("_h").alias("_n"), *pairs)
+    votes = hashed.groupBy(*keys).agg(F.count("_token").alias("_n"), *pairs)
     low = " | ".join(f"IF((_c{k} & {LOW_HALF}L) * 2 >= _n, {1 << k}L, 0L)" for k in range(32))
     high = " | ".join(f"IF(shiftrightunsigned(_c{k}, 32) * 2 >= _n, {1 << k}L, 0L)" for k in range(32))
     return votes.select(*keys, F.expr(f"IF(_n > 0, shiftleft({high}, 32) | ({low}), 0L)").alias(out))
@@ -45,6 +47,19 @@ def fingerprints(pages: DataFrame, key: str = "page_id", html: str = "html", tex
     return simhash(hashed, [key, "binary_hash", "filtered_hash"], text)
 
 
+def page_fingerprints(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, binary_hash, filtered_hash, simhash) of pages by their html alone.
+
+    The html is hashed where it is read and cleaned where it is read; only its
+    hash is joined to the signature of the text, so neither html nor text of a
+    page is shuffled, but for pages that are cleaned by element structure.
+    """
+    hashed = pages.select(key, X.sha256_hex(F.col("html")).alias("binary_hash"))
+    texts = filtered_text(pages.select(key, "html"), key)
+    signed = simhash(texts.select(key, "filtered_text", X.sha256_hex(F.col("filtered_text")).alias("filtered_hash")), [key, "filtered_hash"], "filtered_text")
+    return hashed.join(signed, key).select(key, "binary_hash", "filtered_hash", "simhash")
+
+
 def decision(
     has_old: Column,
     new: Callable[[str], Column],

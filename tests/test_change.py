@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagetide.functions import hashing as X
 from pagetide.operators import fingerprints as P
 from pagetide.operators import neardup as N
+from pagetide.operators import text as T
 from pagetide.plans import scan as S
 
 
@@ -48,6 +49,25 @@ def test_similar_texts_are_near(evaluate, spark):
     assert evaluate(X.hamming(F.lit(0).cast("bigint"), F.lit(-1).cast("bigint"))) == 64
 
 
+def test_page_fingerprints_equal_those_of_joined_texts(spark):
+    """Plain, noisy, nested, empty and missing html; the joined sides hold hashes only."""
+    htmls = ["<p>One two</p>", "<nav>x</nav><p>a b a</p>", "<div class='sidebar'><div>n</div></div><main>kept</main>", "", None, "  ...  "]
+    pages = spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string")
+    new = P.page_fingerprints(pages.withColumn("filtered_text", F.lit("a clashing column")))
+    old = P.fingerprints(pages.join(T.filtered_text(pages), "page_id"))
+    assert sorted(new.collect(), key=lambda r: r["page_id"]) == sorted(old.select(*new.columns).collect(), key=lambda r: r["page_id"]) and new.count() == len(htmls)
+    plan = new._jdf.queryExecution().optimizedPlan()
+    joins = [n.output().mkString(",") for n in _nodes(plan) if n.nodeName() == "Join"]
+    assert joins and "html" not in joins[0]
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
 def test_fast_hash_gives_a_signature_too(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "c b a"), (3, "")], "id int, text string")
     got = {r["id"]: r["simhash"] for r in P.simhash(df, ["id"], "text", X.fast_hash64).collect()}
