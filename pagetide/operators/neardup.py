@@ -8,6 +8,7 @@ key, which finds all such pairs without comparing everything to everything.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -15,9 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import hashing as X
-from pagetide.sources.scratch import cut
+from pagetide.operators.running import slices
+from pagetide.sources.scratch import cut, kept
 
 BITS = 64
+#: To write and sort one row of a key costs as much as so many tests of two signatures.
+ROW_TESTS = 100
+#: Nodes of the shortest run of the grouping pass, and how many such runs it takes first.
+RUN_NODES, FIRST_RUN = 8192, 4
+#: Pairs of a run that are always taken; beyond them, SHARE for each node.  One node in SHARE tells how many there are.
+MOST_PAIRS, SHARE = 1 << 25, 64
 
 
 def signature_nodes(signatures: DataFrame, key: str = "doc_id", signature: str = "simhash") -> DataFrame:
@@ -77,69 +85,79 @@ def _reported_once(difference: Column, gaps: Column, blocks: int) -> Column:
     return once
 
 
-def fullest_bucket(nodes: DataFrame, blocks: int, threshold: int) -> int:
-    """Size of the largest group of nodes that share a key."""
+def bucket_work(nodes: DataFrame, blocks: int, threshold: int) -> tuple[int, int]:
+    """Rows that the keys are written in, and pairs of nodes that share a key."""
     sizes = _keyed(nodes, blocks, threshold).groupBy("choice", "value").count()
-    return sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    pairs = F.coalesce(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2), F.lit(0.0))
+    rows, tested = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), pairs).first()
+    return rows, int(tested)
 
 
-def fit_blocks(nodes: DataFrame, threshold: int, dense_bucket: int) -> int:
-    """Number of blocks whose keys are wide enough for these signatures.
+def fit_blocks(nodes: DataFrame, threshold: int) -> int:
+    """Number of blocks whose keys make the least work for these signatures.
 
     Starts from the number that suits evenly spread signatures and widens the
-    keys, four steps at most, while a bucket holds more than `dense_bucket`.
+    keys, four steps at most, while that leaves out more tests than its rows cost.
     """
     blocks = choose_blocks(nodes.count(), threshold)
-    for wider in range(blocks, max(blocks, threshold + 4)):
-        if fullest_bucket(nodes, wider, threshold) <= dense_bucket:
-            return wider
-    return max(blocks, threshold + 4)
+    rows, tested = bucket_work(nodes, blocks, threshold)
+    while blocks < threshold + 4:
+        # Writing the wider keys alone may cost more than all tests do now.
+        more = rows * comb(blocks + 1, threshold) // comb(blocks, threshold)
+        if ROW_TESTS * more >= ROW_TESTS * rows + tested:
+            break
+        wider, fewer = bucket_work(nodes, blocks + 1, threshold)
+        if ROW_TESTS * wider + fewer >= ROW_TESTS * rows + tested:
+            break
+        blocks, rows, tested = blocks + 1, wider, fewer
+    return blocks
+
+
+def full_buckets(nodes: DataFrame, blocks: int, threshold: int, dense_bucket: int) -> DataFrame:
+    """(choice, value, tiles): keys that more than `dense_bucket` nodes share, and the parts to deal them into."""
+    sizes = _keyed(nodes.select("signature"), blocks, threshold).groupBy("choice", "value").count()
+    return kept(sizes.filter(F.col("count") > dense_bucket).select(
+        "choice", "value", F.ceil(F.col("count") / dense_bucket).cast("int").alias("tiles")
+    ), "buckets")
+
+
+def _candidates(left: DataFrame, right: DataFrame, blocks: int, threshold: int, full: DataFrame, close: Column) -> DataFrame:
+    """Rows a and b of `left` and `right` that share a key and fulfil `close`.
+
+    A full bucket is dealt over several tasks: each row of `right` goes to one
+    part of it, each of `left` to all parts.
+    """
+    def dealt(rows: DataFrame, parts: Column) -> DataFrame:
+        return _keyed(rows, blocks, threshold).join(full, ["choice", "value"], "left").withColumn("part", parts).drop("tiles")
+
+    tiles = F.coalesce("tiles", F.lit(1))
+    a = dealt(left, F.explode(F.sequence(F.lit(0), tiles - 1))).alias("a")
+    b = dealt(right, F.pmod(F.hash("signature"), tiles)).alias("b")
+    same = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.part") == F.col("b.part"))
+    return a.join(b, same & close)
 
 
-def near_pairs(nodes: DataFrame, threshold: int = 5, blocks: int | None = None, dense_bucket: int = 512) -> DataFrame:
+def near_pairs(
+    nodes: DataFrame, threshold: int = 5, blocks: int | None = None, dense_bucket: int = 512, full: DataFrame | None = None
+) -> DataFrame:
     """(lead_a, lead_b, distance) of distinct signatures, lead_a < lead_b."""
+    nodes = nodes.select("lead_id", "signature")
     if blocks is None:
-        nodes = cut(nodes.select("lead_id", "signature"))
-        blocks = fit_blocks(nodes, threshold, dense_bucket)
-    keyed = _keyed(nodes.select("lead_id", "signature"), blocks, threshold)
-    a, b = keyed.alias("a"), keyed.alias("b")
+        nodes = cut(nodes)
+        blocks = fit_blocks(nodes, threshold)
+    if full is None:
+        full = full_buckets(nodes, blocks, threshold, dense_bucket)
     difference = F.col("a.signature").bitwiseXOR(F.col("b.signature"))
     close = (
-        (F.col("a.choice") == F.col("b.choice"))
-        & (F.col("a.value") == F.col("b.value"))
-        & (F.col("a.lead_id") < F.col("b.lead_id"))
+        (F.col("a.lead_id") < F.col("b.lead_id"))
         & (F.bit_count(difference) <= threshold)
         & _reported_once(difference, F.col("a.gaps"), blocks)
     )
-    return a.join(b, close).select(
+    return _candidates(nodes, nodes, blocks, threshold, full, close).select(
         F.col("a.lead_id").alias("lead_a"), F.col("b.lead_id").alias("lead_b"), F.bit_count(difference).alias("distance")
     )
 
 
-def _pivot_round(open_nodes: DataFrame, blocks: int, threshold: int) -> DataFrame:
-    """(lead_id, leads): nodes settled by comparing each one to its bucket's first.
-
-    A node that comes first in all its buckets has no earlier neighbour and
-    leads.  Whatever is close to such a leader is settled as a member.  The
-    work is linear in the nodes, however full a bucket is.
-    """
-    keyed = _keyed(open_nodes, blocks, threshold)
-    first = keyed.groupBy("choice", "value").agg(
-        F.min("lead_id").alias("first_id"), F.min_by("signature", "lead_id").alias("first_signature")
-    )
-    seen = cut(keyed.select("lead_id", "signature", "choice", "value").join(first, ["choice", "value"]).select(
-        "lead_id", "first_id",
-        (X.hamming(F.col("signature"), F.col("first_signature")) <= threshold).alias("close"),
-    ))
-    leaders = seen.groupBy("lead_id").agg(F.min("first_id").alias("earliest")).filter("earliest = lead_id").select("lead_id")
-    members = (
-        seen.filter("close AND first_id < lead_id")
-        .join(leaders.withColumnRenamed("lead_id", "first_id"), "first_id", "left_semi")
-        .select("lead_id").distinct()
-    )
-    return leaders.withColumn("leads", F.lit(True)).unionByName(members.withColumn("leads", F.lit(False)))
-
-
 def _members_of_pairs(pairs: DataFrame) -> DataFrame:
     """(lead_id) of the nodes that follow another one, by rounds over the pairs.
 
@@ -160,23 +178,60 @@ def _members_of_pairs(pairs: DataFrame) -> DataFrame:
     return members
 
 
-def greedy_leaders(nodes: DataFrame, threshold: int = 5, blocks: int | None = None, dense_bucket: int = 512) -> DataFrame:
-    """(lead_id, signature) of the nodes a pass in id order would let lead.
+def _expected_pairs(nodes: DataFrame, blocks: int, threshold: int, full: DataFrame) -> int:
+    """About how many pairs of nodes are near: those of one node in `SHARE` are counted."""
+    some = nodes.filter(F.pmod(F.xxhash64("signature"), F.lit(SHARE)) == 0)
+    difference = F.col("a.signature").bitwiseXOR(F.col("b.signature"))
+    close = (F.bit_count(difference) <= threshold) & (difference != 0) & _reported_once(difference, F.col("a.gaps"), blocks)
+    return _candidates(some, nodes, blocks, threshold, full, close).count() * SHARE // 2
+
+
+def _followers(leaders: DataFrame, nodes: DataFrame, blocks: int, threshold: int, full: DataFrame) -> DataFrame:
+    """(signature, lead_id, group_id, distance): nodes near a leader that is not behind them, with the first such one."""
+    distance = X.hamming(F.col("a.signature"), F.col("b.signature"))
+    close = (F.col("a.lead_id") <= F.col("b.lead_id")) & (distance <= threshold)
+    first = F.min(F.struct(F.col("a.lead_id").alias("group_id"), distance.alias("distance"))).alias("g")
+    near = _candidates(leaders, nodes, blocks, threshold, full, close)
+    return near.groupBy(F.col("b.signature").alias("signature"), F.col("b.lead_id").alias("lead_id")).agg(first).select("signature", "lead_id", "g.*")
+
+
+def grouped_nodes(nodes: DataFrame, threshold: int, blocks: int, dense_bucket: int) -> DataFrame:
+    """(signature, lead_id, group_id, distance) of the nodes, as a pass in id order groups them.
 
-    While a bucket holds more than `dense_bucket` open nodes although the keys
-    are wide, which takes that many near duplicates, rounds compare nodes to
-    bucket firsts only.  After that few nodes share a bucket, and the
-    rest is settled on their explicit pairs.  Both kinds of round are exact.
+    The ids are taken in runs, each as long as all before it.  What is near a
+    leader is settled at once, in later runs too.  So the open nodes of a run
+    have few neighbours among themselves, however many they had at the start,
+    and those pairs tell who leads.  A run that still has many is halved.
     """
+    number = max(1, -(-nodes.count() // RUN_NODES))
+    full = full_buckets(nodes, blocks, threshold, dense_bucket)
+    rest = slices(nodes.filter("signature IS NOT NULL").select("lead_id", "signature"), [], ["lead_id"], number).withColumn("_settled", F.lit(False))
+    done, size, groups = 0, FIRST_RUN, []
+    while done < number:
+        run = rest.filter(~F.col("_settled") & (F.col("_slice") < done + size)).select("lead_id", "signature")
+        if size > 1 and _expected_pairs(run, blocks, threshold, full) > MOST_PAIRS + SHARE * run.count():
+            size //= 2
+            continue
+        members = _members_of_pairs(cut(near_pairs(run, threshold, blocks, full=full)))
+        leaders = cut(run.join(members, "lead_id", "left_anti"))
+        found = cut(_followers(leaders, rest.select("lead_id", "signature"), blocks, threshold, full))
+        groups.append(found)
+        done += size
+        size = done
+        if done < number:
+            followed = found.select("lead_id", F.lit(True).alias("_follows")).distinct()
+            rest = cut(
+                rest.join(found.select("signature"), "signature", "left_anti").join(followed, "lead_id", "left")
+                .select("lead_id", "signature", "_slice", (F.col("_settled") | F.col("_follows").isNotNull()).alias("_settled"))
+            )
+    return reduce(DataFrame.unionByName, groups)
+
+
+def greedy_leaders(nodes: DataFrame, threshold: int = 5, blocks: int | None = None, dense_bucket: int = 512) -> DataFrame:
+    """(lead_id, signature) of the nodes a pass in id order would let lead."""
     nodes = cut(nodes.select("lead_id", "signature"))
-    blocks = blocks or fit_blocks(nodes, threshold, dense_bucket)
-    open_nodes, members = nodes, nodes.limit(0).select("lead_id")
-    while fullest_bucket(open_nodes, blocks, threshold) > dense_bucket:
-        settled = cut(_pivot_round(open_nodes, blocks, threshold))
-        members = members.unionByName(settled.filter("NOT leads").select("lead_id"))
-        open_nodes = cut(open_nodes.join(settled.select("lead_id"), "lead_id", "left_anti"))
-
-    members = members.unionByName(_members_of_pairs(cut(near_pairs(open_nodes, threshold, blocks))))
+    blocks = blocks or fit_blocks(nodes, threshold)
+    members = grouped_nodes(nodes, threshold, blocks, dense_bucket).filter("group_id < lead_id").select("lead_id")
     return nodes.join(members, "lead_id", "left_anti")
 
 
@@ -197,19 +252,10 @@ def greedy_groups(
     """
     signatures = cut(signatures.select(F.col(key).alias("_key"), F.col(signature).alias("signature")))
     nodes = cut(signature_nodes(signatures, "_key", "signature"))
-    blocks = blocks or fit_blocks(nodes, threshold, dense_bucket)
-    leaders = cut(greedy_leaders(nodes, threshold, blocks, dense_bucket))
-    heads, tails = _keyed(leaders, blocks, threshold).alias("a"), _keyed(nodes.select("lead_id", "signature"), blocks, threshold).alias("b")
-    near = (
-        (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value"))
-        & (F.col("a.lead_id") <= F.col("b.lead_id"))
-        & (X.hamming(F.col("a.signature"), F.col("b.signature")) <= threshold)
-    )
-    joined = heads.join(tails, near).groupBy(F.col("b.signature").alias("signature")).agg(
-        F.min(F.struct(F.col("a.lead_id").alias("group_id"), X.hamming(F.col("a.signature"), F.col("b.signature")).alias("distance"))).alias("g")
-    ).select("signature", "g.*")
+    blocks = blocks or fit_blocks(nodes, threshold)
+    joined = grouped_nodes(nodes, threshold, blocks, dense_bucket).drop("lead_id")
     copies = nodes.select("signature", "copies")
     sized = joined.join(copies, "signature")
     large = sized.groupBy("group_id").agg(F.sum("copies").alias("n")).filter("n > 1").select("group_id")
-    kept = sized.join(large, "group_id", "left_semi").select("signature", "group_id", "distance")
-    return signatures.join(kept, "signature").select(F.col("_key").alias(key), "group_id", "distance")
+    members = sized.join(large, "group_id", "left_semi").select("signature", "group_id", "distance")
+    return signatures.join(members, "signature").select(F.col("_key").alias(key), "group_id", "distance")

@@ -27,3 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a parquet table in the scratch folder, read back: unlike a checkpoint, it tells Spark its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -173,5 +173,25 @@ def test_groups_match_the_sequential_pass(spark, seed, threshold, dense):
     assert all(r["distance"] == bits(sigs[r["doc_id"]], sigs[r["group_id"]]) for r in rows)
 
 
+def test_full_buckets_without_near_nodes_need_few_steps(spark, monkeypatch):
+    """Signatures that share 40 bits and are seldom near; once every round settled only the first ones of such a bucket."""
+    rng = random.Random(7)
+    sigs = [(0x5A5A5A5A5A << 24) | rng.getrandbits(24) for _ in range(300)]
+    steps = []
+    monkeypatch.setattr(N, "cut", lambda df, cut=N.cut: steps.append(1) or cut(df))
+    rows = N.greedy_groups(spark.createDataFrame(list(enumerate(sigs)), "doc_id int, simhash bigint"), threshold=5, dense_bucket=8).collect()
+    assert {r["doc_id"]: r["group_id"] for r in rows} == greedy(sigs, 5)
+    assert len(steps) < 30
+
+
+def test_groups_over_short_and_halved_runs(spark, monkeypatch):
+    """Runs of 16 nodes, of which the first two are halved as every node counts as too many pairs."""
+    for name, value in (("RUN_NODES", 16), ("FIRST_RUN", 4), ("MOST_PAIRS", 0), ("SHARE", 1)):
+        monkeypatch.setattr(N, name, value)
+    sigs = near_signatures(11, 150)
+    rows = N.greedy_groups(spark.createDataFrame(list(enumerate(sigs)), "doc_id int, simhash bigint"), threshold=8, dense_bucket=4).collect()
+    assert {r["doc_id"]: r["group_id"] for r in rows} == greedy(sigs, 8)
+
+
 def test_more_blocks_for_more_nodes():
     assert N.choose_blocks(1000, 5) < N.choose_blocks(10**7, 5) <= N.choose_blocks(10**10, 5)
