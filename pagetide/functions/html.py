@@ -43,6 +43,8 @@ RAW_TEXT_TAGS = ("script", "style")
 # Whitespace as Unicode sees it; plain \s covers only ASCII in Java and RE2.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPACE_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+# Looked at before SPACE, whose many ranges are slow to test: no letter or sign of ASCII, and no single blank before one.
+MAYBE_SPACE = "(?=[^!-~])(?! [!-~])"
 TAG = r"<[a-zA-Z/!?][^>]*>"
 # Stands for removed markup between two texts: a character for private use.
 BREAK = "\ue000"
@@ -176,12 +178,21 @@ def decode_entities(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, f"{MAYBE_SPACE}{SPACE}++", " "))
 
 
 def markup_to_text(html: Column) -> Column:
     """Text nodes joined by one space, tags gone."""
-    return collapse_space(decode_entities(F.regexp_replace(html, TAG_OR_BREAK, " ")))
+    return collapse_space(_without_markup(html))
+
+
+def markup_to_one_line(html: Column) -> Column:
+    """`one_line` of `markup_to_text`, its space squeezed once."""
+    return one_line(_without_markup(html))
+
+
+def _without_markup(html: Column) -> Column:
+    return decode_entities(F.regexp_replace(html, TAG_OR_BREAK, " "))
 
 
 def markup_to_lines(html: Column) -> Column:
@@ -191,7 +202,7 @@ def markup_to_lines(html: Column) -> Column:
     space inside a text.
     """
     marked = decode_entities(F.regexp_replace(html, TAG, BREAK))
-    before = F.regexp_replace(marked, rf"(?<!{SPACE}){SPACE}+{BREAK}", BREAK)
+    before = F.regexp_replace(marked, rf"{MAYBE_SPACE}(?<!{SPACE}){SPACE}++{BREAK}", BREAK)
     return collapse_ends(F.regexp_replace(before, rf"{BREAK}(?:{SPACE}|{BREAK})*+", " "))
 
 
@@ -201,7 +212,7 @@ def mark_lines(html: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    """Collapsed text without its LINE marks."""
+    """Text without its LINE marks, its space squeezed."""
     return collapse_space(F.replace(text, F.lit(LINE), F.lit(" ")))
 
 

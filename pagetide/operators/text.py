@@ -226,7 +226,7 @@ def page_texts(pages: DataFrame, keywords: Column, key: str = "page_id") -> Data
     content = once(judged.filter("_flat"), H.drop_closed(F.col("_bare"), H.NOISE_TAGS).alias("_content"))
     unmarked = F.replace(F.col("_bare"), F.lit(H.LINE), F.lit(""))
     plain = content.select(
-        key, H.one_line(H.markup_to_text(F.col("_content"))).alias("filtered_text"),
+        key, H.markup_to_one_line(F.col("_content")).alias("filtered_text"),
         H.lines(H.markup_to_text(_main_region("_content"))).alias("main_text"),
         H.markup_to_lines(H.drop_closed(unmarked, H.SNIPPET_NOISE_TAGS)).alias("snippet_text"),
     )

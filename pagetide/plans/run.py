@@ -80,7 +80,8 @@ def run_scan(
     due = W.due_targets(state, as_of, force)
     if only is not None:
         due = due.filter(F.col("target_id").isin(only))
-    pages = snapshots.join(due.select("target_id"), "target_id", "left_semi").dropDuplicates(SNAPSHOT)
+    # Written once: hashes, their running values and texts would each shuffle the html anew.
+    pages = cut(snapshots.join(due.select("target_id"), "target_id", "left_semi").dropDuplicates(SNAPSHOT))
     results = cut(summarised(scan_batch(on_time(pages, state), state, keywords, F.lit(run)), replies))
     new_state = cut(upsert(state, scan_tables(results, state).state, ["target_id"]))
     totals = W.run_totals(results).first()

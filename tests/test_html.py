@@ -229,6 +229,19 @@ def test_quoted_brackets(spark):
     assert {r["open_tag"] for r in T.element_intervals(df).collect()} >= {'<a title="a > b" href="/x?a=1&amp;b=2">', '<p class="b > menu">'}
 
 
+def test_space_is_squeezed_as_by_the_plain_pattern(spark):
+    """Every kind of space beside letters of ASCII and others, alone and in runs; space in front of breaks."""
+    rng = random.Random(5)
+    signs = [*H.SPACE_CHARS, " ", " ", " ", "a", "~", "!", "\x7f", "é", "\u200b", H.LINE, "<b>"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 30))) for _ in range(400)]
+    plain = [re.sub(H.SPACE.replace("{", "").replace("}", "").replace("\\x1680", "\\u1680").replace("\\x20", "\\u20").replace("\\x30", "\\u30") + "+", " ", t).strip(" ") for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    text = F.regexp_replace("t", H.TAG_OR_BREAK, " ")
+    got = rows.select("i", H.collapse_space(F.col("t")).alias("c"), H.markup_to_one_line(F.col("t")).alias("o"), H.one_line(H.collapse_space(text)).alias("w")).orderBy("i").collect()
+    assert [r["c"] for r in got] == plain
+    assert [r["o"] for r in got] == [r["w"] for r in got]
+
+
 def test_class_ad_alone_is_no_noise(evaluate):
     assert not evaluate(F.lit('<div class="ad">').rlike(H.noise_attr_pattern()))
     assert evaluate(F.lit('<div class="x ad-top">').rlike(H.noise_attr_pattern()))

@@ -8,7 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pagetide.plans import run as runs
 from pagetide.plans.run import RunTotals, run_scan
+from pagetide.plans.scan import scan_batch
 from pagetide.sources.tables import RunConflict, TableStore
 
 from test_scan import CHANGED, DATES, DAY, NO_DATES, snapshots
@@ -78,6 +80,19 @@ def test_a_life_in_runs(site):
     assert site.state["alpha"]["current_summary"] == "Moved to the hall." and site.state["alpha"]["error_streak"] == 0
 
 
+def test_pages_are_picked_once_for_all_steps(site, monkeypatch):
+    """Hashes, running values and texts read the chosen pages; once each of them joined and shuffled the html anew."""
+    plans = []
+    monkeypatch.setattr(runs, "scan_batch", lambda shots, *a: plans.append(runs.on_time.given) or scan_batch(shots, *a))
+    real = runs.on_time
+    def on_time(shots, state):
+        on_time.given = shots._jdf.queryExecution().executedPlan().toString()
+        return real(shots, state)
+    monkeypatch.setattr(runs, "on_time", on_time)
+    site(0, alpha=NO_DATES, beta=DATES)
+    assert "Exchange" not in plans[0] and "Join" not in plans[0]
+
+
 def test_targets_come_go_and_move(site):
     site(0, alpha=NO_DATES, beta=NO_DATES)
     site.urls = {"alpha": "https://alpha.org/new"}
