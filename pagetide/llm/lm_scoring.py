@@ -32,14 +32,14 @@ from pagetide.llm.shared import batches, lower_ascii, stored
 DEPTH = 5
 #: Nodes with so many context bytes and more are built in parts, by these bytes; those above are bounded by the alphabet.
 SPLIT = 3
-#: Grams of a part, about.
-PART = 1 << 17
+#: Grams of a part, about; its nodes are eight times as many, and several arrays of them are held at a time.
+PART = 1 << 16
 #: Grams with log probabilities that go to every task, at most; the others are joined.
 CACHED = 1 << 20
 #: Words with counts that go to every task, at most; the others are joined.
 DICTIONARY = 1 << 17
-#: Entries a task gathers before it hands them on.
-GATHERED = 1 << 20
+#: Entries a task gathers before it hands them on, and the rows it hands on at a time.
+GATHERED, HANDED = 1 << 20, 1 << 17
 
 
 def text_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,17 +71,18 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
     Partial counts per task; add them up by key.
     """
 
-    def rows(grams: np.ndarray, words: list[bytes], n: list[int]) -> pa.RecordBatch:
-        g, w = len(grams), len(words)
-        return pa.record_batch([
-            pa.concat_arrays([pa.array(grams.astype(np.int64)), pa.nulls(w, pa.int64())]),
-            pa.concat_arrays([pa.nulls(g, pa.binary()), pa.array(words, pa.binary())]), pa.array(n, pa.int64()),
-        ], names=["gram", "word", "n"])
+    def rows(grams: np.ndarray, words: list[bytes], n: np.ndarray | list[int]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(n), HANDED):
+            own, met = grams[at:at + HANDED].astype(np.int64), words[at:at + HANDED]
+            yield pa.record_batch([
+                pa.concat_arrays([pa.array(own), pa.nulls(len(met), pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(own), pa.binary()), pa.array(met, pa.binary())]), pa.array(n[at:at + HANDED], pa.int64()),
+            ], names=["gram", "word", "n"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         words: Counter[bytes] = Counter()
-        for batch in batches(parts, "text", 2 << 20):
+        for batch in batches(parts, "text", 1 << 20):
             found = [t.as_py() or b"" for t in pc.cast(batch.column("text"), pa.binary())]
             learn = batch.column("learn").to_pylist()
             if any(learn):
@@ -100,16 +101,16 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
                 keys, counts = ([x] for x in _merged(keys, counts))
                 held = len(keys[0])
                 if held > GATHERED // 2:
-                    yield rows(keys[0], [], counts[0])
+                    yield from rows(keys[0], [], counts[0])
                     keys, counts, held = [], [], 0
             if len(words) > GATHERED // 4:
-                yield rows(np.zeros(0, np.int64), list(words), list(words.values()))
+                yield from rows(np.zeros(0, np.int64), list(words), list(words.values()))
                 words = Counter()
         if keys:
             key, count = _merged(keys, counts)
-            yield rows(key, [], count)
+            yield from rows(key, [], count)
         if words:
-            yield rows(np.zeros(0, np.int64), list(words), list(words.values()))
+            yield from rows(np.zeros(0, np.int64), list(words), list(words.values()))
 
     return texts.mapInArrow(run, "gram long, word binary, n long")
 
@@ -153,7 +154,10 @@ def _mask(depth: int) -> int:
 def _log_gammas(x: np.ndarray) -> np.ndarray:
     """`log_gamma` of an array."""
     x = x.astype(float)
-    rise = np.log(np.multiply.reduce([x + k for k in range(8)]))
+    rise = x.copy()
+    for k in range(1, 8):  # in place: eight arrays of all nodes would be the most a task holds
+        rise *= x + k
+    np.log(rise, out=rise)
     y = x + 8
     series = 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7)
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - rise
@@ -233,6 +237,7 @@ def gram_scores(grams: DataFrame, depth: int, parts: int) -> DataFrame:
         nodes, above = shared.value
         part = part.take(pa.array(order))
         below, _ = predictions(levels, top, above)
+        del levels
         logs = Scorer([*nodes, *below])._compute(part["gram"].to_numpy().astype(np.uint64))
         return pa.table({"gram": part["gram"], "m": part["m"], "log": logs})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pagetide.llm.decontamination import contained_items
 from pagetide.llm.html_extract import extract_main_text, main_text
 from pagetide.llm.license_scan import KNOWN, MIT, known_digests, license_scan
-from pagetide.llm.lm_scoring import Scorer, log_gamma, score_texts
+from pagetide.llm.lm_scoring import PART, Scorer, log_gamma, part_levels, score_texts
 from pagetide.llm.quality_classifier import fit_quality, quality_scores
 from pagetide.llm.quality_rules import quality_rules
 from pagetide.llm.shared import fold_of
@@ -137,6 +138,16 @@ def test_log_gamma(spark):
     assert np.allclose(got, [math.lgamma(x) for x in xs], rtol=1e-11, atol=1e-11)
 
 
+def test_a_part_of_the_trees_is_small_in_memory():
+    """Once eight arrays of all nodes were held at a time: over 2,100 bytes a gram, 278 MB for a part."""
+    grams = np.unique(np.random.default_rng(3).integers(0, 1 << 40, 1 << 13).astype(np.uint64))
+    tracemalloc.start()
+    part_levels(grams, np.ones(len(grams), np.int64), 5, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1600 * len(grams) and 1600 * PART < 128 << 20
+
+
 def test_scorer_cache_changes_nothing():
     keys = np.array([1, 2, 3, 6, 7], np.uint64)
     scorer = Scorer([(keys, np.full(5, 0.25, np.float32))])
