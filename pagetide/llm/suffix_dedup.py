@@ -1,26 +1,26 @@
-"""Exact substring deduplication by suffix sorting with a difference cover.
+"""Exact substring deduplication by sorting suffixes at synchronizing places.
 
 A byte goes if a string of `width` bytes over it also starts in a document of a
-smaller id.  Suffixes need to be told apart only by their first `width` bytes,
-so the difference-cover recursion (cover {1, 2} modulo 3) ends after two rounds:
-
-1. Sampled positions (1 and 2 modulo 3) are sorted by a triple of eight-byte
-   letters; equal triples get one name.  A name that occurs once ends there.
-2. The recursion sorts the sampled positions by their name and the name 24
-   bytes on, which names strings of 48 bytes.
-3. Every position, the remaining ones too, merges by a sampled position at most
-   two bytes on: the bytes before it, its name, and the bytes up to `width`.  Any
-   two positions have such an offset in common, as the cover promises, so equal
-   strings are neighbours in at least one of the sorted lists, and adjacent
-   entries are compared.
-
-What is sorted is first cut down without losing a match.  Every string of
-`width` bytes holds a minimizer, the smallest hash among its 20-byte grams, so
-strings that recur hold one found in two documents; other text is left out.  The
+smaller id.  Every string has a minimizer, the leftmost smallest hash among its
+20-byte grams.  Equal strings have it at the same place, so only the suffixes
+that begin at minimizers need be sorted, about one position in sixteen (a
+synchronizing set, where a difference cover would take two in three):
+
+1. A task takes all minimizers of one bucket of hashes, each with the bytes that
+   its strings have on both sides.
+2. It sorts the suffixes from the minimizers on, and the reversed prefixes in
+   front of them.  With the common prefixes of neighbours, a running count names
+   the first k bytes of every suffix and the last k of every prefix, for any k.
+3. The string that begins s bytes before a minimizer is the pair of the prefix
+   name for s bytes and the suffix name for `width` - s.  Equal pairs are equal
+   strings, byte for byte; all but those of the smallest id are answered.
+
+What is sorted is first cut down without losing a match.  Strings that recur
+hold a minimizer found in two documents; other text is left out.  The
 rest is cut at places that depend on content only; equal pieces are sorted once,
 for the smallest id that has them, so thousands of copies cost one.
 
-Spark shuffles packed arrays by bucket (of hashes) or page (of pieces); a task
+Spark shuffles packed arrays by bucket of hashes; a task
 sorts one bucket with numpy.  Buckets are many times `spark.sql.shuffle.partitions`;
 set that so that a partition fits a task.  A string that a third of all documents
 hold is one entry per task that read them.
@@ -30,8 +30,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,63 +38,88 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetide.llm.bpe import spans
 from pagetide.llm.shared import batches, dropped, stored
-from pagetide.llm.word_hashes import _powers, mix
+from pagetide.llm.word_hashes import mix
 
 WIDTH = 50
 GRAM = 20
-LETTERS = 24
 #: Minimizers a task gathers before it hands them on.
 GATHERED = 1 << 19
 #: Pieces are cut at one minimizer in so many, but hold no fewer and no more starts than these.
 CUT_EVERY, LEAST, MOST = 8, 64, 4096
-_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-#: The two large sorts go bucket by bucket in so many turns: only one turn's shuffle is on disk at a time.
-SLICES = 4
-#: Pieces are joined with their names by pages of 2 to the power of so many.
-PAGE = 9
+#: Digests of pieces a task remembers, so as to send the bytes of a piece once.
+REMEMBERED = 1 << 17
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407, 0xBF58476D1CE4E5B9)]
 #: In place of an id: nobody waits for an answer.
 NOBODY = np.int64(-(1 << 63))
+#: In place of an offset: a piece that goes as a whole, a place of a piece.
+WHOLE, PLACE = -1, -2
 #: Bytes hashed in one go.
-_SPAN = 1 << 20
+_SPAN = 1 << 15
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes from every position that has as many."""
+    """Hash of the `size` (9 to 24) bytes from every position that has as many."""
     out = np.empty(max(len(data) - size + 1, 0), np.uint64)
+    data = np.ascontiguousarray(data)
     for k in range(0, len(out), _SPAN):
-        part = data[k:k + _SPAN + size - 1].astype(np.uint64) + np.uint64(1)
-        upto = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * _powers(len(part), _BASE), out=upto[1:])
-        n = len(part) - size + 1
-        out[k:k + n] = mix((upto[size:] - upto[:n]) * _powers(n, _BACK))
+        n = min(_SPAN, len(out) - k)
+        letters = np.ndarray((n + size - 8,), "<u8", data, k, (1,)).astype(np.uint64)
+        h = letters[:n] * _FACTORS[0]
+        for at, factor in zip(sorted({min(8, size - 8), size - 8}), _FACTORS[1:], strict=False):
+            h ^= h >> np.uint64(29)
+            h += letters[at:at + n] * factor
+        h ^= h >> np.uint64(32)
+        h *= _FACTORS[3]
+        h ^= h >> np.uint64(29)
+        out[k:k + n] = h
     return out
 
 
 def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of every `width` neighbours, by running extremes within blocks from both sides."""
-    extreme, pad = (np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF)) if least else (np.maximum, np.uint64(0))
-    blocks = -(-len(values) // width)
-    padded = np.full(blocks * width, pad, np.uint64)
-    padded[:len(values)] = values
-    grid = padded.reshape(blocks, width)
-    ahead = extreme.accumulate(grid, axis=1).ravel()
-    behind = extreme.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(values) - width + 1
-    return extreme(behind[:n], ahead[width - 1:width - 1 + n])
-
-
-def minimizers(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (sorted) and hashes of all grams that are smallest in some string of `width` bytes, and the smallest hash in every string; none in a shorter text."""
-    span = width - GRAM + 1
-    if len(data) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    """Least (or greatest) of every `width` neighbours, from those of 2, 4, 8 and so on."""
+    extreme = np.minimum if least else np.maximum
+    n = max(len(values) - width + 1, 0)
+    out = np.empty(n, values.dtype)
+    for k in range(0, n, _SPAN):
+        part, reach = values[k:min(k + _SPAN, n) + width - 1], 1
+        while reach < width:
+            step = min(reach, width - reach)
+            part = extreme(part[:-step], part[step:])
+            reach += step
+        out[k:k + _SPAN] = part
+    return out
+
+
+def minimizers(data: np.ndarray, width: int = WIDTH, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of `width` bytes with one minimizer: its position, the run's first start and the end of its starts (a column each), and the smallest hash from every start.
+
+    `data` may be texts of `sizes` laid end to end; strings across texts are in no run.
+    """
+    n, span = len(data) - width + 1, width - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros((2, 0), np.int64), np.zeros(0, np.uint64)
     hashes = gram_hashes(data, GRAM)
     lows = sliding(hashes, span, True)
-    # a gram is a minimizer if the largest of the lows over it is itself
-    edge = np.zeros(span - 1, np.uint64)
-    at = np.flatnonzero(sliding(np.concatenate([edge, lows, edge]), span, False) == hashes)
-    return at, hashes[at], lows
+    ends = np.array([len(data)]) if sizes is None else np.cumsum(sizes)
+    begins = np.concatenate([[0], ends[:-1]])
+    # the minimizer changes where a smaller gram comes in or it is left behind itself
+    new = np.ones(n, bool)
+    new[1:] = (lows[1:] != lows[:-1]) | (hashes[:n - 1] == lows[:-1])
+    new[begins[begins < n]] = True
+    first = np.flatnonzero(new)
+    limit = (ends - width + 1)[np.searchsorted(ends, first, "right")]
+    end = np.minimum(np.append(first[1:], n), limit)
+    first, end = first[first < limit], end[first < limit]
+    low = lows[first]
+    at = first + span - 1
+    left = hashes[end - 1] == low
+    at[left] = end[left] - 1
+    # neither come in with the run nor left behind with it: looked for
+    rest = np.flatnonzero(~left & ~((first > 0) & (lows[first - 1] > low)))
+    at[rest] = first[rest] + np.argmax(hashes[first[rest][:, None] + np.arange(span)] == low[rest][:, None], axis=1)
+    return at, np.stack([first, end]), lows
 
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
@@ -128,6 +152,12 @@ def _bounds(first: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), [*first[1:].tolist(), n], strict=True)) if len(first) else []
 
 
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, and the size of each."""
+    texts = pc.cast(column, pa.binary())
+    return np.frombuffer(b"".join(texts.to_pylist()), np.uint8), pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
@@ -138,15 +168,6 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def sliced(make: Callable[[int], DataFrame], name: str) -> DataFrame:
-    """Tables of all turns as one; `make(part)` handles the buckets that leave `part` modulo SLICES."""
-    tables = []
-    for part in range(SLICES):
-        tables.append(stored(make(part), name))
-        released(tables[-1].sparkSession)
-    return reduce(DataFrame.unionByName, tables)
-
-
 def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     """doc and `hashes` (packed, several rows a document): its minimizers that stand in another document too.
 
@@ -177,16 +198,16 @@ def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
         for batch in batches(parts, "text", 1 << 20):
-            for doc, text in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), strict=True):
-                _, found, _ = minimizers(np.frombuffer(text.as_py(), np.uint8), width)
-                if len(found):
-                    found = np.unique(found)
-                    hashes.append(found)
-                    ids.append(np.full(len(found), doc, np.int64))
-                    held += len(found)
-                if held > GATHERED:
-                    yield handed(hashes, ids)
-                    hashes, ids, held = [], [], 0
+            data, sizes = laid_out(batch.column("text"))
+            _, runs, lows = minimizers(data, width, sizes)
+            found, whose = lows[runs[0]], np.searchsorted(np.cumsum(sizes), runs[0], "right")
+            if len(found):
+                hashes.append(found)
+                ids.append(batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)[whose])
+                held += len(found)
+            if held > GATHERED:
+                yield handed(hashes, ids)
+                hashes, ids, held = [], [], 0
         if held:
             yield handed(hashes, ids)
             del hashes, ids
@@ -210,220 +231,191 @@ def recurring(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(answered, "doc long, hashes binary")
 
 
-def pieces(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """Pieces of the text around recurring minimizers: doc, start, starts (how many strings begin in it), digest, data."""
+def pieces(docs: DataFrame, found: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Pieces of the text around recurring minimizers: bucket, digest (two numbers), doc, start, starts (how many strings begin in it), data (null if the task has sent it)."""
     hashes = found.groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches(parts, "text", 1 << 20):
-            out: list[tuple[int, int, int, bytes, bytes]] = []
-            for doc, text, known in zip(batch.column("doc").to_pylist(), pc.cast(batch.column("text"), pa.binary()), batch.column("hashes"), strict=True):
-                text = text.as_py()
-                data = np.frombuffer(text, np.uint8)
-                at, here, lows = minimizers(data, width)
-                recur = np.sort(np.frombuffer(b"".join(known.as_py()), "<u8"))
-                # a string can recur only if its lowest gram does
-                hit = recur[np.minimum(np.searchsorted(recur, lows), len(recur) - 1)] == lows
-                inside = np.concatenate([[False], hit, [False]])
-                edges = np.flatnonzero(inside[1:] != inside[:-1])
-                cuts = at[(here >> np.uint64(8)) % np.uint64(CUT_EVERY) == 0].tolist()
-                k = 0
-                for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    while begin < end:
-                        while k < len(cuts) and cuts[k] < begin + LEAST:
-                            k += 1
-                        stop = min(cuts[k] if k < len(cuts) else end, begin + MOST, end)
-                        piece = text[begin:stop + width - 1]
-                        out.append((doc, begin, stop - begin, hashlib.blake2b(piece, digest_size=16).digest(), piece))
-                        begin = stop
-            columns = zip(*out, strict=True) if out else ([], [], [], [], [])
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc", "start", "starts", "digest", "data"])
-
-    return docs.join(hashes, "doc").select("doc", "text", "hashes").mapInArrow(run, "doc long, start long, starts long, digest binary, data binary")
-
-
-def _rows(bucket: np.ndarray, *columns: tuple[np.ndarray, str]) -> pa.RecordBatch:
-    """Entries packed by bucket, a row for each: keys ("<u8") as they are, other numbers squeezed."""
-    order, first, _ = _groups(bucket)
-    bounds = _bounds(first, len(order))
-    out = {"bucket": pa.array([int(bucket[order[b]]) for b, _ in bounds], pa.int64())}
-    for k, (values, kind) in enumerate(columns):
-        ranked = values[order]
-        out[f"c{k}"] = pa.array([_packed(ranked[b:e], kind) if kind == "<u8" else _squeezed(ranked[b:e]) for b, e in bounds], pa.binary())
-    return pa.RecordBatch.from_pydict(out)
-
-
-def _answers(pid: np.ndarray, off: np.ndarray, value: np.ndarray) -> pa.Table:
-    """Answers packed by page of pieces."""
-    batch = _rows(pid >> PAGE, (pid, "n"), (off, "n"), (value, "n"))
-    return pa.Table.from_batches([batch.rename_columns(["page", "pid", "off", "value"])])
-
-
-ANSWER = "page long, pid binary, off binary, value binary"
-
-
-def named(entries: DataFrame, keys: int) -> DataFrame:
-    """Answers with a name for every key that occurs at least twice; entries: bucket, `keys` key columns, piece, offset.
-
-    A name is the bucket's number (16 bits) and the rank of the key in it (30 bits).
-    """
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        columns = [_joined(group[f"c{k}"], "<u8") for k in range(keys)]
-        pid, off = _numbers(group[f"c{keys}"]), _numbers(group[f"c{keys + 1}"])
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(len(order), bool)
-        for c in columns:
-            ranked = c[order]
-            new[1:] |= ranked[1:] != ranked[:-1]
-        rank = np.cumsum(new)
-        twice = (np.bincount(rank) > 1)[rank] if len(rank) else np.zeros(0, bool)
-        order, rank = order[twice], rank[twice]
-        return _answers(pid[order], off[order], (np.int64(key[0].as_py()) << np.int64(30)) | rank)
-
-    return entries.groupBy("bucket").applyInArrow(run, ANSWER)
-
-
-def _by_page(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
-    """Names by place in the page's pieces laid end to end: array of names (-1: none) and where each piece begins."""
-    begins, total = {}, 0
-    for pid, size in zip(left["pid"].to_pylist(), pc.binary_length(left["data"]).to_pylist(), strict=True):
-        begins[pid] = total
-        total += size + 2 * LETTERS + 3
-    names = np.full(total, -1, np.int64)
-    if right.num_rows:
-        pid, off, value = (_numbers(right[c]) for c in ("pid", "off", "value"))
-        known, back = np.unique(pid, return_inverse=True)
-        names[np.array([begins[p] for p in known.tolist()], np.int64)[back] + off] = value
-    return names, np.array(list(begins), np.int64), np.array(list(begins.values()), np.int64), begins
+            data, sizes = laid_out(batch.column("text"))
+            text, docs = data.tobytes(), batch.column("doc").to_pylist()
+            ends = np.cumsum(sizes)
+            _, (first, end), lows = minimizers(data, width, sizes)
+            whose = np.searchsorted(ends, first, "right")
+            # hashes of all documents in one sorted array: each document's are mixed with a number of its own
+            own = mix(np.arange(1, len(sizes) + 1, dtype=np.uint64))
+            known = [np.frombuffer(b"".join(x.as_py()), "<u8") ^ own[i] for i, x in enumerate(batch.column("hashes"))]
+            recur = np.sort(np.concatenate(known))
+            asked = lows[first] ^ own[whose]
+            # a string can recur only if its minimizer does
+            hit = recur[np.minimum(np.searchsorted(recur, asked), len(recur) - 1)] == asked
+            cut = first[hit & ((lows[first] >> np.uint64(8)) % np.uint64(CUT_EVERY) == 0)].tolist()
+            first, end, whose = first[hit], end[hit], whose[hit]
+            joins = np.zeros(len(first) + 1, bool)
+            joins[1:-1] = (first[1:] == end[:-1]) & (whose[1:] == whose[:-1])
+            out: list[tuple[int, int, int, int, int, int, bytes | None]] = []
+            k = 0
+            for begin, stretch, i in zip(first[~joins[:-1]].tolist(), end[~joins[1:]].tolist(), whose[~joins[:-1]].tolist(), strict=True):
+                base = int(ends[i] - sizes[i])
+                while begin < stretch:
+                    while k < len(cut) and cut[k] < begin + LEAST:
+                        k += 1
+                    stop = min(cut[k] if k < len(cut) else stretch, begin + MOST, stretch)
+                    piece = text[begin:stop + width - 1]
+                    digest = hashlib.blake2b(piece, digest_size=16).digest()
+                    high = int.from_bytes(digest[:8], "little", signed=True)
+                    out.append((high % buckets, high, int.from_bytes(digest[8:], "little", signed=True), docs[i], begin - base, stop - begin, None if digest in sent else piece))
+                    sent.add(digest)
+                    begin = stop
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            columns = zip(*out, strict=True) if out else [()] * 7
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["bucket", "d0", "d1", "doc", "start", "starts", "data"])
+
+    return docs.join(hashes, "doc").select("doc", "text", "hashes").mapInArrow(run, "bucket long, d0 long, d1 long, doc long, start long, starts long, data binary")
+
+
+FOUND = "doc long, piece long, at long, value long"
+
+
+def distinct_pieces(cut: DataFrame) -> DataFrame:
+    """What is known of every piece: WHOLE (piece: its start, value: its starts) where a smaller id has it, too, or PLACE (value: its start) in the smallest id, once with its data."""
+
+    def chosen(group: pa.Table) -> pa.Table:
+        d0, d1, doc, start, starts = (group[c].to_numpy().astype(np.int64) for c in ("d0", "d1", "doc", "start", "starts"))
+        data = group["data"].combine_chunks()
+        order = np.lexsort((start, doc, d1, d0))
+        d0, d1, doc, start, starts = (x[order] for x in (d0, d1, doc, start, starts))
+        new = np.ones(len(order), bool)
+        new[1:] = (d0[1:] != d0[:-1]) | (d1[1:] != d1[:-1])
+        first = np.flatnonzero(new)
+        whole = doc > doc[first][np.cumsum(new) - 1]
+        given = np.where(data.is_valid().to_numpy(zero_copy_only=False)[order], order, -1)
+        take = np.full(len(order), -1)
+        take[first] = np.maximum.reduceat(given, first)
+        return pa.table({
+            "doc": doc, "piece": np.where(whole, start, d0), "at": np.where(whole, WHOLE, PLACE), "value": np.where(whole, starts, start),
+            "data": data.take(pa.array(take, mask=take < 0)),
+        })
+
+    return cut.groupBy("bucket").applyInArrow(chosen, f"{FOUND}, data binary")
+
+
+def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts rows of bytes (a multiple of eight), and how many bytes each has in common with the one sorted before it."""
+    letters = keys.view(">u8")
+    order = np.lexsort([letters[:, k].astype(np.uint64) for k in range(letters.shape[1])][::-1])
+    ranked = keys[order]
+    common = np.zeros(len(order), np.int64)
+    differ = ranked[1:] != ranked[:-1]
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), keys.shape[1])
+    return order, common
+
+
+def _beside(text: np.ndarray, begin: np.ndarray, step: int, room: np.ndarray, most: int) -> np.ndarray:
+    """The bytes from `begin` on by `step`, `room` of them, in rows of at least `most` bytes filled up with zeros."""
+    out = np.zeros((len(begin), -(-most // 8) * 8), np.uint8)
+    for k in range(most):
+        has = room > k
+        out[has, k] = text[begin[has] + step * k]
+    return out
 
 
 def suffix_matches(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Answers (a stored table) for starts whose string also begins in a piece of a smaller id; `texts` has pid, page, doc, starts, data."""
-
-    spark = texts.sparkSession
-
-    def sampled(part: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts, "data", 1 << 20):
-            data = b"".join(x.as_py() + bytes(LETTERS) for x in batch.column("data"))
-            size = pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False).astype(np.int64)
-            begin = np.cumsum(size + LETTERS) - size - LETTERS
-            # a position is sampled if all its 24 bytes lie in the piece
-            room = np.maximum(size - LETTERS + 1, 0)
-            off = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
-            base, pid = np.repeat(begin, room), np.repeat(batch.column("pid").to_numpy(zero_copy_only=False), room)
-            pick = off % 3 != 0
-            off, pid, at = off[pick], pid[pick], (base + off)[pick]
-            if not len(off):
-                continue
-            view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
-            letters = [np.ascontiguousarray(view[at + 8 * k]).view("<u8").ravel() for k in range(3)]
-            # the triple as one number of 64 bits: that two different triples of a corpus share one has a chance of about their number's square / 2^65
-            triple = mix(letters[0] + mix(letters[1] + mix(letters[2])))
-            bucket = (triple >> np.uint64(20)) % np.uint64(buckets)
-            mine = bucket % np.uint64(SLICES) == part
-            yield _rows(bucket[mine], (triple[mine], "<u8"), (pid[mine], "n"), (off[mine], "n"))
-
-    def names_of(part: int) -> DataFrame:
-        triples = texts.select("pid", "data").mapInArrow(partial(sampled, part), "bucket long, c0 binary, c1 binary, c2 binary")
-        return named(triples, 1)
-
-    names = sliced(names_of, "names")
-
-    def recursed(left: pa.Table, right: pa.Table) -> pa.Table:
-        value, pids, begins, _ = _by_page(left, right)
-        at = np.flatnonzero(value >= 0)
-        at = at[value[np.minimum(at + LETTERS, len(value) - 1)] >= 0]
-        which = np.searchsorted(begins, at, "right") - 1
-        a, b = value[at].astype(np.uint64), value[at + LETTERS].astype(np.uint64)
-        bucket = (mix(a + mix(b)) >> np.uint64(20)) % np.uint64(buckets)
-        return pa.Table.from_batches([_rows(bucket, (a, "<u8"), (b, "<u8"), (pids[which], "n"), (at - begins[which], "n"))])
-
-    pages = texts.select("page", "pid", "doc", "starts", "data")
-    pairs = pages.groupBy("page").cogroup(names.groupBy("page")).applyInArrow(recursed, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
-    longer = stored(named(pairs, 2), "names")
-    dropped(names)
-    released(spark)
-    rest = width - 2 * LETTERS
-
-    def merging(part: int, left: pa.Table, right: pa.Table) -> pa.Table:
-        value, pids, begins, _ = _by_page(left, right)
-        text = np.zeros(len(value) + width, np.uint8)
-        for begin, x in zip(begins.tolist(), left["data"], strict=True):
-            x = x.as_py()
-            text[begin:begin + len(x)] = np.frombuffer(x, np.uint8)
-        room = left["starts"].to_numpy().astype(np.int64)
-        off = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
-        at = np.repeat(begins, room) + off
-        pid, doc = np.repeat(pids, room), np.repeat(left["doc"].to_numpy(), room)
-        out = []
-        for shift in range(rest + 1):
-            has = np.flatnonzero(value[at + shift] >= 0)
-            i = at[has]
-            # the name (46 bits), the offset (2), and what the name leaves of the string: bytes before it, bytes after it
-            key = (value[i + shift].astype(np.uint64) << np.uint64(2)) | np.uint64(shift)
-            for k in [*range(shift), *range(2 * LETTERS + shift, width)]:
-                key = (key << np.uint64(8)) | text[i + k]
-            out.append((key, pid[has], off[has], doc[has]))
-        key, pid, off, doc = (np.concatenate(x) for x in zip(*out, strict=True))
-        bucket = (mix(key) >> np.uint64(20)) % np.uint64(buckets)
-        mine = bucket % np.uint64(SLICES) == part
-        return pa.Table.from_batches([_rows(bucket[mine], (key[mine], "<u8"), (pid[mine], "n"), (off[mine], "n"), (doc[mine], "n"))])
-
-    def adjacent(group: pa.Table) -> pa.Table:
-        key, pid, off, doc = _joined(group["c0"], "<u8"), *(_numbers(group[f"c{k}"]) for k in (1, 2, 3))
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(order), bool)
-        new[1:] = key[1:] != key[:-1]
-        low = doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first of equal prefixes has the smallest id
-        later = order[low < doc]
-        return _answers(pid[later], off[later], np.zeros(len(later), np.int64))
-
-    def flags_of(part: int) -> DataFrame:
-        def merge(left: pa.Table, right: pa.Table) -> pa.Table:
-            return merging(part, left, right)
+    """A row for every minimizer with strings that also begin in a piece of a smaller id: doc, piece, at, value (bit s: the string that begins s bytes before it); `texts` has doc, piece, data."""
+    span = width - GRAM + 1
 
-        both = pages.groupBy("page").cogroup(longer.groupBy("page"))
-        return both.applyInArrow(merge, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("bucket").applyInArrow(adjacent, ANSWER)
+    def sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts, "data", 1 << 19):
+            data, sizes = laid_out(batch.column("data"))
+            at, (first, end), lows = minimizers(data, width, sizes)
+            ends = np.cumsum(sizes)
+            which = np.searchsorted(ends, first, "right")
+            bucket = (lows[first] >> np.uint64(20)) % np.uint64(buckets)
+            order, begin, _ = _groups(bucket)
+            bounds = _bounds(begin, len(order))
+            doc, piece = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[which[order]] for c in ("doc", "piece"))
+            size = (end - first + width - 1)[order]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            text = data[spans(first[order], size)]
+            before, count, off = (at - first)[order], (end - first)[order], (at - ends[which] + sizes[which])[order]
+            yield pa.record_batch({
+                "bucket": pa.array([int(bucket[order[b]]) for b, _ in bounds], pa.int64()),
+                "doc": pa.array([_squeezed(doc[b:e]) for b, e in bounds], pa.binary()),
+                "piece": pa.array([_packed(piece[b:e], "<i8") for b, e in bounds], pa.binary()),
+                "at": pa.array([_packed(off[b:e], "<i4") for b, e in bounds], pa.binary()),
+                "before": pa.array([_packed(before[b:e], "u1") for b, e in bounds], pa.binary()),
+                "count": pa.array([_packed(count[b:e], "u1") for b, e in bounds], pa.binary()),
+                "text": pa.array([text[upto[b]:upto[e]].tobytes() for b, e in bounds], pa.binary()),
+            })
+
+    def judged(group: pa.Table) -> pa.Table:
+        doc, piece, at = _numbers(group["doc"]), _joined(group["piece"], "<i8"), _joined(group["at"], "<i4")
+        before, count = (_joined(group[c], "u1").astype(np.int64) for c in ("before", "count"))
+        text = _joined(group["text"], "u1")
+        size = count + width - 1
+        place = np.cumsum(size) - size + before
+        # suffixes from the minimizers on; where all with a gram are in one document, nothing recurs
+        suffixes = _beside(text, place, 1, size - before, width)
+        order, common = _names(suffixes)
+        new = common < GRAM
+        new[:1] = True
+        first = np.flatnonzero(new)
+        if len(first):
+            low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+            shared = (low != high)[np.cumsum(new) - 1]
+            # what two entries have in common is the least on the way, and groups go whole
+            order, common = order[shared], common[shared]
+        doc, piece, at, before, count, place = (x[order] for x in (doc, piece, at, before, count, place))
+        # prefixes in front of them, reversed
+        back, alike = _names(_beside(text, place - 1, -1, before, span - 1))
+        found = np.zeros(len(order), np.int64)
+        name = np.empty(len(order), np.int64)
+        for s in range(span):
+            has = np.flatnonzero((before - count < s) & (s <= before))
+            if len(has) < 2:
+                continue
+            name[back] = np.cumsum(alike < s)
+            key = (np.cumsum(common < width - s)[has] << np.int64(32)) | name[has]
+            rank, first, run = _groups(key)
+            whose = doc[has][rank]
+            later = np.minimum.reduceat(whose, first)[run] < whose
+            found[has[rank[later]]] |= np.int64(1 << s)
+        some = found != 0
+        return pa.table({"doc": doc[some], "piece": piece[some], "at": at[some].astype(np.int64), "value": found[some]})
 
-    flags = sliced(flags_of, "flags")
-    dropped(longer)
-    released(spark)
-    return flags
+    sent = texts.mapInArrow(sampled, "bucket long, doc binary, piece binary, at binary, before binary, count binary, text binary")
+    return sent.groupBy("bucket").applyInArrow(judged, FOUND)
 
 
 def removed_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and `flags`: packed (start, starts) runs of strings that begin in a smaller id too, several rows a document."""
+    """What to remove, several rows a document, as `distinct_pieces` and `suffix_matches` tell: doc, piece, at, value."""
     spark = docs.sparkSession
     buckets = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     found = stored(recurring(texts, buckets, width), "recurring")
     released(spark)
-    cut = stored(pieces(texts, found, width), "pieces")
+    known = stored(distinct_pieces(pieces(texts, found, width, buckets)), "pieces")
     dropped(found)
     released(spark)
-    low = cut.groupBy("digest").agg(F.min("doc").alias("low"))
-    chosen = cut.join(low, "digest").filter("doc = low").dropDuplicates(["digest"])
-    numbered = stored(chosen.select("digest", "doc", "starts", "data").withColumn("pid", F.monotonically_increasing_id()), "numbered")
-    places = stored(cut.select("doc", "start", "starts", "digest"), "places")
-    dropped(cut)
+    matches = stored(suffix_matches(known.filter("data IS NOT NULL").select("doc", "piece", "data"), buckets, width), "matches")
     released(spark)
-    numbered = numbered.withColumn("page", F.shiftright("pid", PAGE))
-    flags = suffix_matches(numbered, buckets, width)
+    return known.drop("data").unionByName(matches)
 
-    def by_piece(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            pid, off = _numbers(batch.column("pid")), _numbers(batch.column("off"))
-            order, first, _ = _groups(pid)
-            rows = [(int(pid[order[b]]), _packed(off[order[b:e]], "<i4")) for b, e in _bounds(first, len(order))]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["pid", "offs"])
 
-    offs = flags.mapInArrow(by_piece, "pid long, offs binary").groupBy("pid").agg(F.collect_list("offs").alias("offs"))
-    owned = numbered.select("pid", "digest", F.col("doc").alias("low")).join(offs, "pid", "left")
-    return places.join(owned, "digest").select(
-        "doc", "start", "starts", (F.col("doc") > F.col("low")).alias("whole"), F.when(F.col("doc") == F.col("low"), F.col("offs")).alias("offs")
-    ).filter("whole OR offs IS NOT NULL")
+def string_starts(piece: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings to remove from a document begin, and where they end; neighbours of a whole piece as one."""
+    whole, place, match = at == WHOLE, at == PLACE, at >= 0
+    starts, ends = piece[whole], piece[whole] + value[whole] + width - 1
+    if match.any():
+        order = np.argsort(piece[place], kind="stable")
+        names, where = piece[place][order], value[place][order]
+        begin, end = (np.searchsorted(names, piece[match], side) for side in ("left", "right"))
+        off = where[spans(begin, end - begin)] + np.repeat(at[match], end - begin)
+        i, s = np.nonzero((np.repeat(value[match], end - begin)[:, None] >> np.arange(width - GRAM + 1)) & 1)
+        starts, ends = np.concatenate([starts, off[i] - s]), np.concatenate([ends, off[i] - s + width])
+    return starts, ends
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
@@ -440,33 +432,32 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """
     last = "kept_text" if as_text else "kept_bytes"
     docs = docs.drop("n_bytes", "n_removed", "n_spans", last)
-    runs = removed_runs(docs, width, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("start", "starts", "whole", "offs")).alias("_runs"))
+    runs = removed_runs(docs, width, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("piece", "at", "value")).alias("_runs"))
     joined = docs.join(runs.withColumnRenamed("doc", "_doc"), F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
     names = [*docs.columns, "n_bytes", "n_removed", "n_spans", last]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts, text_col, 1 << 20):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, found in zip(pc.cast(batch.column(text_col), pa.binary()), batch.column("_runs"), strict=True):
+            rows = batch.column("_runs")
+            ends_of = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+            columns = [x.to_numpy(zero_copy_only=False) for x in rows.flatten().flatten()]
+            for text, b, e in zip(pc.cast(batch.column(text_col), pa.binary()), [0, *ends_of[:-1].tolist()], ends_of.tolist(), strict=True):
                 text = text.as_py() or b""
-                n, gone, spans, rest = len(text), 0, 0, text
-                change = np.zeros(n + 1, np.int32)
-                for piece in found.as_py() or ():
-                    if piece["whole"]:
-                        starts, ends = np.array([piece["start"]]), np.array([piece["start"] + piece["starts"] + width - 1])
-                    else:
-                        starts = np.unique(np.frombuffer(b"".join(piece["offs"]), "<i4")).astype(np.int64) + piece["start"]
-                        ends = starts + width
+                n, gone, spans_, rest = len(text), 0, 0, text
+                change = np.zeros(n + 1 if b < e else 0, np.int32)
+                if b < e:
+                    starts, ends = string_starts(*(x[b:e] for x in columns), width)
                     np.add.at(change, starts[ends <= n], 1)
                     np.add.at(change, ends[ends <= n], -1)
                 if change.any():
                     covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0])
                     gone = int(covered.sum())
-                    spans = int((covered[1:] & ~covered[:-1]).sum())
+                    spans_ = int((covered[1:] & ~covered[:-1]).sum())
                     rest = np.frombuffer(text, np.uint8)[~covered[1:]].tobytes()
                 n_bytes.append(n)
                 n_removed.append(gone)
-                n_spans.append(spans)
+                n_spans.append(spans_)
                 kept.append(rest.decode(errors="ignore") if as_text else rest)
             yield pa.record_batch([
                 *(batch.column(c) for c in docs_columns), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string() if as_text else pa.binary()),

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from pagetide.llm.suffix_dedup import minimizers, remove_repeats, sliding
+from pagetide.llm.suffix_dedup import PLACE, WHOLE, gram_hashes, minimizers, remove_repeats, removed_runs, sliding
 
 
 def brute(rows, width=50):
@@ -64,3 +64,37 @@ def test_every_string_holds_a_minimizer():
     assert np.diff(at).max() <= 31 and at[0] <= 30 and at[-1] >= len(data) - 50
     values = np.array([5, 1, 4, 2, 9, 0, 3], np.uint64)
     assert sliding(values, 3, True).tolist() == [1, 1, 2, 0, 0] and sliding(values, 3, False).tolist() == [5, 4, 9, 9, 9]
+
+
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_minimizers_of_texts_end_to_end(letters):
+    rng = np.random.default_rng(letters)
+    sizes = np.array([0, 130, 49, 50, 0, 400, 20])
+    data = rng.integers(97, 97 + letters, sizes.sum()).astype(np.uint8)
+    at, (first, end), _ = minimizers(data, sizes=sizes)
+    got = [(q, int(p)) for p, b, e in zip(at, first, end, strict=True) for q in range(b, e)]
+    hashes, stops = gram_hashes(data, 20), np.cumsum(sizes)
+    assert got == [(q, q + int(np.argmin(hashes[q:q + 31]))) for b, e in zip(stops - sizes, stops, strict=True) for q in range(b, e - 49)]
+    assert gram_hashes(data[7:], 20).tolist() == hashes[7:].tolist()
+
+
+def test_one_row_for_each_minimizer(frame):
+    """What is sorted and answered is a row for each minimizer, one position in sixteen, not one for each position."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = noise(20_000)
+    # cut differently in every text, so that the pieces are not all equal
+    rows = [(i, noise(100) + "".join(passage[k:k + 90 + i] + noise(60) for k in range(0, 20_000, 200))) for i in range(8)]
+    assert result(remove_repeats(frame(rows))) == brute(rows)
+    runs = removed_runs(frame(rows)).collect()
+    matches = [r for r in runs if r["at"] >= 0]
+    assert {r["at"] for r in runs} - {WHOLE, PLACE} and matches
+    removed = sum(r[2] for r in brute(rows))
+    assert sum(bin(r["value"]).count("1") for r in matches) > 4 * len(matches) and len(matches) < removed / 8
+
+
+def test_a_piece_at_several_places_of_one_document(frame):
+    line = "the same line stands here again and again, with more than fifty bytes in it; "
+    other = "".join(random.Random(6).choice("abcdefgh") for _ in range(700))
+    rows = [(3, line * 40 + other + "x" + other), (2, "y" + line * 3 + other[100:400]), (1, "z" + line[5:70]), (4, other + line * 40), (-5, line[:60])]
+    assert result(remove_repeats(frame(rows))) == brute(rows)
