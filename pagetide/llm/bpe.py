@@ -176,7 +176,13 @@ def _encoding(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int, t
     """What a task does with batches of id, size and words: id and ids."""
     ranks = read_ranks(ranks_path)
     found = encoded_words(frequent_words(docs, pattern, dictionary, text_col), ranks).toArrow()
-    known = {word: np.array(ids, "<u4").tobytes() for word, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
+    known = {}
+    for batch in found.to_batches(1 << 12):  # no list of all ids: what Python once holds for small objects it keeps
+        flat = batch.column("ids").flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)).tolist()
+        known |= {word: flat[4 * b:4 * e] for word, b, e in zip(batch.column("word").to_pylist(), [0, *ends[:-1]], ends, strict=True)}
+    del found
+    pa.default_memory_pool().release_unused()
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

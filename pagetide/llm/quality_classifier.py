@@ -56,6 +56,13 @@ def slots_of(data: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
 
 
+def unpacked(column: pa.Array) -> list[np.ndarray]:
+    """The slots of every row, as views on the column."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // 4
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint32, ends[-1] if len(ends) else 0)
+    return [flat[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 @dataclass
 class Model:
     """Weight per slot (already scaled by `ratio`), bias, and the logistic curve of margins."""
@@ -86,8 +93,9 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float, rounds: int, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1-loss support vector machine; the bias is one more constant feature."""
     signs = np.where(labels > 0, 1.0, -1.0)
-    values = [ratio[s] / max(np.sqrt((ratio[s] ** 2).sum()), 1e-12) for s in rows]
-    squares = np.array([(v ** 2).sum() + 1 for v in values])
+    # scaled vectors are made where they are used: held, they were twice the size of the rows
+    lengths = [max(np.sqrt((ratio[s] ** 2).sum()), 1e-12) for s in rows]
+    squares = np.array([((ratio[s] / length) ** 2).sum() + 1 for s, length in zip(rows, lengths, strict=True)])
     # the rarer class weighs as much as the other one
     limits = cost * len(labels) / 2 / np.where(labels > 0, max((labels > 0).sum(), 1), max((labels == 0).sum(), 1))
     weight, bias, alpha = np.zeros(1 << SLOT_BITS), 0.0, np.zeros(len(rows))
@@ -96,7 +104,7 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost:
         rng.shuffle(order)
         most = 0.0
         for i in order:
-            slots, value, sign = rows[i], values[i], signs[i]
+            slots, value, sign = rows[i], ratio[rows[i]] / lengths[i], signs[i]
             gradient = sign * (weight[slots] @ value + bias) - 1
             new = min(max(alpha[i] - gradient / squares[i], 0.0), limits[i])
             change = (new - alpha[i]) * sign
@@ -167,9 +175,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample: int =
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "label")
     found = read.mapInArrow(features, f"id {kind}, label int, slots binary").toArrow().sort_by([("id", "ascending"), ("slots", "ascending")])
-    rows = [np.frombuffer(x, np.uint32) for x in found["slots"].to_pylist()]
+    rows = [x for chunk in found["slots"].chunks for x in unpacked(chunk)]
     order = np.random.default_rng(11).permutation(len(rows))
-    return fit_rows([rows[i] for i in order], np.array(found["label"].to_pylist(), int)[order])
+    model = fit_rows([rows[i] for i in order], np.array(found["label"].to_pylist(), int)[order])
+    del found, rows
+    pa.default_memory_pool().release_unused()  # the driver goes on with other steps
+    return model
 
 
 def quality_scores(docs: DataFrame, model: Model, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -396,9 +396,13 @@ def removed_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     found = stored(recurring(texts, buckets, width), "recurring")
     released(spark)
-    known = stored(distinct_pieces(pieces(texts, found, width, buckets)), "pieces")
+    # written before they are dealt, so that the shuffle of the texts is gone by then
+    cut = stored(pieces(texts, found, width, buckets), "cut")
     dropped(found)
     released(spark)
+    known = stored(distinct_pieces(cut), "pieces")
+    dropped(cut)
+    released(spark)
     matches = stored(suffix_matches(known.filter("data IS NOT NULL").select("doc", "piece", "data"), buckets, width), "matches")
     released(spark)
     return known.drop("data").unionByName(matches)

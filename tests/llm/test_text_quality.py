@@ -9,13 +9,14 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagetide.llm.decontamination import contained_items
 from pagetide.llm.html_extract import extract_main_text, main_text
 from pagetide.llm.license_scan import KNOWN, MIT, known_digests, license_scan
 from pagetide.llm.lm_scoring import PART, Scorer, log_gamma, part_levels, score_texts
-from pagetide.llm.quality_classifier import fit_quality, quality_scores
+from pagetide.llm.quality_classifier import SLOT_BITS, descend, fit_quality, log_count_ratios, quality_scores, unpacked
 from pagetide.llm.quality_rules import quality_rules
 from pagetide.llm.shared import fold_of
 
@@ -292,3 +293,21 @@ def test_extract_main_text(spark):
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, main_text string")).collect()
     assert len(got) == 4 and [r["main_text"] == "" for r in got] == [False, False, True, True]
     assert extract_main_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_fitting_holds_no_second_copy_of_the_rows():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(1 << SLOT_BITS, 20_000, replace=False)).astype(np.uint32) for _ in range(300)]
+    labels = np.arange(300) % 2
+    ratio = log_count_ratios(rows, labels)
+    tracemalloc.start()
+    descend(rows, labels, ratio, 1.0, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(r.nbytes for r in rows) / 2  # scaled vectors of all rows are twice the rows' size
+
+
+def test_slots_as_views_of_their_column():
+    column = pa.array([np.array(x, np.uint32).tobytes() for x in ([1, 2, 3], [], [9])], pa.binary())
+    assert [r.tolist() for r in unpacked(column)] == [[1, 2, 3], [], [9]] and [r.tolist() for r in unpacked(column[1:])] == [[], [9]]
+    assert unpacked(column[:0]) == [] and [len(r) for r in unpacked(pa.array([b""], pa.binary()))] == [0]
